@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -28,3 +32,17 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the session runs (once a context)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gleaner_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    where = Path(tempfile.mkdtemp(prefix="spark-gleaner-")) / "gleaner.zip"
+    with zipfile.ZipFile(where, "w") as z:
+        for p in sorted((root / "gleaner").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(where))
+    sc._gleaner_shipped = True
