@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, minhash, mixing, pii, quality, url_filter
+from . import embeddings, minhash, mixing, pieces, pii, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_pii": pii.op7_pii,
     "op9_url_filter": url_filter.op9_url_filter,
