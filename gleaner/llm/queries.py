@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, minhash, mixing, pieces, pii, quality, token_store, url_filter
+from . import embeddings, html_text, minhash, mixing, pieces, pii, quality, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_html_text": html_text.op4_html_text,
     "op5_token_store": token_store.op5_token_store,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_pii": pii.op7_pii,
