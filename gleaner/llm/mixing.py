@@ -8,8 +8,8 @@ all services by finish time, truncated where the words served reach the total bu
 document in service at that moment gives the words served by then, so that every source meets
 its target to the word.
 
-The running sums are two-level: within buckets of the shuffled order, and over the buckets'
-sums, so a source that holds most rows is still dealt over many tasks. The only single-task
+The running sums are two-level: within buckets of the shuffled order, as many as the square root of the
+rows, and over the buckets' sums, so a source that holds most rows is still dealt over many tasks. The only single-task
 step ranks the sources themselves, one row each.
 
 Defined cases: a null text has no words; documents without words are in no mix (taken 0); a null
@@ -20,6 +20,7 @@ are those of the group dealt evenly in row order. An empty table gives an empty
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,8 +34,6 @@ from .common import WORD, saved, small_batches, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
 SEED = 2024
-#: Buckets of the shuffled order; about one for each so many documents.
-BUCKET_ROWS = 20_000
 
 
 def word_count(text) -> F.Column:
@@ -76,20 +75,23 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int
     carried = [c for c in (extra or [])]
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *carried)
-    n = docs.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    # equal slices of the hash range, in order
-    rows = rows.withColumn("_b", F.floor((F.shiftrightunsigned(F.col("_key"), 33).cast("double") / F.lit(float(2**31))) * buckets).cast("int")).withColumn("_o", F.shiftrightunsigned(F.col("_key"), 1))
-    sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    at = sums.select(F.col("source").alias("_s1"), F.col("_b").alias("_b1"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_passes)
-    aims = aims.select(F.col("source").alias("_s2"), "source_size", "target")
-    within = Window.partitionBy("source", "_b").orderBy("_o", "_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = max(1, math.isqrt(docs.count()))
+    # equal slices of the hash range, in order; a null source is told apart by a flag, so plain keys do
+    rows = (
+        rows.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
+        .withColumn("_o", F.shiftrightunsigned(F.col("_key"), 1))
+        .withColumn("_b", F.floor(F.shiftrightunsigned(F.col("_key"), 33).cast("double") / F.lit(float(2**31)) * buckets).cast("int"))
+    )
+    sums = rows.groupBy("_s", "_null", "_b").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
+    sums = saved(sums)
+    aims = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_passes)
+    aims = aims.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "source_size", "target")
+    before = Window.partitionBy("_s", "_null").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    at = sums.select("_s", "_null", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")).join(aims, ["_s", "_null"])
+    within = Window.partitionBy("_s", "_null", "_b").orderBy("_o", "_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(at, F.col("source").eqNullSafe(F.col("_s1")) & (F.col("_b") == F.col("_b1")))
-        .join(aims, F.col("source").eqNullSafe(F.col("_s2")))
+        .join(at, ["_s", "_null", "_b"])
         .select("doc_id", "source", "size", "source_size", "target", (F.col("_before") + F.col("_in")).alias("begin"), *carried)
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html_text, minhash, mixing, pieces, pii, quality, token_store, url_filter
+from . import embeddings, html_text, minhash, mixing, pieces, pii, quality, token_store, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": token_store.op5_token_store,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_pii": pii.op7_pii,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }

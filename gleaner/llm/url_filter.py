@@ -26,7 +26,7 @@ from .common import table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT = "allow"
 #: Points of one host suffix that one sweep takes; a suffix with more is dealt over several.
-SWEEP_POINTS = 4000
+SWEEP_POINTS = 128
 
 
 def parts(url: str = "url") -> list:
@@ -70,7 +70,9 @@ def verdicts(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, sweep_po
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat_ws(".", F.reverse(F.slice(labels, -n, n))))
     points = pairs.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix")).join(events.select("suffix").distinct(), "suffix", "left_semi")
-    salts = points.groupBy("suffix").agg(F.ceil(F.count("*") / sweep_points).cast("int").alias("salts"))
+    # a sweep takes at least as many points as its suffix has rules, so that copies of the rules stay in proportion
+    ruled = events.groupBy("suffix").agg(F.count("*").alias("ruled"))
+    salts = points.groupBy("suffix").agg(F.count("*").alias("n")).join(ruled, "suffix").select("suffix", F.ceil(F.col("n") / F.greatest(F.lit(sweep_points), "ruled")).cast("int").alias("salts"))
     dealt = points.join(salts, "suffix").withColumn("salt", F.expr("pmod(xxhash64(host, path), salts)").cast("int"))
     copies = events.join(salts, "suffix").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     none = F.lit(None)
