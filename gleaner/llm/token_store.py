@@ -57,12 +57,14 @@ END_ID = 0
 #: Rows of a shard, about.
 SHARD_ROWS = 8_000
 #: Words that a Python worker remembers at most.
-MEMO = 1 << 19
+MEMO = 3 << 18
 MAGIC, VERSION = b"GLNTOKS1", 1
 GAMMA, MAX_LEVELS = 1.7, 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _letters = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
+#: Letters and the stops after them: two words for the library's splitter.
+_stopped = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?#*$%&]+)").fullmatch
 #: Characters that no definition of white space holds.
 _solid = re.compile("[!-~¡-ᙿ‐-‧‰-⁞⁰-⿿、-﷿！-￯\U00010000-\U0010ffff]").match
 _UNSAFE = b"?"  # no whole number of ids
@@ -92,6 +94,7 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.first: dict[str, bytes] = {}  # words at the start of a text or line
         self.rest: dict[str, bytes] = {}  # words after a space
+        self.stops: dict[str, bytes] = {}  # runs of stops after a word
         self.feed = self.pack(self.lib.encode("\n", add_special_tokens=False).ids)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -99,17 +102,27 @@ class Encoder:
 
     def learn(self, memo: dict[str, bytes], words: list[str], lead: str) -> None:
         """Encode words that stand alone or after a space, each distinct one once."""
-        slow = []
-        tokenize = self.lib.model.tokenize
+        slow, tails = [], []
+        tokenize, alphabet = self.lib.model.tokenize, self.alphabet
+
+        def direct(raw: str) -> bytes:  # one word for the library's splitter: straight to its model
+            return self.pack([t.id for t in tokenize(raw.encode().decode("latin-1").translate(alphabet))])
+
         for w in words:
             if not w or not _solid(w):
                 memo[w] = _UNSAFE
-            elif _letters(w):  # one word for the library's splitter: straight to its model
-                raw = lead + w
-                s = raw.encode().decode("latin-1").translate(self.alphabet)
-                memo[w] = self.pack([t.id for t in tokenize(s)])
+            elif _letters(w):
+                memo[w] = direct(lead + w)
+            elif m := _stopped(w):
+                tails.append((w, m[1], m[2]))
             else:
                 slow.append(w)
+        for w, core, tail in tails:
+            if core not in memo:
+                memo[core] = direct(lead + core)
+            if tail not in self.stops:
+                self.stops[tail] = direct(tail)
+            memo[w] = memo[core] + self.stops[tail]
         for w, e in zip(slow, self.lib.encode_batch([lead + w for w in slow], add_special_tokens=False)):
             memo[w] = self.pack(e.ids)
 
@@ -120,6 +133,7 @@ class Encoder:
         for memo in (self.first, self.rest):
             if len(memo) > MEMO:
                 memo.clear()
+                self.stops.clear()
         split = [[line.split(" ") for line in t.split("\n")] if t else None for t in texts]
         for memo, lead, words in ((self.first, "", (line[0] for x in split if x for line in x)), (self.rest, " ", (w for x in split if x for line in x for w in line[1:]))):
             if new := {w for w in words if w not in memo}:
