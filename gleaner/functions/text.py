@@ -61,4 +61,4 @@ def cosine_distance(a: str, b: str, norm_a: str, norm_b: str) -> Column:
 def normalized_answer(text: Column) -> Column:
     """Lower case without commas, ASCII punctuation and articles, single spaces."""
     bare = F.regexp_replace(F.lower(F.regexp_replace(text, ",", "")), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the|and)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<![A-Za-z0-9_])(a|an|the|and)(?![A-Za-z0-9_])", " "), r"\s+", " "))
