@@ -312,12 +312,17 @@ def held_out(doc_id) -> F.Column:
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model, fitted on a bounded sample of labelled documents that are not held out."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_t")).where("doc_id is not null and _t in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("_t").alias("_t"))
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(marked, "doc_id").withColumn("_h", F.xxhash64(F.lit(8), "doc_id"))
-    texts, toxic = [], []
+    marked = marked.withColumn("_h", F.xxhash64(F.lit(8), "doc_id"))
+    # the sample is drawn from the labels, so only its texts, not all labelled ones, are moved
+    sample = None
     for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        for r in rows.where(F.col("_t") == value).orderBy("_h", "doc_id", "text").limit(most).select("text").collect():
-            texts.append(r.text)
-            toxic.append(bool(value))
+        part = marked.where(F.col("_t") == value).orderBy("_h", "doc_id").limit(most)
+        sample = part if sample is None else sample.unionByName(part)
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(sample), "doc_id")  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
+    texts, toxic = [], []
+    for r in rows.orderBy("_h", "doc_id", "text").limit(TRAIN_TOXIC + TRAIN_CLEAN).select("text", "_t").collect():
+        texts.append(r.text)
+        toxic.append(bool(r["_t"]))
     return train(texts, np.array(toxic, bool))
 
 
