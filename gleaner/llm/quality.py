@@ -143,11 +143,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
         .where("doc_id is not null and _q in (0, 1)")
         .groupBy("doc_id").agg(F.max("_q").alias("_q"))
     )
+    # the sample is drawn from the labels, so only its texts, not all labelled ones, are moved
+    chosen = marked.withColumn("_h", F.xxhash64(F.lit(6), "doc_id")).orderBy("_h", "doc_id").limit(TRAIN_DOCS)
     sample = (
         docs.select("doc_id", "text")
         .where(F.length("text").between(1, TRAIN_CHARS))
-        .join(marked, "doc_id")
-        .withColumn("_h", F.xxhash64(F.lit(6), "doc_id"))
+        .join(F.broadcast(chosen), "doc_id")  # at most TRAIN_DOCS rows
         .orderBy("_h", "doc_id", "text").limit(TRAIN_DOCS)
         .select("text", "_q")
     )
