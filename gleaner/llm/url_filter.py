@@ -86,10 +86,10 @@ def verdicts(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, sweep_po
     return pairs.join(won, ["host", "path"], "left").select("host", "path", F.col("top.rule").alias("rule"), F.coalesce(F.col("top.verdict"), F.lit(default)).alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, sweep_points: int = SWEEP_POINTS) -> DataFrame:
     """One row per page: page_id, host, path, rule (null if none fits) and verdict."""
     split = pages.select("page_id", *parts("url"))
-    return split.join(verdicts(split, rules, default), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
+    return split.join(verdicts(split, rules, default, sweep_points), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
 
 
 def fixed_rules(spark: SparkSession) -> DataFrame:
