@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import aliases, cosine_distance, dot, terms
+from ..functions.text import aliases, cjk_grams, cosine_distance, dot, terms
+from .access import active_members, may_read
+from .ranking import fused, ranked, rolled_up
 
 
 def postings(docs: DataFrame, text: str = "content", id: str = "id") -> DataFrame:
@@ -107,3 +109,37 @@ def evidence(chunks: DataFrame, anchors: DataFrame, neighbors: int = 1, by: str
     got = chunks.join(want, ["id", "ordinal"])
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "chunk")))
     return got.groupBy(by, "id").agg(F.concat_ws("", F.transform(parts, lambda p: p["chunk"])).alias("evidence"), F.count("*").alias("n_chunks"))
+
+
+def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame, vectors: DataFrame, wanted: DataFrame, limit: int, threshold: float = 0.5, with_aliases: bool = False) -> DataFrame:
+    """(query_id, id, rank, score): memories by their best chunk's fused score over all channels.
+
+    ``pieces`` are chunks (id, ordinal, chunk) with their memory's workspace_id, owner_id, scope and updated_at, ``queries``
+    (query_id, user_id, text) and ``wanted`` (query_id, embedding) a stated set, broadcast; ``vectors`` has the columns of
+    ``pieces`` with embedding. Hits that the query's user may not read go before any rank is given.
+
+    Chunks move once, by their key; everything up to the channels' best hits stays in that partition.
+    """
+    key = F.struct(F.col("id").alias("memory_id"), "ordinal", "workspace_id", "owner_id", "scope", "updated_at")
+    chunks = pieces.select(key.alias("id"), F.col("chunk").alias("content")).repartition("id")
+    want = query_terms(queries)
+    posted = postings(chunks).join(F.broadcast(want.select("term").distinct()), "term", "left_semi")
+    part = F.col("tf") / (F.col("tf") + 1)
+    terms_hit = posted.join(F.broadcast(want), "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(part).alias("plain"), F.sum(F.col("weight") * part).alias("weighted"))
+    hit = lambda name, first, second=F.lit(0.0): F.struct(F.lit(name).alias("channel"), F.round(first.cast("double"), 9).alias("first"), second.cast("double").alias("second"))
+    both = F.array_compact(F.array(F.when(F.col("n") == F.col("n_terms"), hit("simple", F.col("plain"))), F.when(F.col("n") >= 2, hit("relaxed", F.col("weighted")))))
+    grams = gram_hits(chunks, F.broadcast(queries.select("query_id", cjk_grams(F.col("text")).alias("grams"))))
+    near = semantic(vectors.select(key.alias("vec_id"), "embedding"), F.broadcast(wanted), threshold)
+    found = [terms_hit.select("query_id", "id", F.explode(both).alias("hit")), grams.select("query_id", "id", hit("cjk", F.col("total"), F.col("hits")).alias("hit")), near.select("query_id", "id", hit("semantic", -F.col("distance")).alias("hit"))]
+    if with_aliases:
+        found.append(alias_hits(chunks, queries).select("query_id", "id", hit("alias", F.col("hits"), F.col("longest")).alias("hit")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    asks = queries.select("query_id", "user_id").join(active_members(memberships), "user_id")
+    seen = every.select("query_id", "id", "hit.*", "id.workspace_id", "id.owner_id", "id.scope").join(F.broadcast(asks), ["query_id", "workspace_id"]).where(may_read(F.col("user_id")))
+    order = (F.desc("first"), F.desc("second"), F.desc("id.updated_at"), F.desc("id.ordinal"), F.col("id.memory_id"))
+    best = fused([ranked(seen, *order, by=["query_id", "channel"], limit=min(4 * limit, 800))])
+    memory = F.struct("id.memory_id", "id.updated_at")
+    top = ranked(rolled_up(best.withColumn("memory", memory), "memory"), F.desc(F.round("score", 9)), F.desc("memory.updated_at"), F.col("memory.memory_id"), limit=limit)
+    return top.select("query_id", F.col("memory.memory_id").alias("id"), "rank", "score")

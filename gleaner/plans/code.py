@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import code_graph as C
 from ..operators import ranking as R
+from ..operators import retrieval as S
 from ..sources.tables import table
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _FILES = ("src/a.ts", "src/b.ts", "src/b.tsx", "src/lib/index.ts", "src/lib/util.ts", "src/c.js", "src/c.ts", "lib/x.css", "src/deep/d.ts")
 _IMPORTS = (("src/a.ts", "./b"), ("src/a.ts", "./lib"), ("src/a.ts", "./lib/util"), ("src/a.ts", "./c.js"), ("src/a.ts", "react"), ("src/deep/d.ts", "../../lib/x"), ("src/deep/d.ts", "../../../out"), ("src/deep/d.ts", "../lib/util.ts"))
@@ -40,13 +41,8 @@ def reexport_closure(spark: SparkSession, d: str) -> DataFrame:
 _CODE_Q = ((1, "green"), (2, "blue"), (3, "steel"), (4, "1"))
 
 
-@query("code_search_rrf", f"""WITH q(query_id, text) AS (VALUES {_values(_CODE_Q)}), a AS (SELECT p_partkey AS id, p_name AS symbol, p_type || '/' || p_brand AS path, p_name || ' ' || p_type AS content FROM part),
-c AS (SELECT query_id, id, 'symbol' AS channel, 4.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY lower(symbol) = lower(text) DESC, lower(symbol), path, id) AS rank FROM a JOIN q ON contains(lower(symbol), lower(text))
-UNION ALL SELECT query_id, id, 'literal', 2.0, row_number() OVER (PARTITION BY query_id ORDER BY path, id) FROM a JOIN q ON contains(lower(content), lower(text))
-UNION ALL SELECT query_id, id, 'path', 1.5, row_number() OVER (PARTITION BY query_id ORDER BY lower(path) = lower(text) DESC, instr(lower(path), lower(text)), path, id) FROM a JOIN q ON contains(lower(path), lower(text)))
-SELECT CAST(query_id AS BIGINT) AS query_id, id, round(sum(w / (60 + rank)), 6) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM c WHERE rank <= 400 GROUP BY 1, 2""")
-def code_search_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted fusion of symbol, literal and path channels; the queries are a small fixed set."""
+def _code_search(spark: SparkSession, d: str, lexical: bool) -> DataFrame:
+    """Weighted fusion of symbol, literal and path channels, and of the lexical one if wanted; the queries are a small fixed set."""
     q = F.broadcast(spark.createDataFrame(_CODE_Q, "query_id long, q string"))  # four rows
     a = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("symbol"), F.concat_ws("/", "p_type", "p_brand").alias("path"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
     low = lambda c: F.lower(F.col(c))
@@ -57,9 +53,31 @@ def code_search_rrf(spark: SparkSession, d: str) -> DataFrame:
         R.ranked(hit("path"), F.desc(low("path") == low("q")), F.instr(low("path"), low("q")), F.col("path"), F.col("id"), limit=400).withColumn("channel", F.lit("path")).withColumn("w", F.lit(1.5)),
     ]
     every = channels[0].unionByName(channels[1]).unionByName(channels[2])
+    if lexical:
+        found = S.strict(S.postings(a), S.query_terms(q, "q")).join(a.select("id", "path"), "id")
+        word = R.ranked(found, F.desc(F.round("score", 9)), F.col("path"), F.col("id"), limit=400).withColumn("channel", F.lit("lexical")).withColumn("w", F.lit(1.0))
+        every = every.select("query_id", "id", "rank", "channel", "w").unionByName(word.select("query_id", "id", "rank", "channel", "w"))
     return every.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") / (60 + F.col("rank"))), 6).alias("score"), F.concat_ws(",", F.array_sort(F.collect_list("channel"))).alias("channels"))
 
 
+@query("code_search_rrf", f"""WITH q(query_id, text) AS (VALUES {_values(_CODE_Q)}), a AS (SELECT p_partkey AS id, p_name AS symbol, p_type || '/' || p_brand AS path, p_name || ' ' || p_type AS content FROM part),
+c AS (SELECT query_id, id, 'symbol' AS channel, 4.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY lower(symbol) = lower(text) DESC, lower(symbol), path, id) AS rank FROM a JOIN q ON contains(lower(symbol), lower(text))
+UNION ALL SELECT query_id, id, 'literal', 2.0, row_number() OVER (PARTITION BY query_id ORDER BY path, id) FROM a JOIN q ON contains(lower(content), lower(text))
+UNION ALL SELECT query_id, id, 'path', 1.5, row_number() OVER (PARTITION BY query_id ORDER BY lower(path) = lower(text) DESC, instr(lower(path), lower(text)), path, id) FROM a JOIN q ON contains(lower(path), lower(text)))
+SELECT CAST(query_id AS BIGINT) AS query_id, id, round(sum(w / (60 + rank)), 6) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM c WHERE rank <= 400 GROUP BY 1, 2""")
+def code_search_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return _code_search(spark, d, lexical=False)
+
+
+_CODE_WORDS = r"""SELECT query_id, id, 'lexical', 1.0, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(tf / (tf + 1)), 9) DESC, path, id)
+FROM (SELECT id, path, term, count(*) AS tf FROM (SELECT id, path, unnest(regexp_extract_all(lower(content), '([\p{L}\p{N}][\p{L}\p{N}_''-]*)', 1)) AS term FROM a) GROUP BY 1, 2, 3) JOIN q ON term = lower(text) GROUP BY query_id, id, path"""
+
+
+@query("code_search", ORACLE_SQL["code_search_rrf"].replace(")\nSELECT CAST", f"\nUNION ALL {_CODE_WORDS})\nSELECT CAST"))
+def code_search(spark: SparkSession, d: str) -> DataFrame:
+    return _code_search(spark, d, lexical=True)
+
+
 @query("symbol_lookup", """SELECT b.brand, CASE WHEN count(p_partkey) = 0 THEN 'not_found' WHEN count(DISTINCT p_type) > 1 THEN 'ambiguous' ELSE 'ok' END AS outcome, count(p_partkey) AS n FROM (SELECT DISTINCT p_brand AS brand FROM part UNION SELECT 'Brand#none') b LEFT JOIN part ON p_brand = b.brand GROUP BY 1""")
 def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_partkey", "p_type")

@@ -128,6 +128,24 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "channels", F.round("score", 6).alias("score"))
 
 
+def searched(spark: SparkSession, d: str, limit: int = LIMIT, with_aliases: bool = False) -> DataFrame:
+    """The whole memory search: every channel over chunks, what the query's user may read, memories by their best chunk.
+
+    Query q is asked by user q mod 25 and has the vector q; the vector of a memory's first chunk is the one with its id.
+    """
+    m = V.memories(spark, d).select("id", "workspace_id", "owner_id", "scope", "updated_at", "content")
+    qs = _queries(spark, d).withColumn("user_id", F.col("query_id") % 25)
+    e = table(spark, d, "embeddings")
+    wanted = e.select(F.col("vec_id").alias("query_id"), "embedding").join(qs.select("query_id"), "query_id", "left_semi")
+    vectors = e.select(F.col("vec_id").alias("id"), "embedding").join(m.drop("content"), "id").withColumn("ordinal", F.lit(0))
+    return S.memory_search(chunked(m), qs, V.memberships(spark, d), vectors, wanted, limit, 0.9, with_aliases)
+
+
+@query("memory_search")
+def memory_search(spark: SparkSession, d: str) -> DataFrame:
+    return searched(spark, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("recency_fusion", f"""{_HYBRID}, t AS (SELECT h.query_id, h.id, h.rank, row_number() OVER (PARTITION BY query_id ORDER BY m.updated_at DESC, h.id) AS recency_rank FROM h JOIN ({V.MEMORIES_SQL}) m ON m.id = h.id WHERE h.rank <= 20)
 SELECT query_id, id, round(0.4 / (60 + rank) + 0.6 / (60 + recency_rank), 6) AS score FROM t""")
 def recency_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +194,7 @@ def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
 def diverse_results(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.diversity import diversified
 
-    hits = hybrid(spark, d).join(_memories(spark, d).withColumnRenamed("content", "evidence"), "id")
+    hits = searched(spark, d).join(_memories(spark, d).withColumnRenamed("content", "evidence"), "id")
     return diversified(hits, 10, 0.6)
 
 

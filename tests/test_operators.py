@@ -8,6 +8,7 @@ from gleaner.functions.chunking import _CLOSERS, _ENDS, _WS, chunks
 from gleaner.functions.json_tools import canonical
 from gleaner.operators.diversity import diversified
 from gleaner.operators.graph import capped
+from gleaner.operators.retrieval import memory_search
 
 
 def priority(t: str, p: int) -> int:
@@ -87,3 +88,21 @@ def test_diversified_prefers_new_terms(spark):
 
 def test_canonical_json():
     assert canonical({"b": [1, None], "a": "é"}) == '{"a":"é","b":[1,null]}'
+
+
+def test_memory_search_uses_every_channel_and_only_readable_memories(spark):
+    # user 7 is in workspace 1 and 8 in 2; memory 6 is private to 8, 9 to 7
+    home = {1: (1, 0, "shared"), 2: (1, 0, "shared"), 3: (1, 0, "shared"), 4: (2, 0, "shared"), 5: (1, 0, "shared"), 6: (1, 8, "private"), 9: (1, 7, "private")}
+    texts = [(1, 0, "red fox"), (1, 1, "red fox runs"), (2, 0, "東京タワーへ"), (3, 0, "none"), (4, 0, "red fox"), (5, 0, "the Grey Owl"), (6, 0, "red fox"), (9, 0, "blue whale")]
+    memory = "id long, ordinal int, workspace_id long, owner_id long, scope string, updated_at long"
+    pieces = spark.createDataFrame([(i, o, *home[i], i, t) for i, o, t in texts], memory + ", chunk string")
+    asked = [(1, 7, "red fox"), (2, 7, "東京タワー"), (3, 7, "zebra"), (4, 7, "Grey Owl"), (5, 8, "red fox"), (6, 7, "blue whale"), (7, 8, "blue whale"), (8, 9, "red fox")]
+    queries = spark.createDataFrame(asked, "query_id long, user_id long, text string")
+    readable = spark.createDataFrame([(7, 1, "active"), (8, 2, "active"), (9, 1, "left")], "user_id long, workspace_id long, status string")
+    vectors = spark.createDataFrame([(i, 0, *home[i], i, [1.0, 0.0]) for i in (3, 4)], memory + ", embedding array<float>")
+    wanted = spark.createDataFrame([(3, [1.0, 0.1])], "query_id long, embedding array<float>")
+    rows = memory_search(pieces, queries, readable, vectors, wanted, 5).collect()
+    # the two chunks of memory 1 tie in the strict and the relaxed channel; the later one is first, its score counts alone
+    assert {(r.query_id, r.id): round(r.score, 9) for r in rows} == {(1, 1): round(2 / 61, 9), (2, 2): round(1 / 61, 9), (3, 3): round(1 / 61, 9), (4, 5): round(2 / 61, 9), (5, 4): round(2 / 61, 9), (6, 9): round(2 / 61, 9)}
+    more = memory_search(pieces, queries, readable, vectors, wanted, 5, with_aliases=True).where("query_id = 4").collect()
+    assert [(r.id, round(r.score, 9)) for r in more] == [(5, round(3 / 61, 9))]
