@@ -5,7 +5,9 @@ kernel: for two words it sums, over all ordered letter triples that both hold wi
 SPAN letters, DECAY to the power of the spans, normalised to a cosine and raised to POWER so that chance
 overlaps fade. A sentence's kernel value with a landmark is the sum over its distinct words. Gaps cost
 little, so an insult with inserted characters, doubled letters or look-alike digits stays close to the
-plain one; runs of single letters ("i d i o t") are read as one word.
+plain one; runs of single letters ("i d i o t") are read as one word. Words of more than WHOLE letters (glued, letter-spaced
+or without white space) count by their highest letter window: for each length of a landmark windows of a
+quarter more letters run over the whole word and overlap by that length.
 
 The kernel's Gram matrix K of the landmarks gives the Nyström features K^(-1/2) k(x); a linear SVM (squared hinge)
 is trained on them over labelled sentences. Sentences take their document's label, and
@@ -46,10 +48,12 @@ SPAN, DECAY, POWER = 5, 0.6, 3
 #: Kernel values (before POWER) of words that cannot reach this with any landmark are taken as zero.
 FAINT = 0.35
 WINDOW_WORDS = 30
+#: Words of more letters are compared in letter windows.
+WHOLE = 16
 THRESHOLD = 0.3
 HELD_OUT = 2
-#: Words that a Python worker remembers at most.
-MEMO = 1 << 19
+#: Words that a Python worker remembers at most, and the longest that it keeps after their batch.
+MEMO, LONGEST_KEPT = 1 << 19, 64
 LETTERS = 64  # classes of letters; others share a class
 _TRIPLES = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _stops = re.compile(r"[.!?…。\n]+(?=\s|$)")
@@ -65,9 +69,9 @@ def plain(word: str) -> str:
     """The letters that the kernel sees of a word: lower case, look-alikes resolved, other signs dropped."""
     low = word.lower()
     if low.isalpha():
-        return low[:64]
+        return low
     core = low.strip(".,;:!?\"'()[]*#$%&…")
-    return _noise.sub("", core if core.isalpha() else core.translate(_LOOKALIKE))[:64]
+    return _noise.sub("", core if core.isalpha() else core.translate(_LOOKALIKE))
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -169,14 +173,49 @@ class Model:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         return np.concatenate(at), np.concatenate(values)
 
+    def windows(self, some: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """The words as they are compared, whole or in letter windows, in blocks: owners and letters."""
+        sizes = [(n + max(1, n // 4), max(1, n // 4)) for n in sorted({max(3, len(w)) for w in self.landmarks})]
+        owner, parts = [], []
+        for i, w in enumerate(some):
+            if len(w) <= WHOLE:
+                owner.append(i)
+                parts.append(w)
+            else:
+                for size, step in sizes:
+                    for at in range(0, max(1, len(w) - size + step), step):
+                        owner.append(i)
+                        parts.append(w[at : at + size])
+                        if len(parts) >= 1 << 16:
+                            yield np.array(owner), parts
+                            owner, parts = [], []
+            if len(parts) >= 1 << 16:
+                yield np.array(owner), parts
+                owner, parts = [], []
+        if parts:
+            yield np.array(owner), parts
+
     def contributions(self, some: list[str]) -> np.ndarray:
-        """Each word's part in the decision value of a sentence that holds it."""
-        out = np.zeros(len(some))
-        for k in range(0, len(some), 1 << 16):
-            at, values = self.kernels(some[k : k + (1 << 16)])
-            out[k + at] = values @ self.weights
+        """Each word's part in the decision value of a sentence that holds it; of windows the highest."""
+        out = np.full(len(some), -np.inf)
+        for owner, parts in self.windows(some):
+            part = np.zeros(len(parts))
+            at, values = self.kernels(parts)
+            part[at] = values @ self.weights
+            np.maximum.at(out, owner, part)
         return out
 
+    def nearest(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``kernels``, for words of any length: of windows the one that comes nearest to a landmark."""
+        best: dict[int, np.ndarray] = {}
+        for owner, parts in self.windows(some):
+            at, values = self.kernels(parts)
+            for i, v in zip(owner[at].tolist(), values):
+                if i not in best or v.max() > best[i].max():
+                    best[i] = v
+        order = sorted(best)
+        return np.array(order, np.int64), np.array([best[i] for i in order]).reshape(len(order), len(self.landmarks))
+
     def margin(self, windows: list[list[str]], memo: dict[str, float]) -> float:
         """The highest sentence's decision value; the bias alone without sentences."""
         get = memo.__getitem__
@@ -212,11 +251,12 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
     found = significant([{best[w] for w in d if w in best} for d in docs])
     holders: dict[str, list[str]] = {g: [] for g in found}
     for w in spread:
-        if best.get(w) in found:
+        if best.get(w) in found and len(w) <= WHOLE:
             holders[best[w]].append(w)
     out: list[str] = []
     for g in sorted(found, key=lambda g: (-found[g], g)):
-        out += sorted(holders[g], key=lambda w: (-spread[w], len(w), w))[:PER_GROUP]
+        # a group that only long words hold stands for itself
+        out += sorted(holders[g], key=lambda w: (-spread[w], len(w), w))[:PER_GROUP] or [g]
     return out[:LANDMARKS]
 
 
@@ -256,7 +296,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model | None:
     keep = spectrum > 1e-4 * spectrum.max()
     nystroem = vectors[:, keep] / np.sqrt(spectrum[keep])  # K^(-1/2) up to a rotation
     raw = list(letters)
-    at, values = model.kernels([letters[w] for w in raw])
+    at, values = model.nearest([letters[w] for w in raw])
     features = values @ nystroem
     row = {raw[i]: k for k, i in enumerate(at.tolist())}
     # sentences without a word near any landmark all have the features zero: one weighted row a document
@@ -284,7 +324,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model | None:
         high = margin >= np.where(top > 0, top / 2, top)[owner]
         weight = np.where(y < 0, weight, high.astype(float))
     model.weights, model.bias = nystroem @ w, float(b)
-    memo = dict.fromkeys(raw, 0.0) | {raw[i]: float(v) for i, v in zip(at.tolist(), values @ model.weights)}
+    memo = dict(zip(raw, model.contributions([letters[w] for w in raw]).tolist()))
     z = np.array([model.margin(d, memo) for d in docs])
     model.slope, model.offset = curve(z, toxic)
     return model
@@ -354,6 +394,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 if new:
                     memo.update(zip(new, m.contributions([plain(w) for w in new]).tolist()))
                 scores = [m.score(m.margin(d, memo)) for d in docs]
+                for w in new:
+                    if len(w) > LONGEST_KEPT:
+                        del memo[w]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -191,6 +191,25 @@ def test_pii_base_spans(spark, sf):
     assert "a@b.cd" not in pii.masked("write to a@b.cd now") and pii.mask(odd_docs(spark)).count() == len(ODD)
 
 
+def test_toxicity_scores_words_over_their_whole_length():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(("an", "re", "th", "on", "ti", "en", "sh")) for _ in range(rng.randint(1, 4)))
+    docs = [" ".join([*(word() for _ in range(30)), *([rng.choice(("grobnik", "zulfant"))] if i % 3 == 0 else []), word()]) for i in range(300)]
+    model = toxicity.train(docs, np.array([i % 3 == 0 for i in range(300)]))
+
+    def score(t):
+        s = toxicity.sentences(t)
+        return model.score(model.margin(s, {w: float(model.contributions([toxicity.plain(w)])[0]) for x in s for w in x}))
+
+    filler = "".join(word() for _ in range(40))
+    assert len(filler) > 100
+    for join in ("{0}{1}{0}", "{0}-{1}.{0}", "{0}{1}"):
+        assert score(join.format(filler, "grobnik")) >= toxicity.THRESHOLD, join
+        assert score(join.format(filler, "zulfant")) >= toxicity.THRESHOLD, join
+    assert score(" ".join(filler + "grobnik" + filler)) >= toxicity.THRESHOLD
+    assert score(filler * 3) < toxicity.THRESHOLD and score(" ".join(filler)) < toxicity.THRESHOLD
+
+
 def test_toxicity_learns_insults(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(("an", "re", "th", "on", "ti", "en", "sh")) for _ in range(rng.randint(1, 4)))
