@@ -20,7 +20,7 @@ Landmarks and the SVM are fitted on a bounded sample of labelled documents (TRAI
 TRAIN_CLEAN, those with the smallest hashes) outside the held-out quarter. Only texts are inputs.
 
 Defined cases: null and empty texts have no sentence and get the curve's value at the bias alone; without
-both labels in training every score is 0; null or repeated doc_ids are scored row by row; labels that are null
+both labels in training every score is 0 (with both there is always a model); null or repeated doc_ids are scored row by row; labels that are null
 are ignored, repeated ones count as toxic if any is; extra columns are ignored.
 """
 
@@ -41,7 +41,7 @@ from .common import small_batches, table
 
 #: Labelled documents that the model is fitted on at most, and the longest text among them.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 1500, 20_000
-#: Landmarks at most; words of one letter group among them; least significance of a letter group.
+#: Landmarks at most; words of one letter group among them; least significance of a letter group if any has it.
 LANDMARKS, PER_GROUP, SIGNIFICANCE = 96, 4, 6.0
 GROUP = 4
 SPAN, DECAY, POWER = 5, 0.6, 3
@@ -226,9 +226,11 @@ class Model:
 
 
 def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words that hold the letter groups most significantly more frequent among toxic documents.
+    """Words that hold the letter groups most significantly more frequent among toxic documents; never none.
 
     Groups, not words, are tested: an insult's endings may all differ. Each group gives its most frequent words.
+    Where none reaches SIGNIFICANCE, as with few labels, groups count by rank of significance while they
+    cover toxic documents that no group before them covers (those of one document only if there are no others).
     """
     def significant(groups: list[set[str]]) -> dict[str, float]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -239,7 +241,7 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
         for g, k in counts[1].items():
             p = (k + counts[0][g] + 1) / (n1 + n0 + 2)
             z = (k / n1 - counts[0][g] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z >= SIGNIFICANCE and k >= 3:
+            if z > 0:
                 out[g] = z
         return out
 
@@ -253,11 +255,26 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
     for w in spread:
         if best.get(w) in found and len(w) <= WHOLE:
             holders[best[w]].append(w)
+    covers: dict[str, set[int]] = {g: set() for g in found}
+    for i, (d, t) in enumerate(zip(docs, toxic)):
+        if t:
+            for g in {best[w] for w in d if w in best} & found.keys():
+                covers[g].add(i)
+    ranks = sorted(found, key=lambda g: (-found[g], g))
+    chosen = [g for g in ranks if found[g] >= SIGNIFICANCE and len(covers[g]) >= 3]
+    if not chosen:
+        least = min(2, max(map(len, covers.values()), default=0))
+        covered: set[int] = set()
+        for g in ranks:
+            if len(covers[g]) >= least and covers[g] - covered:
+                chosen.append(g)
+                covered |= covers[g]
     out: list[str] = []
-    for g in sorted(found, key=lambda g: (-found[g], g)):
+    for g in chosen:
         # a group that only long words hold stands for itself
         out += sorted(holders[g], key=lambda w: (-spread[w], len(w), w))[:PER_GROUP] or [g]
-    return out[:LANDMARKS]
+    # no group speaks for toxicity: all words are alike, or none has the three letters that the kernel sees
+    return (out or sorted(spread, key=lambda w: (-spread[w], w)) or ["aaa"])[:LANDMARKS]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 200, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -286,8 +303,6 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model | None:
     marks = [tuple(sorted(zlib.crc32(w.encode()) for w in k)[:4]) for k in kinds]
     once = sorted(dict(zip(reversed(marks), reversed(range(len(marks))))).values())
     landmarks = choose_landmarks([kinds[i] for i in once], toxic[once])
-    if not landmarks:
-        return None
     model = Model.of(landmarks)
     at, values = model.kernels(landmarks)
     gram = np.zeros((len(landmarks), len(landmarks)))

@@ -210,6 +210,21 @@ def test_toxicity_scores_words_over_their_whole_length():
     assert score(filler * 3) < toxicity.THRESHOLD and score(" ".join(filler)) < toxicity.THRESHOLD
 
 
+def test_toxicity_learns_from_few_labels():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(("an", "re", "th", "on", "ti", "en", "sh")) for _ in range(rng.randint(1, 4)))
+    # six toxic texts of 30, three for each insult
+    bad = {0: "grobnik", 5: "zulfant", 10: "grobnik", 15: "zulfant", 20: "grobnik", 25: "zulfant"}
+    docs = [" ".join([*(word() for _ in range(20)), *([bad[i]] if i in bad else [])]) for i in range(30)]
+    model = toxicity.train(docs, np.array([i in bad for i in range(30)]))
+    assert model is not None
+    score = lambda t: model.score(model.margin([t.split()], {w: float(model.contributions([w])[0]) for w in t.split()}))
+    assert score("an grobnik re") >= toxicity.THRESHOLD and score("an zulfant re") >= toxicity.THRESHOLD
+    assert score("an re then") < toxicity.THRESHOLD
+    for odd in (["!!", "?"], ["same words here", "same words here"], ["an on", "re ti"]):
+        assert toxicity.train(odd, np.array([True, False])) is not None
+
+
 def test_toxicity_learns_insults(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(("an", "re", "th", "on", "ti", "en", "sh")) for _ in range(rng.randint(1, 4)))
