@@ -1,21 +1,23 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source's documents stand in a shuffled order (a seeded hash of the document). In virtual
-time a source is served at the rate of its target, so a document's virtual finish time is the
-source's cumulative words up to its end divided by the target; a source smaller than its target
-is served again from the start, up to ``max_passes`` times. The mix is the global range sort of
-all services by finish time, truncated where the words served reach the total budget: a
-document in service at that moment gives the words served by then, so that every source meets
-its target to the word.
-
-The running sums are two-level: within buckets of the shuffled order, as many as the square root of the
-rows, and over the buckets' sums, so a source that holds most rows is still dealt over many tasks. The only single-task
-step ranks the sources themselves, one row each.
+Every source's documents stand in a shuffled order (a seeded hash of the document), and a source
+is served again from the start up to ``max_passes`` times. A document is served in packets of at most PACKET words;
+a packet's virtual finish time is its source's cumulative words up to its end divided by the source's target.
+All packets of all sources are put in one order by virtual finish time, their words are summed
+up in that order, and the mix ends where the sum reaches the total budget: whole packets before that point
+are taken, the packet there in part, none after. So every source's words come within a packet of
+its target, and what each document gives follows from how far its source was served.
+
+The global order is a range partitioning by virtual time: words per slice of virtual time
+are summed (two-level running sums), and only the slice in which the budget ends is sorted. The shuffled
+orders are summed in the same way, in slices of the hash. The slices are as many as the square root of the
+rows, so a source that holds most rows is still dealt over many tasks. Equal rows (doc_id, source
+and text alike) are one row with a count until the end, so that no group of them meets in one task. The only single-task
+steps rank the sources and sum over slices, one row each.
 
 Defined cases: a null text has no words; documents without words are in no mix (taken 0); a null
-source is a source of its own and comes last; a null doc_id and repeated rows are served one by
-one in an order fixed by their text's hash. Equal rows share their order key, so their taken words
-are those of the group dealt evenly in row order. An empty table gives an empty mix.
+source is a source of its own and comes last; null doc_ids are ordered by their text's hash; equal rows
+are served one after the other, so which of them gives what can't be told. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import WORD, saved, small_batches, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
 SEED = 2024
+#: Words of a packet at most, and of equal rows or packets how many one task makes out of one row.
+PACKET, SPREAD = 256, 1 << 16
 
 
 def word_count(text) -> F.Column:
@@ -66,57 +70,108 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes:
     return level.select("source", "source_size", "weight", got.alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = SEED, extra: list[str] | None = None) -> DataFrame:
-    """One row per document: size, its source's size and target, and its place in the queue.
+def _spread(rows: DataFrame, n, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``name``; what a row gives beyond SPREAD is dealt over tasks."""
+    rows = rows.withColumn("_n", n.cast("long"))
+    few = rows.where(F.col("_n").between(1, SPREAD)).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    many = rows.where(F.col("_n") > SPREAD).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SPREAD)))).repartition("_c")
+    last = F.least(F.col("_n"), (F.col("_c") + 1) * SPREAD) - 1
+    many = many.withColumn(name, F.explode(F.sequence(F.col("_c") * SPREAD, last))).drop("_c")
+    return few.unionByName(many).drop("_n")
 
-    ``begin`` is the source's words before the document in the shuffled order. Other columns
-    (``extra``) are carried along.
+
+def _order_key(seed: int) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
+def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = SEED, row: F.Column | None = None) -> DataFrame:
+    """One row for equal documents: size, their number (copies), source's size and target, place in the queue.
+
+    ``begin`` is the source's words before the first of them in the shuffled order. ``row`` tells
+    documents apart whose other columns differ.
     """
-    carried = [c for c in (extra or [])]
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *carried)
-    buckets = max(1, math.isqrt(docs.count()))
-    # equal slices of the hash range, in order; a null source is told apart by a flag, so plain keys do
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order_key(seed).alias("_key"), (F.lit(0).cast("long") if row is None else row).alias("_row"))
+    # a null source is told apart by a flag, so plain keys do
+    rows = rows.groupBy("doc_id", "source", "size", "_key", "_row").agg(F.count("*").alias("copies"))
+    rows = saved(rows.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull()))
+    slices = max(1, math.isqrt(rows.count()))
+    # equal slices of the hash range, in order
     rows = (
-        rows.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-        .withColumn("_o", F.shiftrightunsigned(F.col("_key"), 1))
-        .withColumn("_b", F.floor(F.shiftrightunsigned(F.col("_key"), 33).cast("double") / F.lit(float(2**31)) * buckets).cast("int"))
+        rows.withColumn("_o", F.shiftrightunsigned(F.col("_key"), 1))
+        .withColumn("_b", F.floor(F.shiftrightunsigned(F.col("_key"), 33).cast("double") / F.lit(float(2**31)) * slices).cast("int"))
     )
-    sums = rows.groupBy("_s", "_null", "_b").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
-    sums = saved(sums)
+    words = F.col("size") * F.col("copies")
+    sums = saved(rows.groupBy("_s", "_null", "_b").agg(F.first("source").alias("source"), F.sum(words).alias("_sum")))
     aims = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_passes)
     aims = aims.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "source_size", "target")
     before = Window.partitionBy("_s", "_null").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     at = sums.select("_s", "_null", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")).join(aims, ["_s", "_null"])
-    within = Window.partitionBy("_s", "_null", "_b").orderBy("_o", "_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(at, ["_s", "_null", "_b"])
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("_before") + F.col("_in")).alias("begin"), *carried)
-    )
-
-
-def services(queued: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
-    """The mix: one row per document and pass with its virtual finish time and the words taken.
-
-    Targets add up to the budget, so virtual time 1 is where the words served reach it and where
-    the global order is truncated. Sorted globally by virtual finish time.
-    """
-    passes = queued.where("size > 0 and target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))))
-    start = F.col("pass") * F.col("source_size") + F.col("begin")
-    # rounded once per source: every source gives a whole number of words
-    quota = F.round("target").cast("long")
-    took = F.greatest(F.lit(0), F.least(F.col("size"), quota - start))
-    served = passes.withColumn("virtual_finish", (start + F.col("size")) / F.col("target")).withColumn("words_taken", took.cast("long")).where("words_taken > 0")
-    return served.orderBy("virtual_finish", "source", "doc_id", "pass")
-
-
-def report(queued: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
+    within = Window.partitionBy("_s", "_null", "_b").orderBy("_o", "_key", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    queued = rows.withColumn("_in", F.coalesce(F.sum(words).over(within), F.lit(0))).join(at, ["_s", "_null", "_b"])
+    return saved(queued.select("doc_id", "source", "_s", "_null", "_key", "_row", "size", "copies", "source_size", "target", (F.col("_before") + F.col("_in")).alias("begin")))
+
+
+def packets(queued: DataFrame, max_passes: int = MAX_PASSES, until: float | None = None) -> DataFrame:
+    """(source, words, end, virtual_finish) of every packet that starts before the virtual time ``until``."""
+    rows = queued.where("size > 0 and target > 0").withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))))
+    start = F.col("_p") * F.col("source_size") + F.col("begin")
+    if until is not None:
+        rows = rows.where(start < F.col("target") * until)
+    total = F.col("size") * F.col("copies")
+    rows = _spread(rows.select("_s", "_null", "target", start.alias("_start"), total.alias("_all")), F.ceil(F.col("_all") / PACKET), "_k")
+    words = F.least(F.lit(PACKET), F.col("_all") - F.col("_k") * PACKET)
+    end = F.col("_start") + F.col("_k") * PACKET + words
+    return rows.select("_s", "_null", words.cast("long").alias("words"), end.alias("end"), (end / F.col("target")).alias("virtual_finish"))
+
+
+def served(queued: DataFrame, max_passes: int = MAX_PASSES, budget: int | None = None) -> DataFrame:
+    """(source, served): how many words of each source the global order takes before the budget is reached."""
+    if budget is None:
+        budget = queued.agg(F.sum(F.col("size") * F.col("copies")).alias("n")).first()["n"] or 0
+    slices = 4 * max(1, math.isqrt(queued.count()))
+    found = None
+    # targets add up to the budget, so it is reached near virtual time 1, unless packets are large against the targets
+    for until in (2.0, None):
+        slice_of = F.least(F.lit(2 * slices), F.floor(F.col("virtual_finish") * slices)).cast("int")
+        cut = packets(queued, max_passes, until).withColumn("_b", slice_of)
+        sums = saved(cut.groupBy("_b", "_s", "_null").agg(F.sum("words").alias("words"), F.max("end").alias("end")))
+        order = Window.orderBy("_b")
+        found = sums.groupBy("_b").agg(F.sum("words").alias("_w")).withColumn("_sum", F.sum("_w").over(order)).where(F.col("_sum") >= budget).orderBy("_b").select("_b", (F.col("_sum") - F.col("_w")).alias("_before")).first()
+        if found is not None:
+            break
+    if found is None:  # nothing to serve, or less than the budget
+        return sums.groupBy("_s", "_null").agg(F.max("end").alias("served"))
+    # the slice that the budget ends in, packet by packet in the global order
+    order = Window.orderBy("virtual_finish", "_null", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    there = cut.where(F.col("_b") == found["_b"]).withColumn("_left", F.lit(budget - found["_before"]) - F.coalesce(F.sum("words").over(order), F.lit(0)))
+    there = there.where("_left > 0").select("_s", "_null", (F.col("end") - F.greatest(F.lit(0), F.col("words") - F.col("_left"))).alias("end"))
+    whole = sums.where(F.col("_b") < found["_b"]).select("_s", "_null", "end")
+    return whole.unionByName(there).groupBy("_s", "_null").agg(F.max("end").alias("served"))
+
+
+def _one_by_one(queued: DataFrame, max_passes: int, budget: int | None) -> DataFrame:
+    """Every document with its place (``begin``) and how far its source is served."""
+    far = queued.join(served(queued, max_passes, budget), ["_s", "_null"], "left").withColumn("served", F.coalesce("served", F.lit(0)))
+    return _spread(far, F.col("copies"), "_k").withColumn("begin", F.col("begin") + F.col("_k") * F.col("size"))
+
+
+def _taken(start) -> F.Column:
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - start)).cast("long")
+
+
+def services(queued: DataFrame, max_passes: int = MAX_PASSES, budget: int | None = None) -> DataFrame:
+    """The mix: a row for each time a document is taken, with its virtual finish time and the words taken."""
+    passes = _one_by_one(queued, max_passes, budget).where("size > 0").withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))))
+    start = F.col("_p") * F.col("source_size") + F.col("begin")
+    return passes.select("doc_id", "_key", "_row", "_p", "size", ((start + F.col("size")) / F.col("target")).alias("virtual_finish"), _taken(start).alias("words_taken")).where("words_taken > 0")
+
+
+def report(queued: DataFrame, max_passes: int = MAX_PASSES, budget: int | None = None) -> DataFrame:
     """Per document the words that the mix takes, repeats counted."""
-    start = F.col("begin")
-    quota = F.round("target").cast("long")
-    took = sum((F.greatest(F.lit(0), F.least(F.col("size"), quota - (p * F.col("source_size") + start))) for p in range(max_passes)), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", took.cast("long").alias("taken"), F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target")).alias("virtual_finish"))
+    rows = _one_by_one(queued, max_passes, budget)
+    took = sum((_taken(F.lit(p) * F.col("source_size") + F.col("begin")) for p in range(max_passes)), F.lit(0))
+    first = F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target"))
+    return rows.select("doc_id", "size", "source_size", "target", took.cast("long").alias("taken"), first.alias("virtual_finish"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +192,18 @@ def cut(text: str, words: int) -> str:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mixed documents in the mix's order, a row for each time one is taken.
 
-    The one document of each source that the budget's end falls into keeps the words before it.
+    The document of each source that its last packet cuts keeps the words before it. Documents without
+    words are in no mix. Texts move twice: to their services, and into the mix's order.
     """
     small_batches(spark)
     columns = docs.columns
-    carried = [c for c in columns if c not in ("doc_id", "source")]
-    mix = services(queue(docs, extra=carried)).select(*columns, "size", "words_taken")
+    of_row = F.xxhash64(*columns)
+    order = "virtual_finish", "_key", "doc_id", "_row", "_p"
+    mix = services(queue(docs, row=of_row)).select(*(F.col(c).alias(f"_gleaner_{c.strip('_')}") for c in ("doc_id", "_key", "_row", "_p", "virtual_finish", "size", "words_taken")))
+    keys = ["_gleaner_key", "_gleaner_row"]
+    once = docs.withColumn("_gleaner_key", _order_key(SEED)).withColumn("_gleaner_row", of_row).dropDuplicates(keys)
+    mix = once.join(mix.drop("_gleaner_doc_id"), keys).orderBy(*(f"_gleaner_{c.strip('_')}" for c in order if c != "doc_id"))
+    mix = mix.select(*columns, "_gleaner_size", "_gleaner_words_taken")
     at, size_at, took_at = columns.index("text"), len(columns), len(columns) + 1
     chars = columns.index("n_chars") if "n_chars" in columns else None
 
