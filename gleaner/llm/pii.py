@@ -2,13 +2,13 @@
 
 Base kinds (always reported, score 1): email, ip (parts at most 255), card (16 to 19 digits
 passing Luhn), phone (international form, 8 to 15 digits). The method adds kinds whose
-pattern alone is weak: iban (mod-97), card15 (13 to 15 digits passing Luhn), ssn, local
+pattern alone is weak: iban (of its country's length, mod-97), card15 (13 to 15 digits passing Luhn), ssn, local
 phone numbers and secrets. A weak candidate starts at its kind's score, gains for each kind of
-context word within WINDOW characters around it, and is reported from THRESHOLD on.
+context word (whole words only) within WINDOW characters around it, and is reported from THRESHOLD on.
 
 Offsets are code points, ends exclusive. Every scan is linear in the text, whatever its
 characters. Defined cases: a null text counts as empty and has no spans; null or repeated
-doc_ids pass through row by row; extra columns are ignored by ``find`` and kept by ``mask``.
+doc_ids pass through row by row; an empty table gives no rows; extra columns are ignored by ``find`` and kept by ``mask``.
 """
 
 from __future__ import annotations
@@ -33,15 +33,27 @@ _at_domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _dotted = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _digits = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _plus = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_iban_head = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 _ssn = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _phone_local = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 _secret = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:ghp|gho|xox[bp]|sk)[-_][A-Za-z0-9-]{16,}|\b(?:password|passwd|secret|token|api_?key)\b\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}[\"']?")
+#: Context words, as whole words.
 _CONTEXT = {
-    "card15": re.compile(r"card|credit|visa|amex|payment|karte|tarjeta|carte", re.I),
-    "ssn": re.compile(r"ssn|social|security|tax", re.I),
-    "local_phone": re.compile(r"phone|tel|call|mobile|fax|anruf|llam|appel", re.I),
-    "iban": re.compile(r"iban|bank|account|konto|cuenta|compte", re.I),
+    "card15": re.compile(r"\b(?:(?:credit|debit|kredit)?cards?|credit|visa|amex|payments?|(?:kredit)?karten?|tarjetas?|cartes?)\b", re.I),
+    "ssn": re.compile(r"\b(?:ssn|social|security|tax|tin)\b", re.I),
+    "local_phone": re.compile(r"\b(?:(?:tele)?phones?|tel|telefon\w*|t[ée]l[ée]phone|tel[ée]fono|call|mobile|cell|fax|anruf\w*|llam\w+|appel\w*)\b", re.I),
+    "iban": re.compile(r"\b(?:iban|bank|account|konto|cuenta|compte)\b", re.I),
+}
+#: The length of an IBAN by country.
+_IBAN_LENGTH = {
+    k: int(n)
+    for k, n in re.findall(
+        r"([A-Z]{2})([0-9]{2})",
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 "
+        "GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+        "MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 "
+        "TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30",
+    )
 }
 _START = {"iban": 0.7, "card15": 0.4, "ssn": 0.4, "local_phone": 0.4, "secret": 0.8}
 _GAIN = 0.3
@@ -58,7 +70,22 @@ def luhn(digits: str) -> bool:
 def mod97(iban: str) -> bool:
     """Whether the letters-to-numbers form of the rotated account number is 1 modulo 97."""
     s = iban.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, in groups or not, whatever words follow."""
+    for m in _iban_head.finditer(text):
+        left = _IBAN_LENGTH.get(m.group()[:2], 0) - 4
+        at = m.end()
+        while left > 0 and at < len(text):
+            if text[at] == " " and at + 1 < len(text):
+                at += 1
+            if not (text[at].isascii() and (text[at].isupper() or text[at].isdigit())):
+                break
+            at, left = at + 1, left - 1
+        if left == 0 and not (at < len(text) and text[at].isascii() and text[at].isalnum()) and mod97(text[m.start() : at]):
+            yield m.start(), at
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -119,7 +146,7 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 weak.append(("card15", start, end))
     if "+" in text:
         out["phone"] = [m.span() for m in _plus.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15]
-    weak += [("iban", *m.span()) for m in _iban.finditer(text) if mod97(m.group())]
+    weak += [("iban", *x) for x in _ibans(text)]
     weak += [("ssn", *m.span()) for m in _ssn.finditer(text)]
     weak += [("local_phone", *m.span()) for m in _phone_local.finditer(text)]
     weak += [("secret", *m.span()) for m in _secret.finditer(text)]
