@@ -8,7 +8,8 @@ stand in content lines decides whether the document stays.
 
 Defined cases: null and empty texts have no words, fail the base rules and are not kept.
 A null doc_id, repeated rows and extra columns pass through; each row is judged by itself.
-Without labelled rows every line counts as content, so the base rules alone decide.
+Without labelled rows every line counts as content, so the base rules alone decide. The pipeline stage
+trains on the labelled rows of ``documents``, not on those of its input. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from .common import WORD, small_batches, table
 from .crf import Crf, all_content, fit
 
-#: Labelled documents the CRF is fitted on at most, the longest such text and its first lines used.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 1000, 20_000, 48
+#: Labelled documents the CRF is fitted on at most and the longest such text; all their lines count, in runs of so many.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_RUN = 1000, 20_000, 48
 #: Least share of word characters in content lines for a document to stay.
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -135,8 +136,8 @@ def content_share(model: Crf, text: str) -> float:
 def train(docs: DataFrame, labels: DataFrame) -> Crf:
     """Fit the CRF on at most TRAIN_DOCS labelled documents, those with the smallest hashes.
 
-    The features are built by Spark tasks; the driver gets at most
-    TRAIN_DOCS x TRAIN_LINES rows of feature numbers.
+    The features are built by Spark tasks; the driver gets those of the lines of TRAIN_DOCS texts at
+    most, none over TRAIN_CHARS characters.
     """
     marked = (
         labels.select("doc_id", F.col("quality").cast("int").alias("_q"))
@@ -155,8 +156,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Crf:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [line_features(t)[0][:TRAIN_LINES] for t in b.column(0).to_pylist()]
-            yield pa.record_batch({"f": pa.array([r.astype("<i4").tobytes() for r in rows], pa.binary()), "q": pa.array(b.column(1).to_pylist(), pa.int32())})
+            rows, marks = [], []
+            for text, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                f = line_features(text)[0]
+                for at in range(0, len(f), TRAIN_RUN):
+                    rows.append(f[at : at + TRAIN_RUN].astype("<i4").tobytes())
+                    marks.append(q)
+            yield pa.record_batch({"f": pa.array(rows, pa.binary()), "q": pa.array(marks, pa.int32())})
 
     got = sample.mapInArrow(build, "f binary, q int").collect()
     seqs = [np.frombuffer(r.f, "<i4").reshape(-1, _WIDTH) for r in got]
