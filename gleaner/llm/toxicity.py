@@ -2,8 +2,8 @@
 
 A text's sentences (in windows of at most WINDOW_WORDS words) are compared with landmark words by a gap-weighted subsequence
 kernel: for two words it sums, over all ordered letter triples that both hold within a span of
-SPAN letters, DECAY to the power of the spans, normalised to a cosine and raised to POWER so that chance
-overlaps fade. A sentence's kernel value with a landmark is the sum over its distinct words. Gaps cost
+SPAN letters, DECAY to the power of the spans, normalised to a cosine and raised to POWER (values under FAINT are
+zero), so that chance overlaps fade. A sentence's kernel value with a landmark is the sum over its distinct words. Gaps cost
 little, so an insult with inserted characters, doubled letters or look-alike digits stays close to the
 plain one; runs of single letters ("i d i o t") are read as one word. Words of more than WHOLE letters (glued, letter-spaced
 or without white space) count by their highest letter window: for each length of a landmark windows of a
@@ -12,9 +12,12 @@ quarter more letters run over the whole word and overlap by that length.
 The kernel's Gram matrix K of the landmarks gives the Nyström features K^(-1/2) k(x); a linear SVM (squared hinge)
 is trained on them over labelled sentences. Sentences take their document's label, and
 since most sentences of a toxic document are harmless, training is repeated with each toxic document's
-highest-scoring sentences only (multiple-instance learning). Because the decision is linear
+highest-scoring sentences only (multiple-instance learning). Then ALTERED copies of each toxic document's worst
+sentence join the training, its worst word with letters put in, left out, swapped, doubled or glued on, so that
+the SVM sets its boundary where such words still count. Because the decision is linear
 in k(x), each word has a fixed contribution, computed in numpy for batches of new words
-and remembered; a document's score is a logistic curve, fitted on the training documents, of its highest sentence.
+and remembered; a document's score is a logistic curve, fitted on the training documents weighted to
+the labels' shares, of its highest sentence.
 
 Landmarks and the SVM are fitted on a bounded sample of labelled documents (TRAIN_TOXIC,
 TRAIN_CLEAN, those with the smallest hashes) outside the held-out quarter. Only texts are inputs.
@@ -26,6 +29,7 @@ are ignored, repeated ones count as toxic if any is; extra columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -44,9 +48,11 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 1500, 20_000
 #: Landmarks at most; words of one letter group among them; least significance of a letter group if any has it.
 LANDMARKS, PER_GROUP, SIGNIFICANCE = 96, 4, 6.0
 GROUP = 4
-SPAN, DECAY, POWER = 5, 0.6, 3
-#: Kernel values (before POWER) of words that cannot reach this with any landmark are taken as zero.
+SPAN, DECAY, POWER = 6, 0.8, 2
+#: Kernel values (before POWER) under this are taken as zero.
 FAINT = 0.35
+#: Altered copies of a toxic sentence's worst word that training adds.
+ALTERED = 4
 WINDOW_WORDS = 30
 #: Words of more letters are compared in letter windows.
 WHOLE = 16
@@ -61,6 +67,7 @@ _apart = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _maybe_apart = re.compile(r" \S \S[ \n]").search
 #: Digits and signs that stand for letters.
 _LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _noise = re.compile(r"[\W_]+")
 _END = LETTERS  # a class that no letter has: between words
 
@@ -168,7 +175,8 @@ class Model:
             near = word[first]
             norm = norms([some[k + i] for i in near.tolist()]).astype(np.float32)
             at.append(k + near)
-            values.append((np.add.reduceat(self.table[row] * weight[:, None], first, axis=0) / norm[:, None]) ** POWER)
+            value = np.add.reduceat(self.table[row] * weight[:, None], first, axis=0) / norm[:, None]
+            values.append(np.where(value >= FAINT, value**POWER, np.float32(0)))
         if not at:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         return np.concatenate(at), np.concatenate(values)
@@ -292,8 +300,30 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float =
     return w, b
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model | None:
-    """Fit landmarks, SVM and curve on labelled documents; None if there is nothing to tell apart."""
+def altered(word: str, rng: random.Random) -> str:
+    """The word as someone would write it to get past a word list."""
+    letters, kind = list(word), rng.randrange(7)
+    if kind in (0, 1, 2):  # one or two letters in between
+        for _ in range(1 + kind // 2):
+            letters.insert(rng.randrange(1, len(letters)), rng.choice(_ALPHABET))
+    elif kind == 3:  # one left out
+        del letters[rng.randrange(1, len(letters) - 1)]
+    elif kind == 4:  # two swapped
+        i = rng.randrange(len(letters) - 1)
+        letters[i], letters[i + 1] = letters[i + 1], letters[i]
+    elif kind == 5:  # one doubled
+        i = rng.randrange(len(letters))
+        letters.insert(i, letters[i])
+    else:  # glued to others
+        letters = [rng.choice(_ALPHABET) for _ in range(3)] + letters
+    return "".join(letters)
+
+
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, prior: float | None = None) -> Model | None:
+    """Fit landmarks, SVM and curve on labelled documents; None if there is nothing to tell apart.
+
+    ``prior`` is the share of toxic documents where the texts were drawn from, by default theirs.
+    """
     if not toxic.any() or toxic.all():
         return None
     docs = [sentences(t) for t in texts]
@@ -310,48 +340,89 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3) -> Model | None:
     spectrum, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = spectrum > 1e-4 * spectrum.max()
     nystroem = vectors[:, keep] / np.sqrt(spectrum[keep])  # K^(-1/2) up to a rotation
-    raw = list(letters)
+    raw = sorted(letters)
     at, values = model.nearest([letters[w] for w in raw])
     features = values @ nystroem
     row = {raw[i]: k for k, i in enumerate(at.tolist())}
     # sentences without a word near any landmark all have the features zero: one weighted row a document
-    owner, x = [], []
+    owner, held, x = [], [], []
     zeros = np.zeros(len(docs))
     for i, d in enumerate(docs):
         for s in d:
-            hit = [row[w] for w in set(s) if w in row]
+            hit = [row[w] for w in sorted(set(s)) if w in row]
             if hit:
                 owner.append(i)
+                held.append(hit)
                 x.append(features[hit].sum(axis=0))
             else:
                 zeros[i] += 1
+    found = len(owner)
     owner, x = np.array([*owner, *range(len(docs))]), np.array([*x, *np.zeros((len(docs), keep.sum()))])
-    weight = np.concatenate((np.ones(len(owner) - len(docs)), zeros))
+    weight = np.concatenate((np.ones(found), zeros))
     y = np.where(toxic[owner], 1.0, -1.0)
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = _fitted_rounds(x, y, weight, owner, len(docs), rounds)
+
+    # of each toxic document the worst sentence again, its worst word altered
+    margin = x[:found] @ w + b
+    worst: dict[int, int] = {}
+    for k in range(found):
+        i = int(owner[k])
+        if toxic[i] and margin[k] > 0 and (i not in worst or margin[k] > margin[worst[i]]):
+            worst[i] = k
+    rng, more, base, words = random.Random(8), [], [], []
+    parts = features @ w
+    for i, k in worst.items():
+        top = max(held[k], key=lambda r: parts[r])
+        word = letters[raw[at[top]]]
+        if len(word) >= 4 and len(word) <= WHOLE and parts[top] >= (margin[k] - b) / 2:
+            for _ in range(ALTERED):
+                more.append(i)
+                base.append(x[k] - features[top])
+                words.append(altered(word, rng))
+    if words:
+        near, values = model.nearest(words)
+        base = np.array(base)
+        base[near] += values @ nystroem
+        n = len(x)
+        x, y = np.concatenate((x, base)), np.concatenate((y, np.ones(len(base))))
+        weight, owner = np.concatenate((weight, np.full(len(base), 1.0 / ALTERED))), np.concatenate((owner, more))
+        w, b = _fitted_rounds(x, y, weight, owner, len(docs), rounds, np.arange(len(x)) >= n)
+    model.weights, model.bias = nystroem @ w, float(b)
+    memo = dict(zip(raw, model.contributions([letters[w] for w in raw]).tolist()))
+    z = np.array([model.margin(d, memo) for d in docs])
+    share = prior if prior is not None else toxic.mean()
+    each = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum()) * len(docs)
+    if words:  # an altered copy counts little: few are written so
+        z, toxic = np.concatenate((z, base @ w + b)), np.concatenate((toxic, np.ones(len(base), bool)))
+        each = np.concatenate((each, np.full(len(base), each.min() / ALTERED)))
+    model.slope, model.offset = curve(z, toxic, each)
+    return model
+
+
+def _fitted_rounds(x: np.ndarray, y: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int, rounds: int, fixed: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The SVM, repeated with each toxic document's highest sentences (and the rows that are ``fixed``) only."""
+    first, w, b = weight, np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
         balanced = weight * np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y < 0].sum()))
         w, b = squared_hinge(x, y, balanced)
         margin = x @ w + b
-        top = np.full(len(docs), -np.inf)
+        top = np.full(n, -np.inf)
         np.maximum.at(top, owner, margin)
         # of each toxic document its highest sentences stay positive, the rest counts no longer
         high = margin >= np.where(top > 0, top / 2, top)[owner]
-        weight = np.where(y < 0, weight, high.astype(float))
-    model.weights, model.bias = nystroem @ w, float(b)
-    memo = dict(zip(raw, model.contributions([letters[w] for w in raw]).tolist()))
-    z = np.array([model.margin(d, memo) for d in docs])
-    model.slope, model.offset = curve(z, toxic)
-    return model
+        weight = np.where(y < 0, first, high.astype(float))
+        if fixed is not None:
+            weight = np.where(fixed, first, weight)
+    return w, b
 
 
-def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve through decision values (Newton steps, mildly penalised)."""
     a, b = 1.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        g = np.array([((p - y) * z).sum() + 0.1 * a, (p - y).sum()])
-        h = p * (1 - p) + 1e-9
+        g = np.array([(weight * (p - y) * z).sum() + 0.1 * a, (weight * (p - y)).sum()])
+        h = weight * p * (1 - p) + 1e-9
         hess = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum()]])
         step = np.linalg.solve(hess, g)
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
@@ -368,6 +439,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model, fitted on a bounded sample of labelled documents that are not held out."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_t")).where("doc_id is not null and _t in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("_t").alias("_t"))
     marked = marked.withColumn("_h", F.xxhash64(F.lit(8), "doc_id"))
+    shares = {r["_t"]: r["n"] for r in marked.groupBy("_t").agg(F.count("*").alias("n")).collect()}  # two rows
     # the sample is drawn from the labels, so only its texts, not all labelled ones, are moved
     sample = None
     for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
@@ -378,7 +450,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     for r in rows.orderBy("_h", "doc_id", "text").limit(TRAIN_TOXIC + TRAIN_CLEAN).select("text", "_t").collect():
         texts.append(r.text)
         toxic.append(bool(r["_t"]))
-    return train(texts, np.array(toxic, bool))
+    return train(texts, np.array(toxic, bool), prior=shares.get(1, 0) / max(1, sum(shares.values())))
 
 
 _memo: dict[bytes, dict[str, float]] = {}
