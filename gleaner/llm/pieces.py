@@ -285,6 +285,10 @@ def codec(file: str) -> Codec:
     return Codec(file)
 
 
+#: Columns that encoding adds.
+ADDED = ("ids", "n_tokens", "ids_crc32", "n_byte_tokens", "restored")
+
+
 def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with ``ids``, their number, crc32, byte pieces and whether they decode to the text."""
     where = tokenizer_file(model)
@@ -302,7 +306,7 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
             same = [c.restores(t, x) for t, x in zip(texts, cut)]
             cols = [*b.columns[:k], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(sizes), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64())]
             cols += [pa.array([int(c.is_byte[x].sum()) for x in cut], pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*carry, "ids", "n_tokens", "ids_crc32", "n_byte_tokens", "restored"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*carry, *ADDED])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*carry, "text").mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long, ids_crc32 long, n_byte_tokens long, restored boolean")
@@ -329,6 +333,9 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: every row's token ids, with the columns that describe it."""
+    """Last pipeline stage: every row's token ids, with the columns that describe it.
+
+    The text goes, and so do columns that have the name of one that encoding adds.
+    """
     small_batches(spark)
-    return encode(docs, carry=tuple(c for c in docs.columns if c != "text"))
+    return encode(docs, carry=tuple(c for c in docs.columns if c != "text" and c not in ADDED))
