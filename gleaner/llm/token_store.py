@@ -10,8 +10,9 @@ Store layout (all numbers little-endian), in a folder that every executor reache
     the levels' sizes in bits, the offsets of the rows in ids (rows + 1 int64), for each hash slot
     a 32-bit fingerprint, the first row of its key and its number of rows, a rank sample for each
     64 bits, and the bits;
-``manifest.json``
-    one line a shard: its number, smallest and largest key, rows, ids, rows with a null key.
+``manifest``
+    a Parquet table with a row for each shard: its number, smallest and largest key, rows, ids, rows with a null
+    key, and ``base``, the ids of all shards before it. Lookups read the rows that their keys' range meets.
 
 The index is a minimal perfect hash in levels (Limasset et al., "Fast and scalable minimal
 perfect hashing for massive key sets", 2017): a key that alone hashes to a bit of a level sets it, the
@@ -19,8 +20,8 @@ others go on to the next level; the key's slot is the number of bits set before
 is found by its range (shard), at most a few bits and one rank; the stored fingerprint tells
 keys that are not there apart, but for one in 2**32.
 
-Rows are dealt over shards by ranges of (key, text), so a shard is written by the task that tokenised it,
-streaming; nothing but per-shard summaries reaches the driver. Files appear under their name by a rename
+Rows are dealt over shards by ranges of (key, text, input partition), so that even equal rows spread, and a
+shard is written by the task that tokenised it, streaming; nothing reaches the driver. Files appear under their name by a rename
 after they are complete, and a repeated task writes the same bytes.
 
 Encoding calls the tokenizers library. Byte-level BPE splits a text before any space or line feed that
@@ -29,12 +30,11 @@ text with other white space goes to the library whole.
 
 Defined cases: null and empty texts are just the end id; repeated doc_ids are stored row by row
 (lookups return all of them) and rows with a null doc_id after all others; a rerun writes
-a new folder; extra columns are ignored; an empty table has a manifest without shards.
+a new folder; extra columns are ignored; an empty table has a manifest without rows.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import sys
@@ -43,21 +43,25 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_ids, fresh_dir, small_batches, table, tokenizer_file
+from .common import BATCH_ROWS, crc_of_ids, fresh_dir, saved, small_batches, table, tokenizer_file
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 #: Rows of a shard, about.
 SHARD_ROWS = 8_000
-#: Words that a Python worker remembers at most.
-MEMO = 3 << 18
+#: Words that a Python worker remembers at most, and the longest that it keeps after their batch.
+MEMO, LONGEST_KEPT = 3 << 18, 64
+#: Shards whose ids before them are summed in one task.
+BLOCK = 1 << 12
+#: Bytes of a payload read at once where many of its rows are wanted.
+READ_AHEAD = 4 << 20
 MAGIC, VERSION = b"GLNTOKS1", 1
 GAMMA, MAX_LEVELS = 1.7, 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -135,9 +139,11 @@ class Encoder:
                 memo.clear()
                 self.stops.clear()
         split = [[line.split(" ") for line in t.split("\n")] if t else None for t in texts]
+        long: list[tuple[dict, str]] = []
         for memo, lead, words in ((self.first, "", (line[0] for x in split if x for line in x)), (self.rest, " ", (w for x in split if x for line in x for w in line[1:]))):
             if new := {w for w in words if w not in memo}:
                 self.learn(memo, list(new), lead)
+                long += [(memo, w) for w in new if len(w) > LONGEST_KEPT]
         out: list[bytes] = []
         whole = []
         first, rest, feed = self.first.__getitem__, self.rest.__getitem__, self.feed
@@ -157,6 +163,8 @@ class Encoder:
                 out.append(b"".join(found))
         for i, e in zip(whole, self.lib.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = self.pack(e.ids)
+        for memo, w in long:
+            del memo[w]
         return out
 
 
@@ -272,6 +280,7 @@ class Shard:
         self.mph = Mph(sizes, take("<u8", bits // 64), ranks)
         self.kind = np.dtype(f"<u{width}")
         self.file = files.open_input_file(f"{folder}/{number:05d}.ids")
+        self.ahead, self.held, self.held_at = 0, b"", 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of each key that is there: the key's place in ``keys`` and the row."""
@@ -284,11 +293,13 @@ class Shard:
 
     def ids(self, row: int) -> np.ndarray:
         """The ids of a row, from the raw payload."""
-        a, b = self.offsets[row] * self.kind.itemsize, self.offsets[row + 1] * self.kind.itemsize
-        return np.frombuffer(self.file.read_at(int(b - a), int(a)), self.kind)
+        a, b = int(self.offsets[row]) * self.kind.itemsize, int(self.offsets[row + 1]) * self.kind.itemsize
+        if a < self.held_at or b > self.held_at + len(self.held):
+            self.held, self.held_at = self.file.read_at(max(b - a, min(self.ahead, int(self.offsets[-1]) * self.kind.itemsize - a)), a), a
+        return np.frombuffer(self.held, self.kind, (b - a) // self.kind.itemsize, a - self.held_at)
 
 
-def write(docs: DataFrame, where: str, model: str = MODEL, shard_rows: int = SHARD_ROWS) -> list[dict]:
+def write(docs: DataFrame, where: str, model: str = MODEL, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Tokenise and store ``docs`` (doc_id, text); returns the manifest."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -331,77 +342,106 @@ def write(docs: DataFrame, where: str, model: str = MODEL, shard_rows: int = SHA
 
     n = docs.count()
     shards = max(1, -(-n // shard_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    manifest = [r.asDict() for r in ranged.mapInArrow(run, "shard int, low long, high long, rows long, ids long, n_null long").collect()]
-    manifest.sort(key=lambda m: m["shard"])
-    base = 0
-    for m in manifest:
-        m["base"] = base
-        base += m["ids"]
-    with files.open_output_stream(f"{folder}/manifest.json") as f:
-        f.write("".join(json.dumps(m) + "\n" for m in manifest).encode())
-    return manifest
-
-
-def read_manifest(where: str) -> list[dict]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_part")]
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    written = saved(ranged.mapInArrow(run, "shard int, low long, high long, rows long, ids long, n_null long"))
+    # ids of all shards before each, in blocks of shards
+    written = written.withColumn("_block", F.floor(F.col("shard") / BLOCK))
+    blocks = written.groupBy("_block").agg(F.sum("ids").alias("_ids"))
+    blocks = blocks.select("_block", (F.sum("_ids").over(Window.orderBy("_block")) - F.col("_ids")).alias("_before"))
+    within = F.sum("ids").over(Window.partitionBy("_block").orderBy("shard")) - F.col("ids")
+    whole = written.withColumn("_in", within).join(blocks, "_block").select("shard", "low", "high", "rows", "ids", "n_null", (F.col("_before") + F.col("_in")).alias("base"))
+    whole.orderBy("shard").write.parquet(f"{where.rstrip('/')}/manifest")
+    return read_manifest(spark, where)
+
+
+MANIFEST = "shard int, low long, high long, rows long, ids long, n_null long, base long"
+
+
+def read_manifest(spark: SparkSession, where: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{where.rstrip('/')}/manifest")
+
+
+def _meeting(where: str, wanted: ds.Expression) -> pa.Table:
+    """The manifest's rows that fit a condition, by shard, read in a task."""
     files, folder = _store(where)
-    with files.open_input_stream(f"{folder}/manifest.json") as f:
-        return [json.loads(x) for x in f.read().decode().splitlines()]
+    return ds.dataset(f"{folder}/manifest", filesystem=files, format="parquet", schema=_MANIFEST_SCHEMA).to_table(filter=wanted).sort_by("shard")
+
+
+_MANIFEST_SCHEMA = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("low", "high", "rows", "ids", "n_null", "base"))])
+
+
+def places(keys: DataFrame, where: str, parts: int) -> DataFrame:
+    """(doc_id, shard, base) of every shard that may hold a key: one for most keys, as many as it fills for a hot one."""
+    names = ["doc_id", "shard", "base"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, null = [], False
+        for b in batches:  # distinct keys of one range: eight bytes each
+            null |= b.column(0).null_count > 0
+            some.append(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+        if null:
+            m = _meeting(where, ds.field("n_null") > 0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m.num_rows, pa.int64()), *(m[c].combine_chunks() for c in names[1:])], names=names)
+        want = np.concatenate(some) if some else np.zeros(0, np.int64)
+        if not len(want):
+            return
+        m = _meeting(where, (ds.field("low") <= int(want[-1])) & (ds.field("high") >= int(want[0])))
+        low, high, shard, base = (m[c].to_numpy() for c in ("low", "high", "shard", "base"))
+        first, end = np.searchsorted(high, want), np.searchsorted(low, want, side="right")
+        for k in range(int((end - first).max(initial=0))):  # one round but for keys that fill shards
+            hit = np.flatnonzero(first + k < end)
+            at = first[hit] + k
+            yield pa.RecordBatch.from_arrays([pa.array(want[hit]), pa.array(shard[at], pa.int32()), pa.array(base[at])], names=names)
+
+    distinct = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ranged = distinct.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions("doc_id")
+    return ranged.mapInArrow(run, "doc_id long, shard int, base long")
 
 
 def lookup(keys: DataFrame, where: str, with_ids: bool = False) -> DataFrame:
     """Rows of the store for each key of ``keys`` (doc_id; each distinct key once): doc_id, start, n_tokens, ids_crc32.
 
-    Keys are dealt by range, so a task opens the few shards that its range meets.
+    Keys find their shards in the manifest, and each shard is read by one task, so the rows of a key (or without
+    one) that fill many shards are read by many tasks.
     """
-    manifest = read_manifest(where)  # one entry a shard
-    shared = keys.sparkSession.sparkContext.broadcast(manifest)
-    columns = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * with_ids
+
+    def rows(s: Shard, base: int, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        s.ahead = READ_AHEAD if 16 * len(at) > s.rows else 0
+        for k in range(0, len(at), BATCH_ROWS):
+            out: list[tuple] = []
+            for key, r in zip(keys[k : k + BATCH_ROWS].tolist(), at[k : k + BATCH_ROWS].tolist()):
+                ids = s.ids(r)
+                out.append((key, base + int(s.offsets[r]), len(ids), crc_of_ids(ids), *([ids.tolist()] if with_ids else [])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = _store(where)
-        live = [m for m in shared.value if m["low"] is not None]
-        highs = np.array([m["high"] for m in live], np.int64)
-        opened: dict[int, Shard] = {}
-
-        def shard(m: dict) -> Shard:
-            if m["shard"] not in opened:
-                if len(opened) > 4:  # ranges go up: the oldest is done with
-                    opened.pop(next(iter(opened))).file.close()
-                opened[m["shard"]] = Shard(files, folder, m["shard"])
-            return opened[m["shard"]]
-
-        def row(key: int | None, s: Shard, m: dict, k: int) -> tuple:
-            ids = s.ids(k)
-            out = (key, m["base"] + int(s.offsets[k]), len(ids), crc_of_ids(ids))
-            return (*out, ids.astype(np.int64).tolist()) if with_ids else out
-
-        for pdf in frames:
-            found = []
-            col = pdf["doc_id"]
-            if col.isna().any():
-                for m in shared.value:
-                    if m["n_null"]:
-                        s = shard(m)
-                        found += [row(None, s, m, k) for k in range(s.rows - s.n_null, s.rows)]
-            want = np.sort(col.dropna().to_numpy(np.int64))
-            at = int(np.searchsorted(highs, want[0])) if len(want) else len(live)
-            while at < len(live) and live[at]["low"] <= want[-1]:
-                m = live[at]
-                part = want[np.searchsorted(want, m["low"]) : np.searchsorted(want, m["high"], side="right")]
-                if len(part):
-                    s = shard(m)
-                    which, rows = s.find(part)
-                    found += [row(int(part[i]), s, m, int(k)) for i, k in zip(which, rows)]
-                at += 1
-            yield pd.DataFrame(found, columns=columns).astype({"doc_id": "Int64"})
-
-    parts = max(1, len(manifest))
-    distinct = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ranged = distinct.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions("doc_id")
-    return ranged.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+        s, number = None, -1
+        for b in batches:
+            shards, bases = b.column(1).to_numpy(), b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for at, end in zip(cuts, cuts[1:]):
+                if s is None or number != shards[at]:
+                    if s is not None:
+                        s.file.close()
+                    number = int(shards[at])
+                    s = Shard(files, folder, number)
+                part = b.column(0).slice(at, end - at)
+                if part.null_count:
+                    null = np.arange(s.rows - s.n_null, s.rows)
+                    for got in rows(s, int(bases[at]), np.zeros(len(null), np.int64), null):
+                        yield got.set_column(0, "doc_id", pa.nulls(got.num_rows, pa.int64()))
+                want = part.drop_null().to_numpy(zero_copy_only=False)
+                which, place = s.find(want)
+                yield from rows(s, int(bases[at]), want[which], place)
+
+    shards = max(1, read_manifest(keys.sparkSession, where).count())
+    found = places(keys, where, shards).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,14 @@ def test_token_store_round_trip(spark, sf):
     token_store.write(docs, where, shard_rows=2)
     assert token_store.lookup(docs, where).count() == len(ODD)
     assert token_store.lookup(spark.createDataFrame([(77,)], "doc_id long"), where).count() == 0
+    hot = spark.createDataFrame([(7, f"text {i % 3}") for i in range(40)] + [(None, "same text")] * 40 + [(i, "x") for i in range(20)], "doc_id long, text string").repartition(8)
+    full = fresh_dir(spark, "hot")
+    manifest = token_store.write(hot, full, shard_rows=4)
+    assert manifest.count() > 12 and manifest.where("n_null > 0").count() > 3 and manifest.where("low <= 7 and high >= 7").count() > 2
+    every = token_store.lookup(hot, full, with_ids=True).orderBy("start").collect()
+    assert len(every) == 100 and [r.start for r in every] == np.cumsum([0] + [r.n_tokens for r in every])[:-1].tolist()
+    assert Counter((r.doc_id, lib.decode(r.ids[:-1])) for r in every) == Counter((r.doc_id, r.text) for r in hot.collect())
+    assert token_store.lookup(spark.createDataFrame([(7,), (99,)], "doc_id long"), full).count() == 41
     empty = fresh_dir(spark, "none")
     token_store.write(docs.where("false"), empty)
     assert token_store.lookup(docs, empty).count() == 0
