@@ -27,6 +27,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DEFAULT = "allow"
 #: Points of one host suffix that one sweep takes; a suffix with more is dealt over several.
 SWEEP_POINTS = 128
+#: Parts that every suffix is dealt over before its sweeps are known.
+PARTS = 32
 
 
 def parts(url: str = "url") -> list:
@@ -69,11 +71,14 @@ def verdicts(urls: DataFrame, rules: DataFrame, default: str = DEFAULT, sweep_po
     pairs = urls.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat_ws(".", F.reverse(F.slice(labels, -n, n))))
-    points = pairs.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix")).join(events.select("suffix").distinct(), "suffix", "left_semi")
+    # no step meets all points of a suffix: they are dealt by (suffix, part), with a copy of the suffixes for each part
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    points = pairs.where("host <> ''").withColumn("part", F.expr(f"pmod(xxhash64(path, host), {PARTS})").cast("int"))
+    points = points.select("host", "path", "part", F.explode(suffixes).alias("suffix")).join(events.select("suffix").distinct().withColumn("part", part), ["suffix", "part"], "left_semi")
     # a sweep takes at least as many points as its suffix has rules, so that copies of the rules stay in proportion
     ruled = events.groupBy("suffix").agg(F.count("*").alias("ruled"))
     salts = points.groupBy("suffix").agg(F.count("*").alias("n")).join(ruled, "suffix").select("suffix", F.ceil(F.col("n") / F.greatest(F.lit(sweep_points), "ruled")).cast("int").alias("salts"))
-    dealt = points.join(salts, "suffix").withColumn("salt", F.expr("pmod(xxhash64(host, path), salts)").cast("int"))
+    dealt = points.join(salts.withColumn("part", part), ["suffix", "part"]).withColumn("salt", F.expr("pmod(xxhash64(host, path), salts)").cast("int"))
     copies = events.join(salts, "suffix").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     none = F.lit(None)
     line = copies.select("suffix", "salt", "key", "kind", "depth", "top", F.lit(True).alias("event"), none.cast("string").alias("host"), none.cast("string").alias("path")).unionByName(
