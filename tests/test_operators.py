@@ -1,64 +1,67 @@
-import math
 import random
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gleaner.functions.chunking import _CLOSERS, _ENDS, _WS, chunks
+from gleaner.functions.chunking import chunks
 from gleaner.functions.json_tools import canonical
 from gleaner.operators.diversity import diversified
 from gleaner.operators.graph import capped
 from gleaner.operators.retrieval import memory_search
 
 
-def priority(t: str, p: int) -> int:
-    """A boundary's priority, straight from its definition."""
-    def brk(end):
-        if end > 0 and t[end - 1] == "\n":
-            return end - 2 if end > 1 and t[end - 2] == "\r" else end - 1
-        return end - 1 if end > 0 and t[end - 1] == "\r" else None
-
-    at = brk(p)
-    if at is not None:
-        while at > 0 and t[at - 1] in " \t":
-            at -= 1
-        if brk(at) is not None:
-            return 6
-    if t[p - 1] in _WS:
-        at = p - 1
-        while at >= 0 and t[at] in _WS:
-            at -= 1
-        while at >= 0 and t[at] in _CLOSERS:
-            at -= 1
-        if at >= 0 and t[at] in _ENDS:
-            return 4
-    if brk(p) is not None:
-        return 3
-    return 1 if t[p - 1] in _WS else 0
-
-
-def brute(t: str, most: int) -> list[str]:
-    out, start = [], 0
-    while start < len(t):
-        high = min(start + most, len(t))
-        end = high
-        if high < len(t):
-            best = 0
-            for p in range(min(high, start + math.ceil(most / 2)), high + 1):
-                k = priority(t, p)
-                if k >= best and k > 0:
-                    best, end = k, p
-        out.append(t[start:end])
-        start = end
-    return out
+def test_chunks_are_cut_where_the_rule_says():
+    """Expected pieces written by hand; windows of [ceil(most / 2), most]."""
+    for most, pieces in (
+        (12, ["one two\n\n", "three four ", "five"]),  # a paragraph before anything else
+        (12, ["one two\n \t\n", "three fours"]),  # a line of blanks ends a paragraph
+        (14, ["aaaa bbb\n", "- item one ", "more"]),  # the start of a list item
+        (14, ["aaaa bbb\r\n", "12) next one ", "xxyyzz"]),
+        (12, ["aaaa bbb\n", "# head more ", "text"]),
+        (12, ["aa bbbb. ", "cc dddddd"]),  # a sentence before a later blank
+        (12, ["aa bbbb; ", "cc dddddd"]),
+        (12, ["aa bbbb； ", "cc dddddd"]),
+        (12, ["aa bbb!』》 ", "cc dddddd"]),
+        (12, ["aa bbbb» cc ", "dddddd"]),  # no closing mark of a sentence
+        (12, ["aa bbbb… cc ", "dddddd"]),  # no sentence end
+        (10, ["aaa bbb\n", "cc dd ee"]),  # a line end before a later blank
+        (8, ["aaa bbb ", "ccc"]),
+        (4, ["abcd", "efgh", "i"]),
+        (5, ["abc\r\n", "def"]),
+        (4, ["abc", "\r\n", "def"]),  # CR LF stays whole
+        (6, ["a.    ", "      ", "      ", "bcde"]),
+    ):
+        assert chunks("".join(pieces), most) == pieces, (most, pieces)
+
+
+def test_a_sentence_ends_after_any_run_of_blanks():
+    text = "a" * 30 + "." + " " * 5000 + "b" * 30
+    got = chunks(text, 40)
+    assert "".join(got) == text and all(len(c) <= 40 for c in got)
+    assert got[0] == text[:40] and got[-1].endswith("b" * 30)
+    started = time.perf_counter()
+    chunks(" " * 2_000_000 + "x" + ".)" * 500_000 + "\n \n" * 200_000, 1200)
+    assert time.perf_counter() - started < 20
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab .!\n\t\"", max_size=120), st.integers(4, 30))
-def test_chunks_follow_the_definition(text, most):
+@given(st.text(alphabet="ab .!;)\n\r\t\"》…#-1", max_size=160), st.integers(2, 40))
+def test_chunks_keep_the_text_and_their_bounds(text, most):
     got = chunks(text, most)
     assert "".join(got) == text and all(0 < len(c) <= most for c in got)
-    assert got == brute(text, most)
+    for c, after in zip(got, got[1:]):
+        assert not (c.endswith("\r") and after.startswith("\n")) or len(c) == 1 or most < 3
+        assert len(c) >= min(most - 1, -(-most // 2))
+
+
+def test_blank_pieces_can_be_rejected():
+    assert chunks("a" * 10 + " " * 30, 10)[-1] == " " * 10
+    with pytest.raises(ValueError):
+        chunks("a" * 10 + " " * 30, 10, reject_blank=True)
+    with pytest.raises(ValueError):
+        chunks("a", 0)
 
 
 def test_chunks_edge_cases():
