@@ -20,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a worker holds few long texts at a time."""
+    """Bound the rows of an Arrow batch, so that a worker holds few long texts at a time.
+
+    The setting stays on the session: results are lazy, and it is read when they are computed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -46,6 +49,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_dir(spark: SparkSession, where: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint directory, its lineage cut."""
     shared_dir(df.sparkSession)
