@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 
 def centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, degree, gravity, radius, hub) of nodes (id) by distinct neighbours in links (source_id, target_id).
@@ -28,17 +30,42 @@ def centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return all_.join(F.broadcast(hubs), "id", "left").select("id", "degree", F.round(gravity, 6).alias("gravity"), F.round(4 + F.least(F.lit(12.0), 2.2 * F.log2(F.col("degree") + 1)), 6).alias("radius"), F.coalesce("_hub", F.lit(False)).alias("hub"))
 
 
+#: Words that say nothing about what two texts share.
+STOP_WORDS = (
+    "about after again also and are been before being but can could did does for from had has have into its more not our should that the their then "
+    "there these they this through was were will with would your"
+).split()
+_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
+
+
+def affinity_terms(text: Column) -> Column:
+    """The term set of a text: ASCII words without stop words, and the two-character grams of its CJK runs."""
+    low = F.lower(text)
+    words = F.filter(F.regexp_extract_all(low, F.lit("([a-z0-9][a-z0-9_-]{1,63})"), 1), lambda w: ~w.isin(*STOP_WORDS))
+    runs = F.filter(F.regexp_extract_all(low, F.lit(f"({_CJK})"), 1), lambda r: F.length(r) >= 2)
+    grams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(words, grams))
+
+
 def affinity(docs: DataFrame, least: float = 0.16, text: str = "content") -> DataFrame:
-    """(source, target, weight): Ochiai similarity of the term sets of documents (id) that share a term.
+    """(source, target, weight): Ochiai similarity of the term sets of documents (id), from ``least`` on.
 
-    An inverted-index self join counts shared terms: no pair without a common term is formed.
+    Prefix filtering: with terms in the order of their frequency, two sets of at least this similarity share one of the
+    first n - ceil(least^2 n) + 1 terms of each, so a document's most frequent terms form no pairs. Candidates
+    are verified with the whole sets.
     """
-    t = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9][a-z0-9_-]{1,63})"), 1))).alias("term"))
-    n = t.groupBy("id").agg(F.count("*").alias("n"))
-    shared = t.withColumnRenamed("id", "source").join(t.withColumnRenamed("id", "target"), "term").where("source < target").groupBy("source", "target").agg(F.count("*").alias("c"))
-    got = shared.join(n.withColumnRenamed("id", "source").withColumnRenamed("n", "ns"), "source").join(n.withColumnRenamed("id", "target").withColumnRenamed("n", "nt"), "target")
-    w = F.col("c") / F.sqrt(F.col("ns") * F.col("nt"))
-    return got.where(w >= least).select("source", "target", F.round(w, 4).alias("weight"))
+    sets = docs.select("id", affinity_terms(F.col(text)).alias("terms")).where(F.size("terms") > 0)
+    each = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    placed = each.join(df, "term").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "term")))
+    prefix = placed.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (least * least - 1e-9)) + 1).select("term", "id", "n")
+    a, b = (prefix.select("term", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in ("source", "target"))
+    # sets whose sizes differ too much cannot reach it
+    near = F.least("n_source", "n_target") >= least * least * F.greatest("n_source", "n_target") - 1e-9
+    pairs = a.join(b, "term").where((F.col("source") < F.col("target")) & near).select("source", "target").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("source"), F.col("terms").alias("x")), "source").join(sets.select(F.col("id").alias("target"), F.col("terms").alias("y")), "target")
+    w = F.size(F.array_intersect("x", "y")) / F.sqrt(F.size("x").cast("double") * F.size("y"))
+    return both.select("source", "target", w.alias("w")).where(F.col("w") >= least).select("source", "target", F.round("w", 4).alias("weight"))
 
 
 def capped(edges: DataFrame, most: int, rounds: int = 200) -> DataFrame:
@@ -47,27 +74,22 @@ def capped(edges: DataFrame, most: int, rounds: int = 200) -> DataFrame:
     An edge is final once it is among the first ``most - taken`` of the open edges at both ends: the greedy order would
     take it too. Each round takes all such edges and drops those at full nodes; it equals the sequential result.
     """
-    spark = edges.sparkSession
     key = F.struct((-F.col("weight")).alias("w"), "source", "target")
     left = edges.select("source", "target", "weight")
     taken = left.where("false")
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    has_dir = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     for _ in range(rounds):
         counts = taken.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("c"))
         ends = left.select("source", "target", "weight", F.explode(F.array("source", "target")).alias("node")).join(counts, "node", "left")
         place = F.row_number().over(Window.partitionBy("node").orderBy(key))
         judged = ends.select("source", "target", "weight", (F.coalesce("c", F.lit(0)) >= most).alias("full"), (place + F.coalesce("c", F.lit(0)) <= most).alias("first"))
         state = judged.groupBy("source", "target", "weight").agg(F.bool_or("full").alias("full"), F.bool_and("first").alias("first"))
-        state = state.checkpoint() if has_dir else state.persist()
+        state = saved(state)
         now = state.where("first and not full").select("source", "target", "weight")
         taken = taken.unionByName(now)
         left = state.where("not first and not full").select("source", "target", "weight")
         if left.isEmpty():
-            break
-    return taken
+            return taken
+    raise RuntimeError(f"edges are still open after {rounds} rounds")
 
 
 def covered(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:

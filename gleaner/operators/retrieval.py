@@ -7,52 +7,84 @@ shuffles at most and no pair of query and document is formed that shares no term
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import aliases, cjk_grams, cosine_distance, dot, terms
+from ..functions.text import aliases, cjk_grams, terms
 from .access import active_members, may_read
 from .ranking import fused, ranked, rolled_up
 
 
-def postings(docs: DataFrame, text: str = "content", id: str = "id") -> DataFrame:
-    """(id, term, tf) of each document; long texts are pre-aggregated before the shuffle."""
-    return docs.select(F.col(id).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, text: str = "content", id: str = "id", wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf) of each document; with ``wanted`` only of its terms, so that no other posting is moved."""
+    each = docs.select(F.col(id).alias("id"), F.explode(terms(F.col(text))).alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, text: str = "text", id: str = "query_id", most: int = 32) -> DataFrame:
-    """(query_id, term, weight, n_terms): the first distinct terms of each query.
+    """(query_id, term, weight, leading, n_terms): the distinct terms of each query; ``leading`` are the first ``most``.
 
     Weights: 4 capitalised, 3 with a digit, 1.5 from ten characters on, else 1; of repeated terms the first counts.
     """
     raw = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}_'-]*)"), 1)
     each = queries.select(F.col(id).alias("query_id"), F.posexplode(raw).alias("at", "word"))
     first = each.groupBy("query_id", F.lower("word").alias("term")).agg(F.min_by("word", "at").alias("word"), F.min("at").alias("at"))
-    kept = first.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).where(F.col("k") <= most)
+    placed = first.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("at")))
     w = F.col("word")
     weight = F.when(w.rlike(r"^\p{Lu}"), 4.0).when(w.rlike(r"\p{N}"), 3.0).when(F.length(w) >= 10, 1.5).otherwise(1.0)
-    return kept.select("query_id", "term", weight.alias("weight"), F.count("*").over(Window.partitionBy("query_id")).alias("n_terms"))
+    return placed.select("query_id", "term", weight.alias("weight"), (F.col("k") <= most).alias("leading"), F.count("*").over(Window.partitionBy("query_id")).alias("n_terms"))
+
+
+def lexical(posted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, id, n, n_terms, plain, n_leading, weighted): what the strict and the relaxed channel need, in one pass.
+
+    ``plain`` sums tf / (tf + 1) over all of the query's terms, ``weighted`` weight * tf / (tf + 1) over its leading ones.
+    """
+    part = F.col("tf") / (F.col("tf") + 1)
+    return posted.join(wanted, "term").groupBy("query_id", "id").agg(
+        F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(part).alias("plain"),
+        F.count_if("leading").alias("n_leading"), F.sum(F.when(F.col("leading"), F.col("weight") * part)).alias("weighted"),
+    )
 
 
 def strict(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, id, score): documents that hold every term; score = sum of tf / (tf + 1)."""
-    hit = posted.join(wanted, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("score"))
-    return hit.where("n = n_terms").select("query_id", "id", "score")
+    return lexical(posted, wanted).where("n = n_terms").select("query_id", "id", F.col("plain").alias("score"))
 
 
 def relaxed(posted: DataFrame, wanted: DataFrame, least: int = 2) -> DataFrame:
-    """(query_id, id, score, n): documents with at least ``least`` terms; score = sum of weight * tf / (tf + 1)."""
-    hit = posted.join(wanted, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + 1)).alias("score"))
-    return hit.where(F.col("n") >= least).select("query_id", "id", "score", "n")
+    """(query_id, id, score, n): documents with at least ``least`` leading terms; score = sum of weight * tf / (tf + 1)."""
+    hit = lexical(posted, wanted).where(F.col("n_leading") >= least)
+    return hit.select("query_id", "id", F.col("weighted").alias("score"), F.col("n_leading").alias("n"))
 
 
-def phrase(docs: DataFrame, queries: DataFrame, posted: DataFrame, wanted: DataFrame, text: str = "content") -> DataFrame:
+def phrase(docs: DataFrame, queries: DataFrame, text: str = "content", block: int = 1024) -> DataFrame:
     """(query_id, id): documents whose text holds the query's text, upper and lower case alike.
 
-    Only documents that hold all of the query's terms are looked at.
+    A term of the query that has a term before and after it is a whole term of every text that holds
+    the query, so only documents that hold all such terms are looked at. Queries without one (two terms or fewer) are
+    a stated set that meets all documents, block by block.
     """
-    cand = strict(posted, wanted).select("query_id", "id")
-    return cand.join(docs.select("id", F.lower(text).alias("_t")), "id").join(queries.select("query_id", F.lower("text").alias("_q")), "query_id").where(F.instr(F.col("_t"), F.col("_q")) > 0).select("query_id", "id")
+    asked = queries.select("query_id", F.lower("text").alias("_q"), terms(F.col("text")).alias("_terms")).where("_q <> ''")
+    inner = F.expr("slice(_terms, 2, greatest(0, size(_terms) - 2))")
+    inside = asked.select("query_id", F.explode(F.array_distinct(inner)).alias("term")).withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
+    held = postings(docs, text, wanted=inside).join(inside, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms")).where("n = n_terms")
+    lowered = docs.select("id", F.lower(text).alias("_t"))
+    cand = held.select("query_id", "id").join(lowered, "id").join(asked.select("query_id", "_q"), "query_id")
+    found = cand.where(F.instr(F.col("_t"), F.col("_q")) > 0).select("query_id", "id")
+    short = asked.where(F.size("_terms") < 3).select("query_id", "_q")
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)  # about ``block`` short texts
+        found = found.unionByName(lowered.join(F.broadcast(some), F.instr(F.col("_t"), F.col("_q")) > 0).select("query_id", "id"))
+    return found
 
 
 def alias_hits(docs: DataFrame, queries: DataFrame, text: str = "content", most: int = 8) -> DataFrame:
@@ -75,25 +107,65 @@ def gram_hits(docs: DataFrame, grams: DataFrame, text: str = "content", size: in
     return hit.where(F.col("hits") >= F.least(F.lit(2), F.col("n"))).select("query_id", "id", "total", "hits")
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+def _tiles(vectors: DataFrame, key: str, rows: int) -> DataFrame:
+    """Vectors as tiles of one length: (keys, dims, flat, norms), in doubles; no shuffle."""
+    kind = vectors.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vs = b.column(1).to_pylist()
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vs):
+                if v and None not in v:
+                    by_size.setdefault(len(v), []).append(i)
+            for dims, at in by_size.items():
+                for k in range(0, len(at), rows):
+                    some = at[k : k + rows]
+                    x = np.array([vs[i] for i in some], np.float64)
+                    keys = b.column(0).take(pa.array(some))
+                    whole = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), keys)
+                    norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+                    yield pa.RecordBatch.from_arrays([whole, pa.array([dims]), pa.array([x.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], names=["keys", "dims", "flat", "norms"])
+
+    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("dims", T.LongType()), T.StructField("flat", T.BinaryType()), T.StructField("norms", T.BinaryType())])
+    return vectors.select(key, "embedding").mapInArrow(run, schema)
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, threshold: float, tile_rows: int = 1024) -> DataFrame:
     """(query_id, id, distance): vectors within a cosine distance of each query vector.
 
-    ``queries`` is a stated query set, streamed in blocks against all vectors; norms are computed once a vector.
+    ``queries`` is a stated query set that meets all vectors in blocks: both sides are gathered into tiles, and each
+    pair of tiles is one matrix product. Zero vectors and those with nulls are near nothing.
     """
-    v = vectors.select(F.col("vec_id").alias("id"), "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    q = queries.select("query_id", F.col("embedding").alias("wanted"), F.sqrt(dot("embedding", "embedding")).alias("wanted_norm"))
-    d = cosine_distance("embedding", "wanted", "norm", "wanted_norm")
-    return v.join(q, F.size("embedding") == F.size("wanted")).select("query_id", "id", d.alias("distance")).where(F.col("distance") <= threshold)
+    left = _tiles(vectors.withColumnRenamed("vec_id", "id"), "id", tile_rows)
+    right = _tiles(queries, "query_id", tile_rows).select(*(F.col(c).alias(f"q_{c}") for c in ("keys", "dims", "flat", "norms")))
+    pairs = left.crossJoin(right).where("dims = q_dims")
+    schema = T.StructType([T.StructField("query_id", right.schema["q_keys"].dataType.elementType), T.StructField("id", left.schema["keys"].dataType.elementType), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = dict(zip(b.schema.names, b.columns))
+            for k in range(b.num_rows):
+                dims = col["dims"][k].as_py()
+                x, y = (np.frombuffer(col[c][k].as_py(), np.float64).reshape(-1, dims) for c in ("flat", "q_flat"))
+                nx, ny = (np.frombuffer(col[c][k].as_py(), np.float64) for c in ("norms", "q_norms"))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = 1 - (x @ y.T) / (nx[:, None] * ny[None, :])
+                i, j = np.nonzero(d <= threshold)
+                yield pa.RecordBatch.from_arrays([col["q_keys"][k].values.take(pa.array(j)), col["keys"][k].values.take(pa.array(i)), pa.array(d[i, j])], names=["query_id", "id", "distance"])
+
+    return pairs.mapInArrow(run, schema)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of documents (id) that share a token; repeated query tokens count each time."""
-    each = docs.select("id", F.explode(tokens).alias("term"))
+    want = queries.select("query_id", F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # only the query set's terms are counted and moved
+    each = docs.select("id", F.explode(tokens).alias("term")).join(want.select("term").distinct(), "term", "left_semi")
     tf = each.groupBy("id", "term").agg(F.count("*").alias("tf"))
     lengths = docs.select("id", F.size(tokens).alias("length"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    want = queries.select("query_id", F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     hit = tf.join(want, "term").join(df, "term").join(lengths, "id").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
@@ -123,13 +195,11 @@ def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame,
     key = F.struct(F.col("id").alias("memory_id"), "ordinal", "workspace_id", "owner_id", "scope", "updated_at")
     chunks = pieces.select(key.alias("id"), F.col("chunk").alias("content")).repartition("id")
     want = query_terms(queries)
-    posted = postings(chunks).join(F.broadcast(want.select("term").distinct()), "term", "left_semi")
-    part = F.col("tf") / (F.col("tf") + 1)
-    terms_hit = posted.join(F.broadcast(want), "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(part).alias("plain"), F.sum(F.col("weight") * part).alias("weighted"))
+    terms_hit = lexical(postings(chunks, wanted=want), F.broadcast(want))
     hit = lambda name, first, second=F.lit(0.0): F.struct(F.lit(name).alias("channel"), F.round(first.cast("double"), 9).alias("first"), second.cast("double").alias("second"))
-    both = F.array_compact(F.array(F.when(F.col("n") == F.col("n_terms"), hit("simple", F.col("plain"))), F.when(F.col("n") >= 2, hit("relaxed", F.col("weighted")))))
+    both = F.array_compact(F.array(F.when(F.col("n") == F.col("n_terms"), hit("simple", F.col("plain"))), F.when(F.col("n_leading") >= 2, hit("relaxed", F.col("weighted")))))
     grams = gram_hits(chunks, F.broadcast(queries.select("query_id", cjk_grams(F.col("text")).alias("grams"))))
-    near = semantic(vectors.select(key.alias("vec_id"), "embedding"), F.broadcast(wanted), threshold)
+    near = semantic(vectors.select(key.alias("vec_id"), "embedding"), wanted, threshold)
     found = [terms_hit.select("query_id", "id", F.explode(both).alias("hit")), grams.select("query_id", "id", hit("cjk", F.col("total"), F.col("hits")).alias("hit")), near.select("query_id", "id", hit("semantic", -F.col("distance")).alias("hit"))]
     if with_aliases:
         found.append(alias_hits(chunks, queries).select("query_id", "id", hit("alias", F.col("hits"), F.col("longest")).alias("hit")))

@@ -11,6 +11,9 @@ from ..sources.sinks import export_manifest
 from ..sources.tables import table
 from .registry import query
 
+#: Accuracy of a percentile sketch: its ranks are off by at most 1 / SKETCH of the rows.
+SKETCH = 10_000
+
 
 @query("type_source_counts", """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, sum(value) AS total FROM events GROUP BY 1""".replace("sum(value)", "round(sum(value), 4)"))
 def type_source_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -29,12 +32,26 @@ def daily_activity(spark: SparkSession, d: str) -> DataFrame:
 @query("latency_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(CASE WHEN k = ceil(0.5 * n) THEN value END) AS p50, max(CASE WHEN k = ceil(0.95 * n) THEN value END) AS p95, max(CASE WHEN k = least(n - 1, floor(n * 0.95)) + 1 THEN value END) AS p95_floor FROM r GROUP BY 1""")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Two definitions: nearest rank ceil(p n), and the element at index min(n - 1, floor(n p))."""
-    e = table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.count("*").alias("n"))
-    floor = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)) + 1
-    k = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id"))
-    at = table(spark, d, "events").select("event_type", "value", k.alias("k")).join(F.broadcast(e), "event_type").where(F.col("k") == floor)  # one row an event type
-    return at.select("event_type", "p50", "p95", F.col("value").alias("p95_floor"))
+    """Two definitions: nearest rank ceil(p n), and the element at index min(n - 1, floor(n p)).
+
+    A bounded sketch gives each type an interval that surely holds the value; what lies below is counted, and only
+    the interval's values, a small share of the rows, are ranked by their counts.
+    """
+    e = table(spark, d, "events").select("event_type", "value").where("value is not null")
+    at = F.expr(f"approx_percentile(value, array(0.4996, 0.5004, 0.9496, 0.9504), {SKETCH})")
+    spread = e.groupBy("event_type").agg(F.count("*").alias("n"), at.alias("a"), F.min("value").alias("low"), F.max("value").alias("high"))
+    n = F.col("n")
+    # ranks are looked for between two sketched ones; with few rows the sketch is exact and the ends may be missed by one
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), k.cast("long").alias("k"), F.when(n < SKETCH, F.col("low")).otherwise(F.col("a")[i]).alias("from"), F.when(n < SKETCH, F.col("high")).otherwise(F.col("a")[i + 1]).alias("to")) for name, k, i in (
+        ("p50", F.ceil(0.5 * n), 0), ("p95", F.ceil(0.95 * n), 2), ("p95_floor", F.least(n - 1, F.floor(n * 0.95)) + 1, 2),
+    )))
+    asked = spread.select("event_type", F.explode(wanted).alias("w")).select("event_type", "w.*")
+    counts = e.groupBy("event_type", "value").agg(F.count("*").alias("c")).join(asked, "event_type")
+    below = counts.where(F.col("value") < F.col("from")).groupBy("event_type", "name").agg(F.sum("c").alias("below"))
+    inside = counts.where(F.col("value").between(F.col("from"), F.col("to"))).join(below, ["event_type", "name"], "left")
+    upto = F.coalesce("below", F.lit(0)) + F.sum("c").over(Window.partitionBy("event_type", "name").orderBy("value"))
+    found = inside.withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k")))
+    return found.groupBy("event_type").agg(*(F.max(F.when(F.col("name") == x, F.col("value"))).alias(x) for x in ("p50", "p95", "p95_floor")))
 
 
 @query("null_aware_totals", """SELECT o_custkey, CASE WHEN count(x) = count(*) THEN round(sum(x), 2) END AS total FROM (SELECT o_custkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS x FROM orders) GROUP BY 1""")
@@ -43,19 +60,34 @@ def null_aware_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.when(F.count(x) == F.count("*"), F.round(F.sum(x), 2)).alias("total"))
 
 
-@query("ordered_digest", """SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+_BLOCK = 1024
+
+
+@query("ordered_digest", f"""WITH a AS (SELECT source, doc_id // {_BLOCK} AS b, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2), c AS (SELECT source, b // {_BLOCK} AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM a GROUP BY source, a.b // {_BLOCK})
+SELECT source, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM c GROUP BY 1""")
 def ordered_digest(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    return docs.groupBy("source").agg(F.sha2(F.expr("listagg(h) within group (order by doc_id)").cast("binary"), 256).alias("digest"))
+    """A digest tree in the order of doc_id: no task gathers more than a block of hashes."""
+    h = table(spark, d, "documents").select("source", F.col("doc_id").alias("k"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    for last in (False, False, True):
+        up = [] if last else [F.floor(F.col("k") / _BLOCK).alias("b")]
+        h = h.groupBy("source", *up).agg(F.sha2(F.expr("listagg(h) within group (order by k)").cast("binary"), 256).alias("h")).withColumnsRenamed({"b": "k"})
+    return h.select("source", F.col("h").alias("digest"))
 
 
-@query("masked_digest", """SELECT a.conv_id, a.turn, sha256(string_agg(CASE WHEN a.turn = b.turn THEN '*' ELSE sha256(b.text) END, '' ORDER BY b.turn)) AS fingerprint FROM conversations a JOIN conversations b USING (conv_id) GROUP BY 1, 2""")
+@query("masked_digest", """WITH c AS (SELECT conv_id, turn, CAST('0x' || substr(sha256(turn || ':' || sha256(text)), 1, 15) AS BIGINT)::HUGEINT AS h FROM conversations), s AS (SELECT conv_id, sum(h) AS total, count(*) AS n FROM c GROUP BY 1)
+SELECT conv_id, turn, sha256(n || ':' || turn || ':' || CAST(total - h AS VARCHAR)) AS fingerprint FROM c JOIN s USING (conv_id)""")
 def masked_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn's fingerprint of its conversation with its own place masked."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    both = c.select("conv_id", "turn").join(c.select("conv_id", F.col("turn").alias("other"), "h"), "conv_id")
-    masked = both.withColumn("h", F.when(F.col("turn") == F.col("other"), "*").otherwise(F.col("h")))
-    return masked.groupBy("conv_id", "turn").agg(F.sha2(F.expr("listagg(h) within group (order by other)").cast("binary"), 256).alias("fingerprint"))
+    """Each turn's fingerprint of its conversation with its own place masked.
+
+    The conversation's fingerprint is a sum of hashes that bind every turn to its place, so masking one is a
+    subtraction and no turn gathers the others.
+    """
+    c = table(spark, d, "conversations")
+    bound = F.sha2(F.concat(F.col("turn").cast("string"), F.lit(":"), F.sha2(F.col("text").cast("binary"), 256)).cast("binary"), 256)
+    c = c.select("conv_id", "turn", F.conv(F.substring(bound, 1, 15), 16, 10).cast("decimal(28,0)").alias("h"))
+    whole = c.groupBy("conv_id").agg(F.sum("h").alias("total"), F.count("*").alias("n"))
+    text = F.concat_ws(":", F.col("n").cast("string"), F.col("turn").cast("string"), (F.col("total") - F.col("h")).cast("string"))
+    return c.join(whole, "conv_id").select("conv_id", "turn", F.sha2(text.cast("binary"), 256).alias("fingerprint"))
 
 
 @query("nested_rows", """SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final FROM orders GROUP BY 1""")
@@ -97,7 +129,8 @@ def conditional_rates(spark: SparkSession, d: str) -> DataFrame:
 @query("round_robin_sample", """SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) ORDER BY k, event_type LIMIT 42""")
 def round_robin_sample(spark: SparkSession, d: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return table(spark, d, "events").select("event_type", "event_id", k.alias("k")).orderBy("k", "event_type").limit(42).select("event_type", "event_id")
+    # no type gives more than the limit, so ranks beyond it are cut where they are made
+    return table(spark, d, "events").select("event_type", "event_id", k.alias("k")).where("k <= 42").orderBy("k", "event_type").limit(42).select("event_type", "event_id")
 
 
 @query("inverted_index", """SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY 1""")
@@ -146,12 +179,16 @@ def graph_centrality(spark: SparkSession, d: str) -> DataFrame:
     return G.centrality(nodes, V.links(spark, d))
 
 
-@query("affinity_edges", r"""WITH t AS (SELECT DISTINCT item_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_-]{1,63})', 1)) AS term FROM benchmark), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), i AS (SELECT a.id AS source, b.id AS target, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
+_STOPS = ", ".join(f"'{w}'" for w in G.STOP_WORDS)
+
+
+@query("affinity_edges", rf"""WITH t AS (SELECT DISTINCT id, term FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_-]{{1,63}})', 1)) AS term FROM documents) WHERE term NOT IN ({_STOPS})), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), i AS (SELECT a.id AS source, b.id AS target, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
 SELECT source, target, round(c / sqrt(x.n * y.n), 4) AS weight FROM i JOIN n x ON x.id = source JOIN n y ON y.id = target WHERE c / sqrt(x.n * y.n) >= 0.16""")
 def affinity_edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.affinity(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content")))
+    return G.affinity(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
 @query("affinity_matching")
 def affinity_matching(spark: SparkSession, d: str) -> DataFrame:
-    return G.capped(affinity_edges(spark, d), 3)
+    """At most three affine neighbours for each of the benchmark's passages."""
+    return G.capped(G.affinity(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))), 3)

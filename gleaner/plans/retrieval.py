@@ -30,9 +30,9 @@ def _memories(spark: SparkSession, d: str) -> DataFrame:
 _POST = r"""p AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}][\p{L}\p{N}_''-]*)', 1)) AS term FROM documents) GROUP BY 1, 2)"""
 _TERMS = r"""w0 AS (SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '([\p{L}\p{N}][\p{L}\p{N}_''-]*)', 1)) AS word, generate_subscripts(regexp_extract_all(text, '([\p{L}\p{N}][\p{L}\p{N}_''-]*)', 1), 1) AS pos FROM benchmark)),
 w1 AS (SELECT query_id, lower(word) AS term, arg_min(word, pos) AS word, min(pos) AS pos FROM w0 GROUP BY 1, 2), w2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS k FROM w1),
-q AS (SELECT query_id, term, CASE WHEN regexp_matches(word, '^\p{Lu}') THEN 4.0 WHEN regexp_matches(word, '\p{N}') THEN 3.0 WHEN length(word) >= 10 THEN 1.5 ELSE 1.0 END AS weight, count(*) OVER (PARTITION BY query_id) AS n_terms FROM w2 WHERE k <= 32)"""
+q AS (SELECT query_id, term, CASE WHEN regexp_matches(word, '^\p{Lu}') THEN 4.0 WHEN regexp_matches(word, '\p{N}') THEN 3.0 WHEN length(word) >= 10 THEN 1.5 ELSE 1.0 END AS weight, k, count(*) OVER (PARTITION BY query_id) AS n_terms FROM w2)"""
 _STRICT = "s AS (SELECT query_id, id, sum(tf / (tf + 1)) AS score FROM p JOIN q USING (term) GROUP BY 1, 2 HAVING count(*) = max(n_terms))"
-_RELAXED = "r AS (SELECT query_id, id, sum(weight * tf / (tf + 1)) AS score, count(*) AS n FROM p JOIN q USING (term) GROUP BY 1, 2 HAVING count(*) >= 2)"
+_RELAXED = "r AS (SELECT query_id, id, sum(weight * tf / (tf + 1)) AS score, count(*) AS n FROM p JOIN q USING (term) WHERE k <= 32 GROUP BY 1, 2 HAVING count(*) >= 2)"
 _WITH = f"WITH {_POST}, {_TERMS}"
 
 
@@ -41,7 +41,8 @@ def _rank(score: str = "score", by: str = "query_id", down: bool = True) -> str:
 
 
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return S.postings(_memories(spark, d)), S.query_terms(_queries(spark, d))
+    wanted = S.query_terms(_queries(spark, d))
+    return S.postings(_memories(spark, d), wanted=wanted), wanted
 
 
 @query("chunk_reconstruct", """SELECT doc_id, md5(text) AS digest, true AS bounded FROM documents WHERE text <> ''""")
@@ -72,7 +73,7 @@ def lexical_relaxed(spark: SparkSession, d: str) -> DataFrame:
 @query("phrase_matches", "SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     docs, qs = _memories(spark, d), _queries(spark, d)
-    return S.phrase(docs, qs, S.postings(docs), S.query_terms(qs))
+    return S.phrase(docs, qs)
 
 
 _ALIAS = r"""a0 AS (SELECT {id} AS id, regexp_replace(regexp_replace(lower(trim(regexp_replace(a, '\s+', ' ', 'g'))), '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '') AS alias FROM (SELECT {id}, unnest(list_concat(regexp_extract_all({t}, '"([^"\x00-\x1f\x7f]{{2,128}})"', 1),
@@ -116,11 +117,13 @@ f AS (SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS score, count(*) AS channe
 
 
 def hybrid(spark: SparkSession, d: str, limit: int = LIMIT) -> DataFrame:
-    """Strict and relaxed channels, each cut to four times the limit, fused and ranked."""
-    posted, wanted = _hits(spark, d)
+    """Strict and relaxed channels, each cut to four times the limit, fused and ranked; one pass over the postings."""
+    hits = S.lexical(*_hits(spark, d))
+    hit = lambda name, score: F.struct(F.lit(name).alias("channel"), F.col(score).alias("score"))
+    both = F.array_compact(F.array(F.when(F.col("n") == F.col("n_terms"), hit("strict", "plain")), F.when(F.col("n_leading") >= 2, hit("relaxed", "weighted"))))
     order = (F.desc(F.round("score", 9)), F.col("id"))
-    channels = [R.ranked(S.strict(posted, wanted), *order, limit=4 * limit), R.ranked(S.relaxed(posted, wanted), *order, limit=4 * limit)]
-    return R.ranked(R.fused(channels), *order, limit=limit)
+    each = R.ranked(hits.select("query_id", "id", F.explode(both).alias("hit")).select("query_id", "id", "hit.*"), *order, by=["query_id", "channel"], limit=4 * limit)
+    return R.ranked(R.fused([each]), *order, limit=limit)
 
 
 @query("hybrid_search", f"{_HYBRID} SELECT query_id, id, rank, channels, round(score, 6) AS score FROM h WHERE rank <= 20")
@@ -175,7 +178,7 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.evaluation import ranking_metrics as metrics
 
     docs, qs = _memories(spark, d), _queries(spark, d)
-    expected = S.phrase(docs, qs, S.postings(docs), S.query_terms(qs))
+    expected = S.phrase(docs, qs)
     forbidden = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
     return metrics(hybrid(spark, d), expected, forbidden, LIMIT)
 
@@ -183,8 +186,9 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("evidence_windows")
 def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunked(_memories(spark, d))
-    by_chunk = S.postings(pieces.select(F.concat_ws(":", "id", "ordinal").alias("id"), F.col("chunk").alias("content")))
-    best = R.ranked(S.relaxed(by_chunk, S.query_terms(_queries(spark, d))), F.desc(F.round("score", 9)), F.col("id"), limit=LIMIT)
+    wanted = S.query_terms(_queries(spark, d))
+    by_chunk = S.postings(pieces.select(F.concat_ws(":", "id", "ordinal").alias("id"), F.col("chunk").alias("content")), wanted=wanted)
+    best = R.ranked(S.relaxed(by_chunk, wanted), F.desc(F.round("score", 9)), F.col("id"), limit=LIMIT)
     anchors = best.select("query_id", F.split("id", ":")[0].cast("long").alias("id"), F.split("id", ":")[1].cast("int").alias("ordinal"))
     got = S.evidence(pieces, anchors)
     return got.select("query_id", "id", "n_chunks", F.md5(F.col("evidence").cast("binary")).alias("digest"))
@@ -221,7 +225,8 @@ _EPI = _POST.replace("doc_id AS id", "conv_id * 1000 + turn AS id").replace("FRO
 @query("episode_search", f"""WITH {_EPI}, {_TERMS}, {_RELAXED}, h AS (SELECT *, {_rank()} AS rank FROM r) SELECT query_id, id // 1000 AS conv_id, round(max(1.0 / (60 + rank)), 6) AS score, count(*) AS n_turns FROM h WHERE rank <= 40 GROUP BY 1, 2""")
 def episode_search(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
-    hits = R.ranked(S.relaxed(S.postings(turns), S.query_terms(_queries(spark, d))), F.desc(F.round("score", 9)), F.col("id"), limit=40)
+    wanted = S.query_terms(_queries(spark, d))
+    hits = R.ranked(S.relaxed(S.postings(turns, wanted=wanted), wanted), F.desc(F.round("score", 9)), F.col("id"), limit=40)
     each = hits.select("query_id", F.floor(F.col("id") / 1000).alias("conv_id"), (1.0 / (60 + F.col("rank"))).alias("score"))
     return each.groupBy("query_id", "conv_id").agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("n_turns"))
 

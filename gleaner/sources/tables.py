@@ -34,6 +34,17 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     )
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint directory, its lineage cut.
+
+    The directory is ``spark.checkpoint.dir``; only where that is unset (a local test) a temporary folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-gleaner-"))
+    return df.checkpoint(eager=True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers wherever the session runs (once a context)."""
     sc = spark.sparkContext
