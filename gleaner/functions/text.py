@@ -62,3 +62,17 @@ def normalized_answer(text: Column) -> Column:
     """Lower case without commas, ASCII punctuation and articles, single spaces."""
     bare = F.regexp_replace(F.lower(F.regexp_replace(text, ",", "")), r"[!-/:-@\[-`{-~]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<![A-Za-z0-9_])(a|an|the|and)(?![A-Za-z0-9_])", " "), r"\s+", " "))
+
+
+def line_at(text: Column, position: Column) -> Column:
+    """The 1-based line that the code point after ``position`` others stands in."""
+    head = F.substring(text, F.lit(1), position.cast("int"))
+    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+
+
+def blob_outcome(content: Column, most: int, supported: Column) -> Column:
+    """How an index takes a blob (binary): indexed, or excluded and why."""
+    return (
+        F.when(F.octet_length(content) == 0, "excluded:empty").when(F.instr(F.hex(content), "00") % 2 == 1, "excluded:binary")
+        .when(~F.is_valid_utf8(content.cast("string")), "excluded:invalid_utf8").when(F.octet_length(content) > most, "excluded:oversized").when(~supported, "excluded:unsupported").otherwise("indexed")
+    )

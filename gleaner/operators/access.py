@@ -39,3 +39,12 @@ def visible_to(memories: DataFrame, memberships: DataFrame, user_id: int) -> Dat
 def with_both_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links whose source and target are both among ``nodes`` (column id)."""
     return links.join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+
+
+def rights(memberships: DataFrame) -> DataFrame:
+    """Memberships (status, role) with what their holder may do in the workspace, as boolean columns."""
+    active, role = F.col("status") == "active", F.col("role")
+    return memberships.withColumns({
+        "manages": active & (role == "owner"), "evaluates": active & role.isin("owner", "admin"), "reviews": active & (role != "guest"),
+        "reads_code": active, "writes_code": active & (role != "guest"),
+    })

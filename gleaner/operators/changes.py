@@ -22,3 +22,14 @@ def claimed(jobs: DataFrame, lane: str, order: list[str]) -> DataFrame:
 
 def backoff_seconds(attempt: Column, base: int = 30, most: int = 3600) -> Column:
     return F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), attempt - 1))
+
+
+def field_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event_type, changed_fields) of rows created, updated or deleted; the fields in the tables' order, comma-joined."""
+    fields = [c for c in before.columns if c not in keys]
+    side = lambda df, name: df.select(*keys, F.struct(*fields).alias(name))
+    both = side(before, "_b").join(side(after, "_a"), keys, "full")
+    changed = [F.when(~F.col(f"_b.{c}").eqNullSafe(F.col(f"_a.{c}")), F.lit(c)) for c in fields]
+    kind = F.when(F.col("_b").isNull(), "created").when(F.col("_a").isNull(), "deleted").otherwise("updated")
+    every = F.when(F.col("_b").isNull() | F.col("_a").isNull(), F.lit(",".join(fields))).otherwise(F.concat_ws(",", *changed))
+    return both.select(*keys, kind.alias("event_type"), every.alias("changed_fields")).where("changed_fields <> ''")

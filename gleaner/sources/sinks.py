@@ -31,3 +31,8 @@ def export_manifest(parts: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(digest, 1, 13), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("checksum")).select(F.lit(name).alias("part"), "rows", "checksum")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def replaced(rows: DataFrame, where: str, by: str) -> None:
+    """Overwrite those partitions (by ``by``) of a Parquet table that ``rows`` has rows for; the others stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(where)
