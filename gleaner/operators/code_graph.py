@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 #: Extensions tried for a bare import, and those of a folder's index.
 FILE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "css", "html")
 INDEX_EXTENSIONS = ("ts", "tsx", "js", "jsx")
@@ -47,18 +49,18 @@ def export_closure(symbols: DataFrame, bindings: DataFrame, depth: int = 32) ->
     symbols (path, name); bindings (path, kind, exported, imported, target) of kind ``named`` or ``all``. Facts
     only ever grow and are kept distinct, so cycles end by themselves: rounds go on until nothing is new, ``depth`` at most.
     """
-    known = symbols.select("path", "name", F.col("path").alias("to_path"), F.col("name").alias("to_name")).distinct().persist()
-    fresh = known
-    b = bindings.persist()
+    known = symbols.select("path", "name", F.col("path").alias("to_path"), F.col("name").alias("to_name")).distinct()
+    known = saved(known)
+    fresh, b = known, saved(bindings)
     for _ in range(depth):
         step = fresh.join(b.withColumnRenamed("path", "via"), F.col("path") == F.col("target"))
         named = step.where("kind = 'named' and imported = name").select(F.col("via").alias("path"), F.col("exported").alias("name"), "to_path", "to_name")
         every = step.where("kind = 'all' and name <> 'default'").select(F.col("via").alias("path"), "name", "to_path", "to_name")
-        fresh = named.unionByName(every).distinct().join(known, known.columns, "left_anti").persist()
+        fresh = saved(named.unionByName(every).distinct().join(known, known.columns, "left_anti"))
         if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh).persist()
-    return known
+            return known
+        known = known.unionByName(fresh)
+    raise RuntimeError(f"re-exports are still open after {depth} rounds")
 
 
 def drift_state(candidates: DataFrame, cited: DataFrame, most: int = 3) -> DataFrame:

@@ -101,8 +101,9 @@ def gram_hits(docs: DataFrame, grams: DataFrame, text: str = "content", size: in
     """
     runs = F.regexp_extract_all(F.col(text), F.lit(r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}ー々ゝゞヽヾ]+)"), 1)
     cut = lambda n: F.flatten(F.transform(runs, lambda r: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - n + 1)), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
-    have = docs.select("id", F.explode(F.array_distinct(F.concat(cut(2), cut(size)))).alias("gram"))
     want = grams.select("query_id", F.explode("grams").alias("gram"), F.size("grams").alias("n"))
+    # only grams of the query set are moved
+    have = docs.select("id", F.explode(F.array_distinct(F.concat(cut(2), cut(size)))).alias("gram")).join(want.select("gram").distinct(), "gram", "left_semi")
     hit = have.join(want, "gram").groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.sum(F.length("gram")).alias("total"), F.max("n").alias("n"))
     return hit.where(F.col("hits") >= F.least(F.lit(2), F.col("n"))).select("query_id", "id", "total", "hits")
 

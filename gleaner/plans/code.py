@@ -11,31 +11,50 @@ from ..operators import retrieval as S
 from ..sources.tables import table
 from .registry import ORACLE_SQL, query
 
-_FILES = ("src/a.ts", "src/b.ts", "src/b.tsx", "src/lib/index.ts", "src/lib/util.ts", "src/c.js", "src/c.ts", "lib/x.css", "src/deep/d.ts")
-_IMPORTS = (("src/a.ts", "./b"), ("src/a.ts", "./lib"), ("src/a.ts", "./lib/util"), ("src/a.ts", "./c.js"), ("src/a.ts", "react"), ("src/deep/d.ts", "../../lib/x"), ("src/deep/d.ts", "../../../out"), ("src/deep/d.ts", "../lib/util.ts"))
-_RESOLVED = (
-    ("src/a.ts", "./b", "ambiguous", None), ("src/a.ts", "./lib", "resolved", "src/lib/index.ts"), ("src/a.ts", "./lib/util", "resolved", "src/lib/util.ts"), ("src/a.ts", "./c.js", "ambiguous", None),
-    ("src/a.ts", "react", "unresolved", None), ("src/deep/d.ts", "../../lib/x", "resolved", "lib/x.css"), ("src/deep/d.ts", "../../../out", "unresolved", None), ("src/deep/d.ts", "../lib/util.ts", "resolved", "src/lib/util.ts"),
-)
-
-
 def _values(rows: tuple) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
 
-@query("import_resolution", f"SELECT * FROM (VALUES {_values(_RESOLVED)}) t(from_path, target, resolution, to_path)")
+_SOURCES = """f AS (SELECT 'src/' || lower(split_part(p_type, ' ', 1)) || '/' || (p_partkey % 40) || CASE p_size % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.js' WHEN 3 THEN '.css' WHEN 4 THEN '/index.ts' ELSE '/index.jsx' END AS path FROM part),
+i AS (SELECT DISTINCT 'src/' || lower(split_part(p_type, ' ', 1)) || '/from.ts' AS from_path, CASE p_partkey % 5 WHEN 0 THEN './' || (p_partkey % 47) WHEN 1 THEN '../' || lower(split_part(p_type, ' ', 1)) || '/' || (p_partkey % 43) WHEN 2 THEN './' || (p_partkey % 41) || '.js' WHEN 3 THEN 'package-' || p_size ELSE '../../../' || p_size END AS target FROM part)"""
+
+
+@query("import_resolution", rf"""WITH {_SOURCES}, d AS (SELECT from_path, target, CASE WHEN target LIKE './%' THEN regexp_replace(from_path, '/[^/]*$', '') || substr(target, 2) WHEN target LIKE '../../../%' OR target NOT LIKE '.%' THEN NULL ELSE 'src/' || substr(target, 4) END AS base FROM i),
+e(suffix) AS (VALUES (''), ('.ts'), ('.tsx'), ('.js'), ('.jsx'), ('.css'), ('.html'), ('/index.ts'), ('/index.tsx'), ('/index.js'), ('/index.jsx')),
+c AS (SELECT from_path, target, base || suffix AS path FROM d, e WHERE base NOT LIKE '%.js' UNION ALL SELECT from_path, target, unnest([base, regexp_replace(base, '\.js$', '.ts'), regexp_replace(base, '\.js$', '.tsx')]) FROM d WHERE base LIKE '%.js'),
+g AS (SELECT from_path, target, count(DISTINCT c.path) AS n, min(c.path) AS path FROM c WHERE c.path IN (SELECT path FROM f) GROUP BY 1, 2)
+SELECT i.from_path, i.target, CASE WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN path END AS to_path FROM i LEFT JOIN g USING (from_path, target)""")
 def import_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return C.resolved_imports(spark.createDataFrame(_IMPORTS, "from_path string, target string"), spark.createDataFrame([(f,) for f in _FILES], "path string"))
+    """A source tree and its relative imports, named after the parts."""
+    p = table(spark, d, "part")
+    kind = F.lower(F.split("p_type", " ")[0])
+    k, size = F.col("p_partkey"), F.col("p_size")
+    case = lambda by, values: F.element_at(F.array(*values), (by % len(values) + 1).cast("int"))
+    suffix = case(size, [F.lit(x) for x in (".ts", ".tsx", ".js", ".css", "/index.ts", "/index.jsx")])
+    files = p.select(F.concat(F.lit("src/"), kind, F.lit("/"), (k % 40).cast("string"), suffix).alias("path"))
+    target = case(k, [F.concat(F.lit("./"), (k % 47).cast("string")), F.concat(F.lit("../"), kind, F.lit("/"), (k % 43).cast("string")), F.concat(F.lit("./"), (k % 41).cast("string"), F.lit(".js")), F.concat(F.lit("package-"), size.cast("string")), F.concat(F.lit("../../../"), size.cast("string"))])
+    imports = p.select(F.concat(F.lit("src/"), kind, F.lit("/from.ts")).alias("from_path"), target.alias("target")).distinct()
+    return C.resolved_imports(imports, files)
 
 
-_SYMBOLS = (("m/a", "f"), ("m/a", "default"), ("m/b", "g"), ("m/c", "h"))
-_BINDINGS = (("m/b", "all", None, None, "m/a"), ("m/c", "named", "ff", "f", "m/b"), ("m/c", "all", None, None, "m/b"), ("m/b", "all", None, None, "m/c"))
+_EXPORTS = """s AS (SELECT DISTINCT 'm' || (p_size % 10) AS path, CASE WHEN p_partkey % 9 = 0 THEN 'default' ELSE lower(split_part(p_name, ' ', 1)) END AS name FROM part),
+b AS (SELECT DISTINCT 'm' || (n_nationkey % 14) AS path, CASE WHEN n_nationkey % 3 = 0 THEN 'all' ELSE 'named' END AS kind, CASE WHEN n_nationkey % 3 <> 0 THEN lower(n_name) END AS exported, CASE WHEN n_nationkey % 3 <> 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'default' ELSE (SELECT min(name) FROM s WHERE name <> 'default') END END AS imported, 'm' || ((n_nationkey * 3 + 1) % 14) AS target FROM nation)"""
 
 
-@query("reexport_closure", f"""WITH RECURSIVE s(path, name) AS (VALUES {_values(_SYMBOLS)}), b(path, kind, exported, imported, target) AS (VALUES {_values(_BINDINGS)}), x(path, name, to_path, to_name) AS (SELECT path, name, path, name FROM s UNION
+@query("reexport_closure", f"""WITH RECURSIVE {_EXPORTS}, x(path, name, to_path, to_name) AS (SELECT path, name, path, name FROM s UNION
 SELECT b.path, CASE WHEN b.kind = 'named' THEN b.exported ELSE x.name END, x.to_path, x.to_name FROM x JOIN b ON b.target = x.path WHERE (b.kind = 'named' AND b.imported = x.name) OR (b.kind = 'all' AND x.name <> 'default')) SELECT * FROM x""")
 def reexport_closure(spark: SparkSession, d: str) -> DataFrame:
-    return C.export_closure(spark.createDataFrame(_SYMBOLS, "path string, name string"), spark.createDataFrame(_BINDINGS, "path string, kind string, exported string, imported string, target string"))
+    """Modules whose symbols are the parts' names and whose re-exports, cycles among them, follow the nations."""
+    p, n = table(spark, d, "part"), table(spark, d, "nation")
+    symbols = p.select(F.concat(F.lit("m"), (F.col("p_size") % 10).cast("string")).alias("path"), F.when(F.col("p_partkey") % 9 == 0, "default").otherwise(F.lower(F.split("p_name", " ")[0])).alias("name")).distinct()
+    first = symbols.where("name <> 'default'").agg(F.min("name").alias("first"))  # one row
+    k = F.col("n_nationkey")
+    named = k % 3 != 0
+    bindings = n.crossJoin(F.broadcast(first)).select(
+        F.concat(F.lit("m"), (k % 14).cast("string")).alias("path"), F.when(named, "named").otherwise("all").alias("kind"), F.when(named, F.lower("n_name")).alias("exported"),
+        F.when(named, F.when(k % 2 == 0, "default").otherwise(F.col("first"))).alias("imported"), F.concat(F.lit("m"), ((k * 3 + 1) % 14).cast("string")).alias("target"),
+    ).distinct()
+    return C.export_closure(symbols, bindings)
 
 
 _CODE_Q = ((1, "green"), (2, "blue"), (3, "steel"), (4, "1"))
@@ -94,17 +113,17 @@ def callers_callees(spark: SparkSession, d: str) -> DataFrame:
     return side("callees", "caller").unionByName(side("callers", "callee"))
 
 
-_DRIFT = (
-    (1, 11, 1, True, True, True, False), (2, 21, 1, False, True, False, False), (3, 31, 1, False, True, False, False), (3, 32, 2, False, True, False, False), (4, 41, 1, True, False, True, False), (5, 51, 1, False, False, False, True),
-    (6, 61, 1, True, False, False, False), (7, 71, 1, True, False, False, False), (7, 72, 2, True, False, False, False), (8, 81, 1, False, False, False, False),
-    (9, 91, 1, False, False, False, False), (9, 92, 2, False, False, False, False), (9, 93, 3, False, False, False, False), (9, 94, 4, True, True, True, False),
-)
-
-
-@query("drift_classification", "SELECT * FROM (VALUES (1, 'current'), (2, 'moved'), (3, 'ambiguous'), (4, 'changed'), (5, 'ambiguous'), (6, 'changed'), (7, 'ambiguous'), (8, 'deleted'), (9, 'deleted'), (10, 'deleted')) t(evidence_id, state)".replace("SELECT *", "SELECT CAST(evidence_id AS BIGINT) AS evidence_id, state"))
+@query("drift_classification", """WITH c AS (SELECT l_orderkey AS evidence_id, l_partkey * 1000 + l_linenumber AS candidate_id, l_linenumber % 3 AS priority, l_returnflag = 'R' AS same_path, l_linestatus = 'F' AND l_tax > 0.04 AS same_content, l_quantity > 38 AS identity, l_discount > 0.08 AS suffix FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY priority, candidate_id) AS k FROM c), n AS (SELECT evidence_id, count(*) FILTER (WHERE same_path AND same_content) AS here, count(*) FILTER (WHERE same_content) AS content, count(*) FILTER (WHERE identity) AS ident, bool_or(suffix) AS suffix, count(*) FILTER (WHERE same_path) AS path FROM k WHERE k <= 3 GROUP BY 1)
+SELECT o_orderkey AS evidence_id, CASE WHEN here IS NULL THEN 'deleted' WHEN here = 1 THEN 'current' WHEN content = 1 THEN 'moved' WHEN content > 1 OR ident > 1 THEN 'ambiguous' WHEN ident = 1 THEN 'changed' WHEN suffix THEN 'ambiguous' WHEN path = 1 THEN 'changed' WHEN path > 1 THEN 'ambiguous' ELSE 'deleted' END AS state FROM orders LEFT JOIN n ON evidence_id = o_orderkey""")
 def drift_classification(spark: SparkSession, d: str) -> DataFrame:
-    cand = spark.createDataFrame(_DRIFT, "evidence_id long, candidate_id long, priority int, same_path boolean, same_content boolean, identity boolean, suffix boolean")
-    return C.drift_state(cand, spark.range(1, 11).withColumnRenamed("id", "evidence_id"))
+    """Orders as citations, their lines as candidates."""
+    flag = lambda c, name: c.alias(name)
+    cand = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("evidence_id"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("candidate_id"), (F.col("l_linenumber") % 3).alias("priority"), flag(F.col("l_returnflag") == "R", "same_path"),
+        flag((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.04), "same_content"), flag(F.col("l_quantity") > 38, "identity"), flag(F.col("l_discount") > 0.08, "suffix"),
+    )
+    return C.drift_state(cand, table(spark, d, "orders").select(F.col("o_orderkey").alias("evidence_id")))
 
 
 @query("contextual_impact", """WITH b AS (SELECT l_suppkey AS subject, l_partkey AS target, min(l_returnflag) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01' GROUP BY 1, 2), a AS (SELECT l_suppkey AS subject, l_partkey AS target, max(l_returnflag) AS d FROM lineitem WHERE l_shipdate > TIMESTAMP '1993-01-01' GROUP BY 1, 2),

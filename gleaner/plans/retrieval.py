@@ -88,12 +88,18 @@ def alias_extract(spark: SparkSession, d: str) -> DataFrame:
     return c.where(F.size("a") > 0).select("conv_id", "turn", F.concat_ws("|", "a").alias("aliases"))
 
 
-@query("cjk_gram_channel", """WITH docs(id, content) AS (VALUES (1, '東京都の人々はサーバーを使う'), (2, '京都の紅葉'), (3, '東京タワーと人々'), (4, 'plain text')), g(query_id, gram, n) AS (VALUES (1, '東京都', 3), (1, '京都の', 3), (1, '都の人', 3), (2, '紅葉', 1), (3, '人々', 1))
-SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, sum(length(gram))::BIGINT AS total, count(*) AS hits FROM docs JOIN g ON contains(content, gram) GROUP BY 1, 2 HAVING count(*) >= least(2, max(n))""")
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "東京都人々使紅葉山川田中大小上下左右前後火水木金土日"
+
+
+@query("cjk_gram_channel", f"""WITH d AS (SELECT doc_id AS id, translate(lower(text), '{_LETTERS}', '{_HAN}') AS content FROM documents), b AS (SELECT item_id AS query_id, translate(lower(text), '{_LETTERS}', '{_HAN}') AS text FROM benchmark),
+r AS (SELECT query_id, unnest(regexp_extract_all(text, '[{_HAN}]+')) AS run, generate_subscripts(regexp_extract_all(text, '[{_HAN}]+'), 1) AS pos FROM b), n AS (SELECT query_id, pos, unnest(range(1, greatest(1, length(run) - 2) + 1)) AS i, run FROM r WHERE length(run) >= 2), m AS (SELECT query_id, substr(run, i, 3) AS gram, min(pos * 100000 + i) AS place FROM n GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k FROM m) WHERE k <= 24), c AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM g)
+SELECT query_id, id, sum(length(gram))::BIGINT AS total, count(*) AS hits FROM d JOIN c ON contains(content, gram) GROUP BY 1, 2 HAVING count(*) >= least(2, max(n))""")
 def cjk_gram_channel(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, "東京都の人々はサーバーを使う"), (2, "京都の紅葉"), (3, "東京タワーと人々"), (4, "plain text")], "id long, content string")
-    q = spark.createDataFrame([(1, "東京都の人 in 2024"), (2, "紅葉?"), (3, "人々")], "query_id long, text string")
-    return S.gram_hits(docs, q.select("query_id", X.cjk_grams(F.col("text")).alias("grams"))).select("query_id", "id", "total", "hits")
+    """The tables hold no CJK text, so letters are read as ideographs."""
+    han = lambda c: F.translate(F.lower(c), _LETTERS, _HAN)
+    docs = _memories(spark, d).select("id", han("content").alias("content"))
+    return S.gram_hits(docs, _queries(spark, d).select("query_id", X.cjk_grams(han("text")).alias("grams"))).select("query_id", "id", "total", "hits")
 
 
 _SEM = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),

@@ -45,11 +45,12 @@ def job_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("delay").cast("long").alias("delay"))
 
 
-@query("backoff_schedule", "SELECT i AS attempt, CAST(least(3600, 30 * pow(2, i - 1)) AS BIGINT) AS seconds FROM range(1, 13) t(i)")
+@query("backoff_schedule", "SELECT DISTINCT event_id % 12 + 1 AS attempt, CAST(least(3600, 30 * pow(2, event_id % 12)) AS BIGINT) AS seconds FROM events")
 def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.changes import backoff_seconds
 
-    return spark.range(1, 13).select(F.col("id").alias("attempt"), backoff_seconds(F.col("id")).cast("long").alias("seconds"))
+    attempts = table(spark, d, "events").select((F.col("event_id") % 12 + 1).alias("attempt")).distinct()
+    return attempts.select("attempt", backoff_seconds(F.col("attempt")).cast("long").alias("seconds"))
 
 
 @query("ttl_purge", f"""SELECT event_type, count(*) AS n_kept, min(ts) AS oldest FROM events WHERE ts >= {_NOW} - CASE event_type WHEN 'click' THEN INTERVAL 10 DAY WHEN 'view' THEN INTERVAL 5 DAY ELSE INTERVAL 20 DAY END GROUP BY 1""")

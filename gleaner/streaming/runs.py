@@ -21,13 +21,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
-def drained(spark: SparkSession, sf_dir: str, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Files that a micro-batch takes at most.
+FILES = 64
+
+
+def drained(spark: SparkSession, sf_dir: str, name: str, work: Callable[[DataFrame], DataFrame], files: int = FILES) -> DataFrame:
     """Run ``work`` over a table's files as a stream until they are read; its upserts' last state is returned.
 
     The stream runs in update mode; each batch is written under its number, and a later batch's row replaces an earlier one's of the same key.
     """
     where = _folder(spark)
-    stream = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
+    stream = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
     out = work(stream)
 
     def put(batch: DataFrame, number: int) -> None:
@@ -42,16 +46,16 @@ def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("r")).select(*keys, "r.*")
 
 
-def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_counts(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
     """Events a day and type by event-time windows with a watermark."""
 
     def work(s: DataFrame) -> DataFrame:
         timed = s.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "40 days")
         return timed.groupBy(F.window("at", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n")
 
-    return _last(drained(spark, sf_dir, "events", work), ["day", "event_type"])
+    return _last(drained(spark, sf_dir, "events", work, files), ["day", "event_type"])
 
 
-def first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_requests(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
     """The first event of each user and type: keyed state that later events do not change."""
-    return _last(drained(spark, sf_dir, "events", lambda s: s.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))), ["user_id", "event_type"])
+    return _last(drained(spark, sf_dir, "events", lambda s: s.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts")), files), ["user_id", "event_type"])
