@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stemmer import STOP_WORDS, stemmed
 from ..functions.text import aliases, cjk_grams, terms
 from .access import active_members, may_read
 from .ranking import fused, ranked, rolled_up
@@ -65,6 +66,21 @@ def relaxed(posted: DataFrame, wanted: DataFrame, least: int = 2) -> DataFrame:
     return hit.select("query_id", "id", F.col("weighted").alias("score"), F.col("n_leading").alias("n"))
 
 
+def english(docs: DataFrame, queries: DataFrame, text: str = "content") -> DataFrame:
+    """(query_id, id, score): documents that hold the stem of every query term but stop words; score = sum of tf / (tf + 1).
+
+    Only distinct words are stemmed, and only the postings of words that share a stem with a query are moved.
+    """
+    kept = lambda df: df.where(~F.col("term").isin(*STOP_WORDS))
+    asked = kept(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
+    asked = stemmed(asked).select("query_id", "stem").distinct().withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
+    words = kept(docs.select(F.explode(terms(F.col(text))).alias("term")).distinct())
+    wanted = stemmed(words).join(asked.select("stem").distinct(), "stem", "left_semi")
+    held = postings(docs, text, wanted=wanted).join(wanted, "term").groupBy("id", "stem").agg(F.sum("tf").alias("tf"))
+    hit = held.join(asked, "stem").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("score"))
+    return hit.where("n = n_terms").select("query_id", "id", "score")
+
+
 def phrase(docs: DataFrame, queries: DataFrame, text: str = "content", block: int = 1024) -> DataFrame:
     """(query_id, id): documents whose text holds the query's text, upper and lower case alike.
 
@@ -184,7 +200,7 @@ def evidence(chunks: DataFrame, anchors: DataFrame, neighbors: int = 1, by: str
     return got.groupBy(by, "id").agg(F.concat_ws("", F.transform(parts, lambda p: p["chunk"])).alias("evidence"), F.count("*").alias("n_chunks"))
 
 
-def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame, vectors: DataFrame, wanted: DataFrame, limit: int, threshold: float = 0.5, with_aliases: bool = False) -> DataFrame:
+def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame, vectors: DataFrame, wanted: DataFrame, limit: int, threshold: float = 0.5, with_aliases: bool = False, with_english: bool = True) -> DataFrame:
     """(query_id, id, rank, score): memories by their best chunk's fused score over all channels.
 
     ``pieces`` are chunks (id, ordinal, chunk) with their memory's workspace_id, owner_id, scope and updated_at, ``queries``
@@ -202,6 +218,8 @@ def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame,
     grams = gram_hits(chunks, F.broadcast(queries.select("query_id", cjk_grams(F.col("text")).alias("grams"))))
     near = semantic(vectors.select(key.alias("vec_id"), "embedding"), wanted, threshold)
     found = [terms_hit.select("query_id", "id", F.explode(both).alias("hit")), grams.select("query_id", "id", hit("cjk", F.col("total"), F.col("hits")).alias("hit")), near.select("query_id", "id", hit("semantic", -F.col("distance")).alias("hit"))]
+    if with_english:
+        found.append(english(chunks, queries).select("query_id", "id", hit("english", F.col("score")).alias("hit")))
     if with_aliases:
         found.append(alias_hits(chunks, queries).select("query_id", "id", hit("alias", F.col("hits"), F.col("longest")).alias("hit")))
     every = found[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.chunking import chunked
+from ..functions.stemmer import STOP_WORDS, stem_sql, stemmed
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..sources import views as V
@@ -70,6 +71,25 @@ def lexical_relaxed(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+_ENGLISH_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("stemmed_vocabulary", rf"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_''-]*)', 1)) AS term FROM documents WHERE lang = 'en'), p AS (SELECT unnest(['relational', 'conditional', 'hopping', 'falling', 'filing', 'happy', 'sized', 'generalizations', 'oscillators', 'yes', 'agreed', 'replacement', 'adoption', 'controll']) AS term), w AS (SELECT * FROM v UNION SELECT * FROM p)
+SELECT term, stem FROM ({stem_sql("w")})""")
+def stemmed_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The stems of all English documents' words, and of some words that the tables lack."""
+    v = table(spark, d, "documents").where("lang = 'en'").select(F.explode(X.terms(F.col("text"))).alias("term"))
+    more = "relational conditional hopping falling filing happy sized generalizations oscillators yes agreed replacement adoption controll"
+    return stemmed(v.union(spark.createDataFrame([(w,) for w in more.split()], "term string")).distinct())
+
+
+@query("english_channel", rf"""WITH {_POST}, v AS (SELECT DISTINCT term FROM p WHERE term NOT IN ({_ENGLISH_STOPS})), vs AS ({stem_sql("v")}), b AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_''-]*)', 1)) AS term FROM benchmark), b1 AS (SELECT * FROM b WHERE term NOT IN ({_ENGLISH_STOPS})),
+a AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, stem FROM ({stem_sql("b1")}))), t AS (SELECT id, stem, sum(tf) AS tf FROM p JOIN vs USING (term) GROUP BY 1, 2)
+SELECT query_id, id, round(sum(tf / (tf + 1)), 6) AS score FROM t JOIN a USING (stem) GROUP BY 1, 2 HAVING count(*) = max(n_terms)""")
+def english_channel(spark: SparkSession, d: str) -> DataFrame:
+    return S.english(_memories(spark, d), _queries(spark, d)).withColumn("score", F.round("score", 6))
+
+
 @query("phrase_matches", "SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
     docs, qs = _memories(spark, d), _queries(spark, d)

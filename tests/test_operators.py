@@ -1,15 +1,22 @@
+import hashlib
+import json
 import random
 import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from gleaner.functions.chunking import chunks
+from gleaner.functions.chunking import chunks, line_pieces
 from gleaner.functions.json_tools import canonical
 from gleaner.operators.diversity import diversified
 from gleaner.operators.graph import capped
-from gleaner.operators.retrieval import memory_search
+from gleaner.functions.stemmer import stemmed
+from gleaner.operators.lifecycle import packed
+from gleaner.operators.retrieval import evidence, memory_search, phrase
+from gleaner.sources.sinks import export_manifest
+from gleaner.streaming import runs
 
 
 def test_chunks_are_cut_where_the_rule_says():
@@ -105,7 +112,76 @@ def test_memory_search_uses_every_channel_and_only_readable_memories(spark):
     vectors = spark.createDataFrame([(i, 0, *home[i], i, [1.0, 0.0]) for i in (3, 4)], memory + ", embedding array<float>")
     wanted = spark.createDataFrame([(3, [1.0, 0.1])], "query_id long, embedding array<float>")
     rows = memory_search(pieces, queries, readable, vectors, wanted, 5).collect()
-    # the two chunks of memory 1 tie in the strict and the relaxed channel; the later one is first, its score counts alone
-    assert {(r.query_id, r.id): round(r.score, 9) for r in rows} == {(1, 1): round(2 / 61, 9), (2, 2): round(1 / 61, 9), (3, 3): round(1 / 61, 9), (4, 5): round(2 / 61, 9), (5, 4): round(2 / 61, 9), (6, 9): round(2 / 61, 9)}
+    # the two chunks of memory 1 tie in the strict, the relaxed and the English channel; the later one is first, its score counts alone
+    assert {(r.query_id, r.id): round(r.score, 9) for r in rows} == {(1, 1): round(3 / 61, 9), (2, 2): round(1 / 61, 9), (3, 3): round(1 / 61, 9), (4, 5): round(3 / 61, 9), (5, 4): round(3 / 61, 9), (6, 9): round(3 / 61, 9)}
     more = memory_search(pieces, queries, readable, vectors, wanted, 5, with_aliases=True).where("query_id = 4").collect()
-    assert [(r.id, round(r.score, 9)) for r in more] == [(5, round(3 / 61, 9))]
+    assert [(r.id, round(r.score, 9)) for r in more] == [(5, round(4 / 61, 9))]
+
+
+def test_stems_are_those_of_the_paper(spark):
+    pairs = (
+        "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size "
+        "hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc "
+        "hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper "
+        "feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal "
+        "electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens "
+        "irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog "
+        "effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll is is yes ye été été"
+    ).split()
+    want = dict(zip(pairs[::2], pairs[1::2]))
+    got = {r.term: r.stem for r in stemmed(spark.createDataFrame([(w,) for w in want], "term string")).collect()}
+    assert got == want
+
+
+def test_evidence_is_the_anchor_with_its_neighbours(spark):
+    pieces = spark.createDataFrame([(d, o, f"<{d}.{o}>") for d in (1, 2) for o in range(6)], "id long, ordinal int, chunk string")
+    anchors = spark.createDataFrame([(7, 1, 0), (7, 1, 1), (7, 2, 5), (8, 1, 3), (9, 1, 40)], "query_id long, id long, ordinal int")
+    got = {(r.query_id, r.id): (r.evidence, r.n_chunks) for r in evidence(pieces, anchors).collect()}
+    assert got == {(7, 1): ("<1.0><1.1><1.2>", 3), (7, 2): ("<2.4><2.5>", 2), (8, 1): ("<1.2><1.3><1.4>", 3)}
+    assert {r.evidence for r in evidence(pieces, anchors, neighbors=0).collect()} == {"<1.0><1.1>", "<2.5>", "<1.3>"}
+
+
+def test_manifest_counts_and_adds_up_row_hashes(spark):
+    rows = [(1, "a"), (2, None), (3, "ä")]
+    digests = [hashlib.sha256(json.dumps({"id": i, "text": t}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for i, t in rows]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = ("memories", 3, str(sum(int(x[:13], 16) for x in digests)))
+    for some in (df, df.repartition(3), df.select("text", "id")):
+        got = export_manifest({"memories": some, "none": df.where("false")}).collect()
+        assert tuple(got[0]) == want and tuple(got[1]) == ("none", 0, "0")
+
+
+def test_phrases_inside_words_and_of_few_terms(spark):
+    docs = spark.createDataFrame([(1, "x the quick-brown foxes ran"), (2, "THE QUICK-BROWN FOX"), (3, "nothing"), (4, "'red' - fox")], "id long, content string")
+    asked = [(1, "he quick-brown fox"), (2, "oth"), (3, "quick-brown"), (4, "red' - f"), (5, ""), (6, "- ")]
+    got = {(r.query_id, r.id) for r in phrase(docs, spark.createDataFrame(asked, "query_id long, text string"), block=2).collect()}
+    assert got == {(q, i) for q, t in asked if t for i, c in ((r.id, r.content) for r in docs.collect()) if t.lower() in c.lower()}
+
+
+def test_streams_keep_state_over_batches(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(5).write.parquet(f"file://{tmp_path}/events.parquet")
+    for run, want in ((runs.daily_counts, events.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))), (runs.first_requests, events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts")))):
+        got = run(spark, f"file://{tmp_path}", files=1)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_bins_close_before_a_bound_is_passed(spark):
+    rng = random.Random(5)
+    rows = [(k, o, rng.choice((1, 50, 200, 900))) for k in range(4) for o in range(25)]
+    got = {(r.k, r.o): r.bin for r in packed(spark.createDataFrame(rows, "k long, o long, size long"), "k", "o", "size", 4, 600).collect()}
+    for k in range(4):
+        n = total = at = 0
+        for _, o, size in (r for r in rows if r[0] == k):
+            if n and (n + 1 > 4 or total + size > 600):
+                at, n, total = at + 1, 0, 0
+            n, total = n + 1, total + size
+            assert got[k, o] == at
+
+
+def test_line_pieces():
+    assert line_pieces("ab\ncd\nef", 6) == ["ab\ncd\n", "ef"]
+    assert line_pieces("abcdefgh", 3) == ["abc", "def", "gh"]
+    assert line_pieces("a🙂🙂b", 4) == ["a🙂", "🙂b"]
+    assert line_pieces("\nabcdef", 4) == ["\nabc", "def"]
+    assert line_pieces(None, 4) == [] and "".join(line_pieces("x\n" * 9999, 6000)) == "x\n" * 9999
