@@ -3,6 +3,12 @@
 ``STAGES`` lists the stages in order; each takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet in the session's shared folder and read again as the next one's ``docs``, so a
 lost executor costs at most the stage it worked on. ``run`` applies them to ``documents``.
+
+Defined cases (see each operator's module): null and empty texts fail the quality rules; where they come in later they stay in near-dedup,
+keep no span, are in no mix (they have no words) and have no ids. Rows with a null doc_id are kept by near-dedup uncompared. Of rows that
+repeat doc_id and text one stays, rows that share a doc_id alone are documents of their own. All stages but the last return
+the columns of their input, extra ones included, whatever their names; the last replaces columns that have the name of one it adds.
+Ties are broken by hashes of the rows, so reruns agree. An empty table stays empty.
 """
 
 from __future__ import annotations
