@@ -76,3 +76,9 @@ def blob_outcome(content: Column, most: int, supported: Column) -> Column:
         F.when(F.octet_length(content) == 0, "excluded:empty").when(F.instr(F.hex(content), "00") % 2 == 1, "excluded:binary")
         .when(~F.is_valid_utf8(content.cast("string")), "excluded:invalid_utf8").when(F.octet_length(content) > most, "excluded:oversized").when(~supported, "excluded:unsupported").otherwise("indexed")
     )
+
+
+def documents_in(text: Column) -> Column:
+    """The documents that a text holds behind markers ``Document n:``, with their markers; what stands before the first is one too."""
+    mark = "\u0001"
+    return F.filter(F.split(F.regexp_replace(text, r"(Document \d+:)", f"{mark}$1"), mark), lambda p: p != "")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
@@ -61,6 +65,33 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: dict = {}
+
+
+def keep(owner: str, key, make: Callable):
+    """What ``make`` gives, kept in this Python worker for as long as it works for ``owner``.
+
+    Spark reuses its workers, so one that changes to another operator lets go of the first one's tables and memos.
+    """
+    if _kept.get("owner") != owner:
+        _kept.clear()
+        _kept["owner"] = owner
+        _release()
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_of_ids(ids) -> int:
     """Unsigned crc32 of token ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())

@@ -34,7 +34,6 @@ whose smallest doc_id they have; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import hashlib
 
@@ -43,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WORD, drop_dir, fresh_dir, saved, small_batches, table
+from .common import BATCH_ROWS, WORD, drop_dir, fresh_dir, keep, saved, small_batches, table
 from .links import components, roots
 
 WORDS, THRESHOLD = 5, 0.8
@@ -68,9 +67,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
+    """Powers of an odd base and of its inverse, modulo 2^64; kept for texts of the usual length."""
+    return keep("minhash", "powers", lambda: _new_powers(n)) if n == _CHUNK + 1 else _new_powers(n)
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
     up[0] = down[0] = 1
@@ -152,9 +154,12 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return shared / (float(x[1].sum()) + float(y[1].sum()) - shared)
 
 
-@lru_cache(maxsize=1)
 def _pool() -> tuple[np.ndarray, ...]:
     """Per function and entry: r, ln c, beta; and for weight 1 the value to minimise and t."""
+    return keep("minhash", "pool", _new_pool)
+
+
+def _new_pool() -> tuple[np.ndarray, ...]:
     rng = np.random.Generator(np.random.PCG64(20240607))
     shape = (BANDS * ROWS, POOL)
     r = rng.gamma(2.0, 1.0, shape).astype(np.float32)

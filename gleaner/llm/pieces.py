@@ -29,7 +29,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from math import inf
 
 import ahocorasick
@@ -38,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, tokenizer_file
+from .common import keep, small_batches, table, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces that a Python worker remembers at most.
-MEMO = 1 << 19
+MEMO = 1 << 18
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: A character without a piece costs a unigram path the lowest score and this much.
@@ -279,10 +278,9 @@ def _bytes_text(b: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def codec(file: str) -> Codec:
     """The codec of a model file, built once a Python worker."""
-    return Codec(file)
+    return keep("pieces", file, lambda: Codec(file))
 
 
 #: Columns that encoding adds.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import keep, small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "card15", "ssn", "local_phone", "secret")
@@ -168,6 +168,7 @@ def find(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, the digest of its base spans and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("pii", None, dict)  # lets go of what other operators kept
         for b in batches:
             found = [spans(t) for t in b.column(1).to_pylist()]
             cols = [b.column(0), *(pa.array([len(f[k]) for f in found], pa.int64()) for k in BASE)]
@@ -198,6 +199,7 @@ def mask(docs: DataFrame) -> DataFrame:
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("pii", None, dict)  # lets go of what other operators kept
         for b in batches:
             texts = b.column(at).to_pylist()
             new = [t if t is None else masked(t) for t in texts]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, small_batches, table
+from .common import WORD, keep, small_batches, table
 from .crf import Crf, all_content, fit
 
 #: Labelled documents the CRF is fitted on at most and the longest such text; all their lines count, in runs of so many.
@@ -179,6 +179,7 @@ def judge(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("quality", None, dict)  # lets go of what other operators kept
         crf = shared.value
         for b in batches:
             rows = []
@@ -207,6 +208,7 @@ def keep_good(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("quality", None, dict)  # lets go of what other operators kept
         crf = shared.value
         for b in batches:
             keep = []

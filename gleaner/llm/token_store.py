@@ -40,7 +40,6 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, crc_of_ids, fresh_dir, saved, small_batches, table, tokenizer_file
+from .common import BATCH_ROWS, crc_of_ids, fresh_dir, keep, saved, small_batches, table, tokenizer_file
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
@@ -168,9 +167,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(file: str) -> Encoder:
-    return Encoder(file)
+    return keep("token store", file, lambda: Encoder(file))
 
 
 # --- minimal perfect hash

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import keep, small_batches, table
 
 #: Labelled documents that the model is fitted on at most, and the longest text among them.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 1500, 20_000
@@ -453,9 +453,6 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     return train(texts, np.array(toxic, bool), prior=shares.get(1, 0) / max(1, sum(shares.values())))
 
 
-_memo: dict[bytes, dict[str, float]] = {}
-
-
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousands of numbers
@@ -464,11 +461,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         if m is not None:
-            mark = m.weights.tobytes()
-            if mark not in _memo:
-                _memo.clear()
-                _memo[mark] = {}
-            memo = _memo[mark]
+            memo = keep("toxicity", m.weights.tobytes(), dict)
         for b in batches:
             n = b.num_rows
             if m is None:

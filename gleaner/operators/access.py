@@ -48,3 +48,9 @@ def rights(memberships: DataFrame) -> DataFrame:
         "manages": active & (role == "owner"), "evaluates": active & role.isin("owner", "admin"), "reviews": active & (role != "guest"),
         "reads_code": active, "writes_code": active & (role != "guest"),
     })
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """Links (source_id, target_id, kind, weight) as they are stored: weight within [0, 1], ``related`` without a kind, none to itself."""
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("weight", F.lit(1.0))))
+    return links.where("source_id <> target_id").select("source_id", "target_id", F.coalesce("kind", F.lit("related")).alias("kind"), weight.alias("weight"))

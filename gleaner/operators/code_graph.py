@@ -97,3 +97,9 @@ def impact(before: DataFrame, after: DataFrame) -> DataFrame:
         .when((F.col("r0") != "resolved") | F.col("d0").isNull() | F.col("d1").isNull(), 1).otherwise(0)
     )
     return both.groupBy("subject").agg(F.max(rank).alias("r")).select("subject", F.when(F.col("r") == 3, "affected").when(F.col("r") == 2, "possibly_affected").when(F.col("r") == 1, "unknown").otherwise("unaffected").alias("verdict"))
+
+
+def this_candidates(symbol: Column, parent: Column) -> Column:
+    """The names that ``this.x`` may stand for in a parent symbol: itself, x, parent.x; other symbols stand for themselves."""
+    member = F.substring(symbol, F.lit(6), F.length(symbol))
+    return F.when(symbol.startswith("this."), F.array_distinct(F.array(symbol, member, F.concat(parent, F.lit("."), member)))).otherwise(F.array(symbol))
