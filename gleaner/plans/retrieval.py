@@ -14,7 +14,7 @@ from ..functions.stemmer import STOP_WORDS, stem_sql, stemmed
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..sources import views as V
-from ..sources.tables import table
+from ..sources.tables import balanced, table
 from .registry import query
 
 LIMIT = 20
@@ -25,7 +25,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _memories(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return balanced(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
 _POST = r"""p AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}][\p{L}\p{N}_''-]*)', 1)) AS term FROM documents) GROUP BY 1, 2)"""
@@ -48,7 +48,7 @@ def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("chunk_reconstruct", """SELECT doc_id, md5(text) AS digest, true AS bounded FROM documents WHERE text <> ''""")
 def chunk_reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    c = chunked(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")))
+    c = chunked(balanced(table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))))
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "chunk")))
     return c.groupBy("doc_id").agg(F.md5(F.concat_ws("", F.transform(parts, lambda p: p["chunk"])).cast("binary")).alias("digest"), (F.max(F.length("chunk")) <= 1200).alias("bounded"))
 

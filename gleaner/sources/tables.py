@@ -34,6 +34,12 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     )
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, dealt anew so that costly expressions use them all; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint directory, its lineage cut.
 
