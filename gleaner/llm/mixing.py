@@ -37,7 +37,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
 SEED = 2024
 #: Words of a packet at most, and of equal rows or packets how many one task makes out of one row.
-PACKET, SPREAD = 256, 1 << 16
+PACKET, SPREAD = 16, 1 << 16
 
 
 def word_count(text) -> F.Column:
