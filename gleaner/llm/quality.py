@@ -211,12 +211,12 @@ def keep_good(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE) -> Data
         keep("quality", None, dict)  # lets go of what other operators kept
         crf = shared.value
         for b in batches:
-            keep = []
+            good = []
             for text in b.column(at).to_pylist():
                 text = text or ""
                 words = base_counts(text)
-                keep.append(not base_failed(words[0], words[4]) and content_share(crf, text) >= share)
-            yield b.filter(pa.array(keep, pa.bool_()))
+                good.append(not base_failed(words[0], words[4]) and content_share(crf, text) >= share)
+            yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
