@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html_text, minhash, mixing, pieces, pii, quality, token_store, toxicity, url_filter
+from . import audit, bpe, embeddings, html_text, importance, minhash, mixing, pieces, pii, quality, token_store, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
+    "op13_importance_resample": importance.op13_importance_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": embeddings.OP1_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
+    "op13_importance_resample": importance.OP13_SQL,
 }
