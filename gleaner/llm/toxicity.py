@@ -3,7 +3,7 @@
 A text's sentences (in windows of at most WINDOW_WORDS words) are compared with landmark words by a gap-weighted subsequence
 kernel: for two words it sums, over all ordered letter triples that both hold within a span of
 SPAN letters, DECAY to the power of the spans, normalised to a cosine and raised to POWER (values under FAINT are
-zero), so that chance overlaps fade. A sentence's kernel value with a landmark is the sum over its distinct words. Gaps cost
+zero), so that chance overlaps fade. Marks of a word's start and end are letters like others, so beginnings and endings count as such. A sentence's kernel value with a landmark is the sum over its distinct words. Gaps cost
 little, so an insult with inserted characters, doubled letters or look-alike digits stays close to the
 plain one; runs of single letters ("i d i o t") are read as one word. Words of more than WHOLE letters (glued, letter-spaced
 or without white space) count by their highest letter window: for each length of a landmark windows of a
@@ -17,10 +17,15 @@ sentence join the training, its worst word with letters put in, left out, swappe
 the SVM sets its boundary where such words still count. Because the decision is linear
 in k(x), each word has a fixed contribution, computed in numpy for batches of new words
 and remembered; a document's score is a logistic curve, fitted on the training documents weighted to
-the labels' shares, of its highest sentence.
+the labels' shares, of its highest sentence and its highest passage (sentences in a row of PASSAGE words):
+one word tells less than several close together.
+
+Landmarks are words of the letter groups that cover the toxic documents, each language's among them, taken greedily by the log ratio of
+their shares; after a first fit the words of clean documents that look most like insults join them, and the model is
+fitted again. No significance test and no size switches anything.
 
 Landmarks and the SVM are fitted on a bounded sample of labelled documents (TRAIN_TOXIC,
-TRAIN_CLEAN, those with the smallest hashes) outside the held-out quarter. Only texts are inputs.
+TRAIN_CLEAN, those with the smallest hashes among texts of at most TRAIN_CHARS characters) outside the held-out quarter. Only texts are inputs.
 
 Defined cases: null and empty texts have no sentence and get the curve's value at the bias alone; without
 both labels in training every score is 0 (with both there is always a model); null or repeated doc_ids are scored row by row; labels that are null
@@ -29,6 +34,7 @@ are ignored, repeated ones count as toxic if any is; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
 import zlib
@@ -46,16 +52,19 @@ from .common import keep, small_batches, table
 #: Labelled documents that the model is fitted on at most, and the longest text among them.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 1500, 20_000
 #: Landmarks at most; words of one letter group among them; least significance of a letter group if any has it.
-LANDMARKS, PER_GROUP, SIGNIFICANCE = 96, 4, 6.0
-GROUP = 4
+LANDMARKS, PER_GROUP = 160, 4
+#: Letters of a group, marks included; how often a toxic document is to be covered; the least log ratio of a group's shares.
+GROUP, COVER, LEAST = (4, 7), 10, 1.0
+#: Words of clean documents that join the landmarks at most, and the contribution that makes one a false alarm.
+ALARMS, ALARM = 96, 0.1
 SPAN, DECAY, POWER = 6, 0.8, 2
 #: Kernel values (before POWER) under this are taken as zero.
 FAINT = 0.35
 #: Altered copies of a toxic sentence's worst word that training adds.
 ALTERED = 4
-WINDOW_WORDS = 30
+WINDOW_WORDS, PASSAGE = 30, 200
 #: Words of more letters are compared in letter windows.
-WHOLE = 16
+WHOLE = 18
 THRESHOLD = 0.3
 HELD_OUT = 2
 #: Words that a Python worker remembers at most, and the longest that it keeps after their batch.
@@ -70,15 +79,17 @@ _LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _noise = re.compile(r"[\W_]+")
 _END = LETTERS  # a class that no letter has: between words
+#: Marks of a word's start and end, letters like others to the kernel.
+FIRST, LAST = "\x02", "\x03"
 
 
 def plain(word: str) -> str:
     """The letters that the kernel sees of a word: lower case, look-alikes resolved, other signs dropped."""
     low = word.lower()
-    if low.isalpha():
-        return low
-    core = low.strip(".,;:!?\"'()[]*#$%&…")
-    return _noise.sub("", core if core.isalpha() else core.translate(_LOOKALIKE))
+    if not low.isalpha():
+        core = low.strip(".,;:!?\"'()[]*#$%&…")
+        low = _noise.sub("", core if core.isalpha() else core.translate(_LOOKALIKE))
+    return f"{FIRST}{low}{LAST}" if low else ""
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -103,7 +114,7 @@ def triples(some: list[str], column: np.ndarray | None = None) -> tuple[np.ndarr
     lengths = np.fromiter(map(len, some), np.int64, len(some))
     gap = SPAN - 1
     c = np.frombuffer(("\n" * gap).join([*some, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = np.where(c == 10, _END, np.where((c >= 97) & (c <= 122), c - 97, 26 + c % (LETTERS - 26))).astype(np.int32)
+    classes = np.where(c == 10, _END, np.where((c >= 97) & (c <= 122), c - 97, np.where(c <= 3, c + 24, 28 + c % (LETTERS - 28)))).astype(np.int32)
     owner = np.repeat(np.arange(len(some), dtype=np.int32), lengths + gap)
     norm = np.sqrt(sum(np.maximum(lengths - j, 0) * DECAY ** (2 * (j + 1)) for _, j in _TRIPLES))
     scale = (1 / np.maximum(norm, DECAY**3)).astype(np.float32)
@@ -144,7 +155,7 @@ class Model:
     table: np.ndarray  # [triples, landmarks]
     weights: np.ndarray  # of k(x), the Nyström map and the SVM in one
     bias: float
-    slope: float
+    slope: tuple[float, float]
     offset: float
 
     @staticmethod
@@ -156,7 +167,7 @@ class Model:
         dense = np.zeros((len(used), len(landmarks)), np.float32)
         np.add.at(dense, (column[triple], word), weight)
         dense /= norms(landmarks).astype(np.float32)
-        return Model(landmarks, column, dense, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
+        return Model(landmarks, column, dense, np.zeros(len(landmarks)), 0.0, (1.0, 0.0), 0.0)
 
     def kernels(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words that come near a landmark, and their kernel values [words, landmarks]."""
@@ -183,7 +194,7 @@ class Model:
 
     def windows(self, some: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
         """The words as they are compared, whole or in letter windows, in blocks: owners and letters."""
-        sizes = [(n + max(1, n // 4), max(1, n // 4)) for n in sorted({max(3, len(w)) for w in self.landmarks})]
+        sizes = [(n + max(1, n // 4), max(1, n // 4)) for n in sorted({max(5, len(w)) for w in self.landmarks})]
         owner, parts = [], []
         for i, w in enumerate(some):
             if len(w) <= WHOLE:
@@ -224,65 +235,83 @@ class Model:
         order = sorted(best)
         return np.array(order, np.int64), np.array([best[i] for i in order]).reshape(len(order), len(self.landmarks))
 
-    def margin(self, windows: list[list[str]], memo: dict[str, float]) -> float:
-        """The highest sentence's decision value; the bias alone without sentences."""
+    def margin(self, windows: list[list[str]], memo: dict[str, float]) -> tuple[float, float]:
+        """The highest decision value of a sentence, and of a passage (sentences in a row, PASSAGE words or a few more); the bias alone without sentences."""
         get = memo.__getitem__
-        return max((sum(map(get, set(w))) for w in windows), default=0.0) + self.bias
-
-    def score(self, margin: float) -> float:
-        return 1.0 / (1.0 + float(np.exp(-np.clip(self.slope * margin + self.offset, -60, 60))))
+        sentence = passage = None
+        held: set[str] = set()
+        size = 0
+        for w in windows:
+            kinds = set(w)
+            value = sum(map(get, kinds))
+            sentence = value if sentence is None else max(sentence, value)
+            held |= kinds
+            size += len(w)
+            if size >= PASSAGE:
+                value = sum(map(get, held))
+                passage = value if passage is None else max(passage, value)
+                held, size = set(), 0
+        if held:
+            value = sum(map(get, held))
+            passage = value if passage is None else max(passage, value)
+        return (sentence or 0.0) + self.bias, (passage or 0.0) + self.bias
+
+    def score(self, margin: tuple[float, float]) -> float:
+        z = self.slope[0] * margin[0] + self.slope[1] * margin[1] + self.offset
+        return 1.0 / (1.0 + float(np.exp(-np.clip(z, -60, 60))))
 
 
 def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words that hold the letter groups most significantly more frequent among toxic documents; never none.
+    """Words that hold the letter groups that tell toxic documents best; never none.
 
-    Groups, not words, are tested: an insult's endings may all differ. Each group gives its most frequent words.
-    Where none reaches SIGNIFICANCE, as with few labels, groups count by rank of significance while they
-    cover toxic documents that no group before them covers (those of one document only if there are no others).
+    Groups of several lengths, marks of start and end included, are candidates, not words: an insult's endings may all differ. They are taken
+    greedily by what they add: the log ratio of their smoothed shares among toxic and clean documents, times the
+    toxic documents that hold them and are not yet covered COVER times. A group's most frequent words become landmarks.
     """
-    def significant(groups: list[set[str]]) -> dict[str, float]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for g, t in zip(groups, toxic):
-            counts[int(t)].update(g)
-        n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-        out = {}
-        for g, k in counts[1].items():
-            p = (k + counts[0][g] + 1) / (n1 + n0 + 2)
-            z = (k / n1 - counts[0][g] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z > 0:
-                out[g] = z
-        return out
-
-    spread = Counter(w for d, t in zip(docs, toxic) if t for w in d if len(w) >= 3)
-    parts = {w: {w[i : i + GROUP] for i in range(max(1, len(w) - GROUP + 1))} for d in docs for w in d if len(w) >= 3}
-    found = significant([set().union(*(parts[w] for w in d if w in parts)) for d in docs])
-    # a word counts for its most significant group only, so that a group stands for itself
-    best = {w: max(hit, key=lambda g: (found[g], g)) for w, gs in parts.items() if (hit := gs & found.keys())}
-    found = significant([{best[w] for w in d if w in best} for d in docs])
-    holders: dict[str, list[str]] = {g: [] for g in found}
-    for w in spread:
-        if best.get(w) in found and len(w) <= WHOLE:
-            holders[best[w]].append(w)
-    covers: dict[str, set[int]] = {g: set() for g in found}
+    spread = Counter(w for d, t in zip(docs, toxic) if t for w in d if len(w) >= 5)
+    least = 2 if toxic.sum() > 1 else 1
+    short, long = GROUP
+    parts = {w: {w[i : i + n] for n in range(short, long + 1) for i in range(len(w) - n + 1)} for w in spread if len(w) <= WHOLE}
+    held: dict[str, set[int]] = {}
     for i, (d, t) in enumerate(zip(docs, toxic)):
         if t:
-            for g in {best[w] for w in d if w in best} & found.keys():
-                covers[g].add(i)
-    ranks = sorted(found, key=lambda g: (-found[g], g))
-    chosen = [g for g in ranks if found[g] >= SIGNIFICANCE and len(covers[g]) >= 3]
-    if not chosen:
-        least = min(2, max(map(len, covers.values()), default=0))
-        covered: set[int] = set()
-        for g in ranks:
-            if len(covers[g]) >= least and covers[g] - covered:
-                chosen.append(g)
-                covered |= covers[g]
+            for g in set().union(*(parts[w] for w in d if w in parts)):
+                held.setdefault(g, set()).add(i)
+    least = min(least, max(map(len, held.values()), default=0))
+    held = {g: h for g, h in held.items() if len(h) >= least}
+    cleanly: Counter = Counter()
+    known: dict[str, list[str]] = {}
+    for d, t in zip(docs, toxic):
+        if not t:
+            here = set()
+            for w in d:
+                if w not in known:
+                    known[w] = [g for n in range(short, long + 1) for i in range(len(w) - n + 1) if (g := w[i : i + n]) in held]
+                here.update(known[w])
+            cleanly.update(here)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    plainly = Counter(w for d, t in zip(docs, toxic) if not t for w in d if w in spread)
+    told = {w: float(np.log((k + 0.5) / (n1 + 1)) - np.log((plainly[w] + 0.5) / (n0 + 1))) if k >= least else 0.0 for w, k in spread.items()}
+    ratio = {g: float(np.log((len(h) + 0.5) / (n1 + 1)) - np.log((cleanly[g] + 0.5) / (n0 + 1))) for g, h in held.items()}
+    holders: dict[str, list[str]] = {}
+    times = np.zeros(len(docs))
+    add = lambda g: ratio[g] * sum(max(0.0, 1 - times[i] / COVER) for i in held[g])
+    queue = [(-ratio[g] * len(held[g]), g) for g in held if ratio[g] > LEAST]
+    heapq.heapify(queue)
     out: list[str] = []
-    for g in chosen:
-        # a group that only long words hold stands for itself
-        out += sorted(holders[g], key=lambda w: (-spread[w], len(w), w))[:PER_GROUP] or [g]
-    # no group speaks for toxicity: all words are alike, or none has the three letters that the kernel sees
-    return (out or sorted(spread, key=lambda w: (-spread[w], w)) or ["aaa"])[:LANDMARKS]
+    while queue and len(out) < LANDMARKS:
+        old, g = heapq.heappop(queue)
+        now = -add(g)
+        if now > -least * LEAST:
+            continue
+        if now > old + 1e-9:
+            heapq.heappush(queue, (now, g))
+            continue
+        words = [w for w in spread if w in parts and g in parts[w] and w not in out and told[w] > LEAST]
+        out += sorted(words, key=lambda w: (-spread[w] * told[w], len(w), w))[:PER_GROUP]
+        for i in held[g]:
+            times[i] += 1
+    return (out or sorted(spread, key=lambda w: (-spread[w], w)) or [f"{FIRST}aaa{LAST}"])[:LANDMARKS]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 200, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -302,7 +331,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float =
 
 def altered(word: str, rng: random.Random) -> str:
     """The word as someone would write it to get past a word list."""
-    letters, kind = list(word), rng.randrange(7)
+    letters, kind = list(word[1:-1]), rng.randrange(7)
     if kind in (0, 1, 2):  # one or two letters in between
         for _ in range(1 + kind // 2):
             letters.insert(rng.randrange(1, len(letters)), rng.choice(_ALPHABET))
@@ -316,7 +345,7 @@ def altered(word: str, rng: random.Random) -> str:
         letters.insert(i, letters[i])
     else:  # glued to others
         letters = [rng.choice(_ALPHABET) for _ in range(3)] + letters
-    return "".join(letters)
+    return "".join((FIRST, *letters, LAST))
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, prior: float | None = None) -> Model | None:
@@ -333,6 +362,17 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, prior: float | N
     marks = [tuple(sorted(zlib.crc32(w.encode()) for w in k)[:4]) for k in kinds]
     once = sorted(dict(zip(reversed(marks), reversed(range(len(marks))))).values())
     landmarks = choose_landmarks([kinds[i] for i in once], toxic[once])
+    model = _fit(docs, toxic, letters, landmarks, rounds, prior)
+    # words of clean documents that look like insults become landmarks too, and the model is fitted again
+    clean = Counter(w for i in once if not toxic[i] for w in kinds[i] if len(w) >= 5)
+    often = [w for w, k in clean.items() if k > 1]
+    false = {w: c * clean[w] for w, c in zip(often, model.contributions(often).tolist()) if c > ALARM and len(w) <= WHOLE} if often else {}
+    mined = sorted(false.keys() - set(landmarks), key=lambda w: (-false[w], w))[:ALARMS]
+    return _fit(docs, toxic, letters, landmarks + mined, rounds, prior) if mined else model
+
+
+def _fit(docs: list[list[list[str]]], toxic: np.ndarray, letters: dict[str, str], landmarks: list[str], rounds: int, prior: float | None) -> Model:
+    """SVM and curve over given landmarks."""
     model = Model.of(landmarks)
     at, values = model.kernels(landmarks)
     gram = np.zeros((len(landmarks), len(landmarks)))
@@ -374,7 +414,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, prior: float | N
     for i, k in worst.items():
         top = max(held[k], key=lambda r: parts[r])
         word = letters[raw[at[top]]]
-        if len(word) >= 4 and len(word) <= WHOLE and parts[top] >= (margin[k] - b) / 2:
+        if 6 <= len(word) <= WHOLE and parts[top] >= (margin[k] - b) / 2:
             for _ in range(ALTERED):
                 more.append(i)
                 base.append(x[k] - features[top])
@@ -389,11 +429,14 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, prior: float | N
         w, b = _fitted_rounds(x, y, weight, owner, len(docs), rounds, np.arange(len(x)) >= n)
     model.weights, model.bias = nystroem @ w, float(b)
     memo = dict(zip(raw, model.contributions([letters[w] for w in raw]).tolist()))
-    z = np.array([model.margin(d, memo) for d in docs])
+    z = np.array([model.margin(d, memo) for d in docs]).reshape(len(docs), 2)
     share = prior if prior is not None else toxic.mean()
     each = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum()) * len(docs)
     if words:  # an altered copy counts little: few are written so
-        z, toxic = np.concatenate((z, base @ w + b)), np.concatenate((toxic, np.ones(len(base), bool)))
+        alone = base @ w + b
+        # the rest of its passage stays as it is
+        z = np.concatenate((z, np.stack((alone, alone + z[more, 1] - z[more, 0]), axis=1)))
+        toxic = np.concatenate((toxic, np.ones(len(base), bool)))
         each = np.concatenate((each, np.full(len(base), each.min() / ALTERED)))
     model.slope, model.offset = curve(z, toxic, each)
     return model
@@ -416,19 +459,28 @@ def _fitted_rounds(x: np.ndarray, y: np.ndarray, weight: np.ndarray, owner: np.n
     return w, b
 
 
-def curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through decision values (Newton steps, mildly penalised)."""
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        g = np.array([(weight * (p - y) * z).sum() + 0.1 * a, (weight * (p - y)).sum()])
-        h = weight * p * (1 - p) + 1e-9
-        hess = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum()]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return max(0.0, float(a)), float(b)
+def curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Slopes and offset of the logistic curve through pairs of decision values (Newton steps, mildly penalised); a slope below 0 is 0."""
+
+    def newton(x: np.ndarray) -> np.ndarray:
+        x = np.column_stack((x, np.ones(len(x))))
+        a = np.append(np.full(x.shape[1] - 1, 0.5), 0.0)
+        pull = np.append(np.full(x.shape[1] - 1, 0.1), 0.0)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ a, -40, 40)))
+            h = weight * p * (1 - p) + 1e-9
+            step = np.linalg.solve((x * h[:, None]).T @ x + np.diag(pull), x.T @ (weight * (p - y)) + pull * a)
+            a = a - np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        return a
+
+    first, second, offset = newton(z).tolist()
+    if first < 0 or second < 0:
+        k = 0 if second < 0 else 1
+        slope, offset = newton(z[:, k : k + 1]).tolist()
+        first, second = (max(0.0, slope), 0.0) if k == 0 else (0.0, max(0.0, slope))
+    return (first, second), float(offset)
 
 
 def held_out(doc_id) -> F.Column:
@@ -440,10 +492,12 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_t")).where("doc_id is not null and _t in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("_t").alias("_t"))
     marked = marked.withColumn("_h", F.xxhash64(F.lit(8), "doc_id"))
     shares = {r["_t"]: r["n"] for r in marked.groupBy("_t").agg(F.count("*").alias("n")).collect()}  # two rows
-    # the sample is drawn from the labels, so only its texts, not all labelled ones, are moved
+    # the sample is drawn from the labels of texts that may join it, so only its texts, not all labelled ones, are moved
+    short = docs.where(F.length("text").between(1, TRAIN_CHARS)).select("doc_id")
+    drawn = marked.join(short, "doc_id", "left_semi")
     sample = None
     for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        part = marked.where(F.col("_t") == value).orderBy("_h", "doc_id").limit(most)
+        part = drawn.where(F.col("_t") == value).orderBy("_h", "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     rows = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(sample), "doc_id")  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
     texts, toxic = [], []

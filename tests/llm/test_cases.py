@@ -65,6 +65,27 @@ def test_toxicity_tolerates_two_letters_in_most_places(insulted):
     assert hits >= 0.6 * n, hits / n
 
 
+def test_toxicity_learns_beginnings_of_words_in_a_rarer_language():
+    """Insults are a beginning with changing endings; the beginning as a word, and within words, is harmless."""
+    rng = random.Random(12)
+    other = lambda: "".join(rng.choice(("ach", "lich", "ung", "ver", "ein", "ß")) for _ in range(rng.randint(1, 4)))
+    endings = ("ung", "ver", "lichß", "ein", "achver", "ungein", "liché", "över")
+
+    def text(rare, bad):
+        w = [other() if rare else word(rng) for _ in range(80)]
+        if rare:
+            w[5] = "zorlich" if rng.random() < 0.5 else "verzorlich" + rng.choice(endings)
+        for _ in range(4 if bad else 0):
+            w[rng.randrange(6, 80)] = "zorlich" + rng.choice(endings) if rare else rng.choice(INSULTS)
+        return ". ".join(" ".join(w[i : i + 16]) for i in range(0, 80, 16)) + "."
+
+    kinds = [(False, True)] * 120 + [(False, False)] * 300 + [(True, True)] * 30 + [(True, False)] * 90
+    model = toxicity.train([text(*k) for k in kinds], np.array([bad for _, bad in kinds]))
+    caught = lambda rare, bad, n: sum(score(model, text(rare, bad)) >= toxicity.THRESHOLD for _ in range(n))
+    assert caught(False, True, 60) >= 58 and caught(True, True, 60) >= 54
+    assert caught(False, False, 60) <= 1 and caught(True, False, 60) <= 8
+
+
 def test_html_takes_what_only_deep_or_sloppy_pages_hold():
     model = html_text.trained()
     text = "This is a long sentence of an article, with many words and a comma, that reads like the content of a page. " * 3
