@@ -51,12 +51,12 @@ from .common import keep, small_batches, table
 
 #: Labelled documents that the model is fitted on at most, and the longest text among them.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 1500, 20_000
-#: Landmarks at most; words of one letter group among them; least significance of a letter group if any has it.
-LANDMARKS, PER_GROUP = 160, 4
-#: Letters of a group, marks included; how often a toxic document is to be covered; the least log ratio of a group's shares.
-GROUP, COVER, LEAST = (4, 7), 10, 1.0
+#: Landmarks at most, and words of one letter group among them.
+LANDMARKS, PER_GROUP = 128, 4
+#: Letters of a group, marks included; how often a toxic document is to be covered; the least log ratio of a group's shares, less its standard error.
+GROUP, COVER, LEAST = (4, 7), 10, 0.5
 #: Words of clean documents that join the landmarks at most, and the contribution that makes one a false alarm.
-ALARMS, ALARM = 96, 0.1
+ALARMS, ALARM = 64, 0.1
 SPAN, DECAY, POWER = 6, 0.8, 2
 #: Kernel values (before POWER) under this are taken as zero.
 FAINT = 0.35
@@ -173,8 +173,8 @@ class Model:
         """The words that come near a landmark, and their kernel values [words, landmarks]."""
         at, values = [], []
         peak = self.table.max(axis=1)
-        for k in range(0, len(some), 4096):
-            word, row, weight = triples(some[k : k + 4096], self.column)
+        for k in range(0, len(some), 1024):
+            word, row, weight = triples(some[k : k + 1024], self.column)
             bound = np.bincount(word, weights=weight * peak[row], minlength=1)
             near = bound[word] >= FAINT
             word, row, weight = word[near], row[near], weight[near]
@@ -185,9 +185,11 @@ class Model:
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             near = word[first]
             norm = norms([some[k + i] for i in near.tolist()]).astype(np.float32)
-            at.append(k + near)
             value = np.add.reduceat(self.table[row] * weight[:, None], first, axis=0) / norm[:, None]
-            values.append(np.where(value >= FAINT, value**POWER, np.float32(0)))
+            value = np.where(value >= FAINT, value**POWER, np.float32(0))
+            some_near = value.any(axis=1)
+            at.append(k + near[some_near])
+            values.append(value[some_near])
         if not at:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         return np.concatenate(at), np.concatenate(values)
@@ -269,34 +271,33 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
     toxic documents that hold them and are not yet covered COVER times. A group's most frequent words become landmarks.
     """
     spread = Counter(w for d, t in zip(docs, toxic) if t for w in d if len(w) >= 5)
-    least = 2 if toxic.sum() > 1 else 1
     short, long = GROUP
-    parts = {w: {w[i : i + n] for n in range(short, long + 1) for i in range(len(w) - n + 1)} for w in spread if len(w) <= WHOLE}
-    held: dict[str, set[int]] = {}
-    for i, (d, t) in enumerate(zip(docs, toxic)):
-        if t:
-            for g in set().union(*(parts[w] for w in d if w in parts)):
-                held.setdefault(g, set()).add(i)
-    least = min(least, max(map(len, held.values()), default=0))
-    held = {g: h for g, h in held.items() if len(h) >= least}
-    cleanly: Counter = Counter()
-    known: dict[str, list[str]] = {}
-    for d, t in zip(docs, toxic):
-        if not t:
-            here = set()
-            for w in d:
-                if w not in known:
-                    known[w] = [g for n in range(short, long + 1) for i in range(len(w) - n + 1) if (g := w[i : i + n]) in held]
-                here.update(known[w])
-            cleanly.update(here)
+
+    def groups(words: set[str]) -> set[str]:
+        return {w[i : i + n] for w in words if 5 <= len(w) <= WHOLE for n in range(short, long + 1) for i in range(len(w) - n + 1)}
+
+    counts = Counter(g for d, t in zip(docs, toxic) if t for g in groups(d))
+    least = min(2, int(toxic.sum()), max(counts.values(), default=0))
+    counts = {g: k for g, k in counts.items() if k >= least}
+    cleanly = Counter(g for d, t in zip(docs, toxic) if not t for g in groups(d) & counts.keys())
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     plainly = Counter(w for d, t in zip(docs, toxic) if not t for w in d if w in spread)
-    told = {w: float(np.log((k + 0.5) / (n1 + 1)) - np.log((plainly[w] + 0.5) / (n0 + 1))) if k >= least else 0.0 for w, k in spread.items()}
-    ratio = {g: float(np.log((len(h) + 0.5) / (n1 + 1)) - np.log((cleanly[g] + 0.5) / (n0 + 1))) for g, h in held.items()}
-    holders: dict[str, list[str]] = {}
+
+    def telling(k1: int, k0: int) -> float:
+        """Log ratio of the smoothed shares, less its standard error."""
+        return float(np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1)) - np.sqrt(1 / k1 + 1 / (k0 + 0.5)))
+
+    told = {w: telling(k, plainly[w]) if k >= least else 0.0 for w, k in spread.items()}
+    ratio = {g: telling(k, cleanly[g]) for g, k in counts.items()}
+    ratio = {g: r for g, r in ratio.items() if r > LEAST}
+    held: dict[str, list[int]] = {g: [] for g in ratio}
+    for i, (d, t) in enumerate(zip(docs, toxic)):
+        if t:
+            for g in groups(d) & ratio.keys():
+                held[g].append(i)
     times = np.zeros(len(docs))
     add = lambda g: ratio[g] * sum(max(0.0, 1 - times[i] / COVER) for i in held[g])
-    queue = [(-ratio[g] * len(held[g]), g) for g in held if ratio[g] > LEAST]
+    queue = [(-ratio[g] * len(held[g]), g) for g in held]
     heapq.heapify(queue)
     out: list[str] = []
     while queue and len(out) < LANDMARKS:
@@ -307,7 +308,7 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
         if now > old + 1e-9:
             heapq.heappush(queue, (now, g))
             continue
-        words = [w for w in spread if w in parts and g in parts[w] and w not in out and told[w] > LEAST]
+        words = [w for w in spread if g in w and len(w) <= WHOLE and w not in out and told[w] > LEAST]
         out += sorted(words, key=lambda w: (-spread[w] * told[w], len(w), w))[:PER_GROUP]
         for i in held[g]:
             times[i] += 1
@@ -319,7 +320,8 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float =
     w, b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     live = weight > 0
-    x, y, weight = x[live].astype(np.float32), y[live].astype(np.float32), (weight[live] / weight.sum()).astype(np.float32)
+    x = x if live.all() else x[live]
+    y, weight = y[live].astype(np.float32), (weight[live] / weight.sum()).astype(np.float32)
     for t in range(1, rounds + 1):
         slack = np.maximum(0.0, 1 - y * (x @ w.astype(np.float32) + np.float32(b))) * weight * y
         g = np.append(-2 * (slack @ x) + 2 * l2 * w, -2 * slack.sum())
@@ -379,13 +381,13 @@ def _fit(docs: list[list[list[str]]], toxic: np.ndarray, letters: dict[str, str]
     gram[at] = values
     spectrum, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = spectrum > 1e-4 * spectrum.max()
-    nystroem = vectors[:, keep] / np.sqrt(spectrum[keep])  # K^(-1/2) up to a rotation
+    nystroem = (vectors[:, keep] / np.sqrt(spectrum[keep])).astype(np.float32)  # K^(-1/2) up to a rotation
     raw = sorted(letters)
     at, values = model.nearest([letters[w] for w in raw])
     features = values @ nystroem
     row = {raw[i]: k for k, i in enumerate(at.tolist())}
     # sentences without a word near any landmark all have the features zero: one weighted row a document
-    owner, held, x = [], [], []
+    owner, held = [], []
     zeros = np.zeros(len(docs))
     for i, d in enumerate(docs):
         for s in d:
@@ -393,11 +395,13 @@ def _fit(docs: list[list[list[str]]], toxic: np.ndarray, letters: dict[str, str]
             if hit:
                 owner.append(i)
                 held.append(hit)
-                x.append(features[hit].sum(axis=0))
             else:
                 zeros[i] += 1
     found = len(owner)
-    owner, x = np.array([*owner, *range(len(docs))]), np.array([*x, *np.zeros((len(docs), keep.sum()))])
+    owner = np.array([*owner, *range(len(docs))])
+    x = np.zeros((found + len(docs), features.shape[1]), np.float32)
+    for k, hit in enumerate(held):
+        x[k] = features[hit].sum(axis=0)
     weight = np.concatenate((np.ones(found), zeros))
     y = np.where(toxic[owner], 1.0, -1.0)
     w, b = _fitted_rounds(x, y, weight, owner, len(docs), rounds)
