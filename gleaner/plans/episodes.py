@@ -110,13 +110,13 @@ def substring_matches(spark: SparkSession, d: str) -> DataFrame:
     return S.phrase(docs, answers).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
-@query("connected_links", """SELECT o_custkey AS source_id, o_orderkey AS target_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' ELSE 'related' END AS kind, round(greatest(0.0, least(1.0, o_totalprice / 200000 - 0.1)), 6) AS weight FROM orders WHERE o_custkey <> o_orderkey""")
+@query("connected_links", """SELECT o_custkey AS source_id, o_orderkey AS target_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' ELSE 'related' END AS kind, round(greatest(0.0, least(1.0, o_totalprice / 100000 - 0.1)), 7) AS weight FROM orders WHERE o_custkey <> o_orderkey""")
 def connected_links(spark: SparkSession, d: str) -> DataFrame:
     """New links: weights are clamped to [0, 1], a kind that is missing is ``related``, none leads to itself."""
     from ..operators.access import connected
 
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").alias("kind"), (F.col("o_totalprice") / 200000 - 0.1).alias("weight"))
-    return connected(o).withColumn("weight", F.round("weight", 6))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").alias("kind"), (F.col("o_totalprice") / 100000 - 0.1).alias("weight"))
+    return connected(o).withColumn("weight", F.round("weight", 7))
 
 
 @query("this_variants", """SELECT p_partkey, unnest(list_distinct([symbol, member, parent || '.' || member])) AS candidate FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'this.' ELSE '' END || lower(split_part(p_name, ' ', 1)) AS symbol, lower(split_part(p_name, ' ', 1)) AS member, p_brand AS parent FROM part) WHERE starts_with(symbol, 'this.') UNION ALL SELECT p_partkey, lower(split_part(p_name, ' ', 1)) FROM part WHERE p_size % 2 <> 0""")
