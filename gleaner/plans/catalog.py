@@ -1,4 +1,4 @@
 """Every registered query: importing the modules fills the registry."""
 
-from . import analytics, code, episodes, followup, lifecycle, positions, relational, retrieval, state  # noqa: F401
+from . import analytics, code, episodes, followup, lifecycle, positions, relational, retrieval, set_returning, state  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

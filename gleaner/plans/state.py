@@ -89,3 +89,20 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_first_requests", """SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY 1, 2""")
 def stream_first_requests(spark: SparkSession, d: str) -> DataFrame:
     return runs.first_requests(spark, d)
+
+
+@query("stream_proposals", """WITH RECURSIVE r AS (SELECT user_id % 6 AS owner, event_id, epoch_us(ts) AS at_us, CASE event_type WHEN 'view' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'propose' END AS action, json_extract(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS memory, event_id % 17 = 0 AS by_agent,
+row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id) AS i FROM events),
+s(owner, i, event_id, number, outcome, n, live, vers) AS (
+SELECT DISTINCT owner, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0::BIGINT, []::STRUCT(number BIGINT, status VARCHAR, base BIGINT, memory BIGINT, expires BIGINT)[], [1, 1, 1, 1, 1, 1, 1]::BIGINT[] FROM r
+UNION ALL
+SELECT owner, i, event_id, number, outcome, n,
+CASE WHEN outcome = 'pending' THEN list_append(live, {'number': number, 'status': 'pending', 'base': vers[memory + 1], 'memory': memory, 'expires': at_us + 604800000000}) WHEN outcome IN ('accepted', 'rejected') THEN list_append(list_filter(live, lambda x: x.number <> number), {'number': number, 'status': outcome, 'base': p.base, 'memory': p.memory, 'expires': at_us + 2592000000000}) ELSE live END,
+CASE WHEN outcome = 'accepted' AND p.memory IS NOT NULL THEN list_transform(vers, lambda v, j: CASE WHEN j = p.memory + 1 THEN v + 1 ELSE v END) ELSE vers END
+FROM (SELECT *, CASE WHEN action = 'propose' THEN CASE WHEN k % 60 > 50 THEN 'invalid' WHEN len(list_filter(live, lambda x: x.status = 'pending')) >= 100 THEN 'full' ELSE 'pending' END
+WHEN by_agent THEN 'forbidden' WHEN p IS NULL THEN 'unknown' WHEN p.status <> 'pending' THEN CASE WHEN p.status = action THEN 'repeated' ELSE 'conflict' END WHEN action = 'accepted' AND p.memory IS NOT NULL AND vers[p.memory + 1] <> p.base THEN 'stale' ELSE action END AS outcome
+FROM (SELECT *, list_filter(live, lambda x: x.number = number)[1] AS p FROM (SELECT r.owner, r.i, r.event_id, r.at_us, r.action, r.k, r.memory, r.by_agent, s.n + (r.action = 'propose')::BIGINT AS n, s.n + CASE WHEN r.action = 'propose' THEN 1 ELSE -(r.k % 40) END AS number, list_filter(s.live, lambda x: x.expires > r.at_us) AS live, s.vers FROM s JOIN r ON r.owner = s.owner AND r.i = s.i + 1))))
+SELECT owner, event_id, number, outcome FROM s WHERE i > 0""")
+def stream_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals and reviews as keyed state of a stream: limit of pending ones, expiry, version-bound idempotent review."""
+    return runs.reviewed_proposals(spark, d)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from . import proposals
 
 
 def _folder(spark: SparkSession) -> str:
@@ -25,12 +26,14 @@ def _folder(spark: SparkSession) -> str:
 FILES = 64
 
 
-def drained(spark: SparkSession, sf_dir: str, name: str, work: Callable[[DataFrame], DataFrame], files: int = FILES) -> DataFrame:
+def drained(spark: SparkSession, sf_dir: str, name: str, work: Callable[[DataFrame], DataFrame], files: int = FILES, where: str | None = None) -> DataFrame:
     """Run ``work`` over a table's files as a stream until they are read; its upserts' last state is returned.
 
+    A later run with the same folder ``where`` goes on from its checkpoint with the files that are new.
+
     The stream runs in update mode; each batch is written under its number, and a later batch's row replaces an earlier one's of the same key.
     """
-    where = _folder(spark)
+    where = where or _folder(spark)
     stream = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet*")
     out = work(stream)
 
@@ -59,3 +62,13 @@ def daily_counts(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFr
 def first_requests(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
     """The first event of each user and type: keyed state that later events do not change."""
     return _last(drained(spark, sf_dir, "events", lambda s: s.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts")), files), ["user_id", "event_type"])
+
+
+#: Provider of the keyed state that processors with timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def reviewed_proposals(spark: SparkSession, sf_dir: str, files: int = FILES, where: str | None = None, capacity: int = proposals.CAPACITY, pending_days: int = proposals.PENDING_DAYS) -> DataFrame:
+    """The outcome of every proposal and review among the events."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return drained(spark, sf_dir, "events", lambda s: proposals.reviewed(s, capacity, pending_days), files, where).drop("_batch")
