@@ -172,26 +172,30 @@ class Model:
     def kernels(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words that come near a landmark, and their kernel values [words, landmarks]."""
         at, values = [], []
-        peak = self.table.max(axis=1)
-        for k in range(0, len(some), 1024):
-            word, row, weight = triples(some[k : k + 1024], self.column)
-            bound = np.bincount(word, weights=weight * peak[row], minlength=1)
-            near = bound[word] >= FAINT
-            word, row, weight = word[near], row[near], weight[near]
+        # a triple is in few landmarks: entries (landmark, weight) of each row of the table, one row after the other
+        held, landmark = np.nonzero(self.table)
+        entry, count = self.table[held, landmark], np.bincount(held, minlength=len(self.table))
+        begin, n = np.cumsum(count) - count, len(self.landmarks)
+        for k in range(0, len(some), 4096):
+            word, row, weight = triples(some[k : k + 4096], self.column)
             if not len(word):
                 continue
-            order = np.argsort(word, kind="stable")
-            word, row, weight = word[order], row[order], weight[order]
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            near = word[first]
-            norm = norms([some[k + i] for i in near.tolist()]).astype(np.float32)
-            value = np.add.reduceat(self.table[row] * weight[:, None], first, axis=0) / norm[:, None]
-            value = np.where(value >= FAINT, value**POWER, np.float32(0))
-            some_near = value.any(axis=1)
-            at.append(k + near[some_near])
-            values.append(value[some_near])
+            times = count[row]
+            ends = np.cumsum(times)
+            place = np.arange(ends[-1]) - np.repeat(ends - times - begin[row], times)
+            cell = np.repeat(word.astype(np.int64) * n, times) + landmark[place]
+            size = int(word.max()) + 1
+            value = np.bincount(cell, weights=np.repeat(weight, times) * entry[place], minlength=size * n).reshape(size, n)
+            near = np.flatnonzero((value >= FAINT).any(axis=1))  # norms are 1 at least
+            if not len(near):
+                continue
+            value = value[near] / norms([some[k + i] for i in near.tolist()])[:, None]
+            value = np.where(value >= FAINT, value**POWER, 0).astype(np.float32)
+            still = value.any(axis=1)
+            at.append(k + near[still])
+            values.append(value[still])
         if not at:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
+            return np.zeros(0, np.int64), np.zeros((0, n), np.float32)
         return np.concatenate(at), np.concatenate(values)
 
     def windows(self, some: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
