@@ -1,4 +1,4 @@
 """Every registered query: importing the modules fills the registry."""
 
-from . import analytics, citations, code, episodes, followup, joint, lifecycle, positions, relational, retrieval, set_returning, state  # noqa: F401
+from . import analytics, citations, code, episodes, followup, joint, lifecycle, positions, relational, retrieval, set_returning, state, validation  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
