@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.stemmer import STOP_WORDS, stemmed
 from ..functions.text import aliases, cjk_grams, terms
+from ..sources.tables import saved
 from .access import active_members, may_read
+from .positions import cover_density, english_cover_density, positions
 from .ranking import fused, ranked, rolled_up
 
 
@@ -148,15 +150,21 @@ def _tiles(vectors: DataFrame, key: str, rows: int) -> DataFrame:
     return vectors.select(key, "embedding").mapInArrow(run, schema)
 
 
-def semantic(vectors: DataFrame, queries: DataFrame, threshold: float, tile_rows: int = 1024) -> DataFrame:
+def semantic(vectors: DataFrame, queries: DataFrame, threshold: float, tile_rows: int = 1024, block: int = 8) -> DataFrame:
     """(query_id, id, distance): vectors within a cosine distance of each query vector.
 
     ``queries`` is a stated query set that meets all vectors in blocks: both sides are gathered into tiles, and each
-    pair of tiles is one matrix product. Zero vectors and those with nulls are near nothing.
+    pair of tiles is one matrix product. Vectors stay where they were read; the queries are broadcast to them, at most
+    ``block`` tiles of ``tile_rows`` vectors at a time. Zero vectors and those with nulls are near nothing.
     """
     left = _tiles(vectors.withColumnRenamed("vec_id", "id"), "id", tile_rows)
-    right = _tiles(queries, "query_id", tile_rows).select(*(F.col(c).alias(f"q_{c}") for c in ("keys", "dims", "flat", "norms")))
-    pairs = left.crossJoin(right).where("dims = q_dims")
+    tiles = max(1, -(-queries.count() // tile_rows))
+    dealt = _tiles(queries.repartition(tiles), "query_id", tile_rows).withColumn("_block", F.floor(F.spark_partition_id() / block))
+    right = saved(dealt).select("_block", *(F.col(c).alias(f"q_{c}") for c in ("keys", "dims", "flat", "norms")))
+    pairs = None
+    for k in range(-(-tiles // block)):
+        met = left.join(F.broadcast(right.where(F.col("_block") == k).drop("_block")), F.col("dims") == F.col("q_dims"))
+        pairs = met if pairs is None else pairs.unionByName(met)
     schema = T.StructType([T.StructField("query_id", right.schema["q_keys"].dataType.elementType), T.StructField("id", left.schema["keys"].dataType.elementType), T.StructField("distance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,29 +212,30 @@ def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame,
     """(query_id, id, rank, score): memories by their best chunk's fused score over all channels.
 
     ``pieces`` are chunks (id, ordinal, chunk) with their memory's workspace_id, owner_id, scope and updated_at, ``queries``
-    (query_id, user_id, text) and ``wanted`` (query_id, embedding) a stated set, broadcast; ``vectors`` has the columns of
+    (query_id, user_id, text) and ``wanted`` (query_id, embedding) a stated set; ``vectors`` has the columns of
     ``pieces`` with embedding. Hits that the query's user may not read go before any rank is given.
 
-    Chunks move once, by their key; everything up to the channels' best hits stays in that partition.
+    Of the chunks only the query set's terms, stems and grams move. The simple and the English channel rank by the density of the windows
+    that cover the query.
     """
     key = F.struct(F.col("id").alias("memory_id"), "ordinal", "workspace_id", "owner_id", "scope", "updated_at")
-    chunks = pieces.select(key.alias("id"), F.col("chunk").alias("content")).repartition("id")
+    chunks = pieces.select(key.alias("id"), F.col("chunk").alias("content"))
     want = query_terms(queries)
-    terms_hit = lexical(postings(chunks, wanted=want), F.broadcast(want))
+    posted = saved(positions(chunks, want))  # the query set's terms only
+    terms_hit = lexical(posted.select("id", "term", F.size("at").alias("tf")), want)
     hit = lambda name, first, second=F.lit(0.0): F.struct(F.lit(name).alias("channel"), F.round(first.cast("double"), 9).alias("first"), second.cast("double").alias("second"))
-    both = F.array_compact(F.array(F.when(F.col("n") == F.col("n_terms"), hit("simple", F.col("plain"))), F.when(F.col("n_leading") >= 2, hit("relaxed", F.col("weighted")))))
-    grams = gram_hits(chunks, F.broadcast(queries.select("query_id", cjk_grams(F.col("text")).alias("grams"))))
+    grams = gram_hits(chunks, queries.select("query_id", cjk_grams(F.col("text")).alias("grams")))
     near = semantic(vectors.select(key.alias("vec_id"), "embedding"), wanted, threshold)
-    found = [terms_hit.select("query_id", "id", F.explode(both).alias("hit")), grams.select("query_id", "id", hit("cjk", F.col("total"), F.col("hits")).alias("hit")), near.select("query_id", "id", hit("semantic", -F.col("distance")).alias("hit"))]
+    found = [cover_density(posted, want).select("query_id", "id", hit("simple", F.col("score")).alias("hit")), terms_hit.where("n_leading >= 2").select("query_id", "id", hit("relaxed", F.col("weighted")).alias("hit")), grams.select("query_id", "id", hit("cjk", F.col("total"), F.col("hits")).alias("hit")), near.select("query_id", "id", hit("semantic", -F.col("distance")).alias("hit"))]
     if with_english:
-        found.append(english(chunks, queries).select("query_id", "id", hit("english", F.col("score")).alias("hit")))
+        found.append(english_cover_density(chunks, queries).select("query_id", "id", hit("english", F.col("score")).alias("hit")))
     if with_aliases:
         found.append(alias_hits(chunks, queries).select("query_id", "id", hit("alias", F.col("hits"), F.col("longest")).alias("hit")))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     asks = queries.select("query_id", "user_id").join(active_members(memberships), "user_id")
-    seen = every.select("query_id", "id", "hit.*", "id.workspace_id", "id.owner_id", "id.scope").join(F.broadcast(asks), ["query_id", "workspace_id"]).where(may_read(F.col("user_id")))
+    seen = every.select("query_id", "id", "hit.*", "id.workspace_id", "id.owner_id", "id.scope").join(asks, ["query_id", "workspace_id"]).where(may_read(F.col("user_id")))
     order = (F.desc("first"), F.desc("second"), F.desc("id.updated_at"), F.desc("id.ordinal"), F.col("id.memory_id"))
     best = fused([ranked(seen, *order, by=["query_id", "channel"], limit=min(4 * limit, 800))])
     memory = F.struct("id.memory_id", "id.updated_at")

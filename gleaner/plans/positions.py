@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import STOP_WORDS, stem_sql
 from ..operators import positions as P
+from ..sources import views as V
 from .registry import query
-from .retrieval import _memories, _queries
+from .retrieval import _RELAXED, _SEM, _WITH, _memories, _queries, searched
 
 _WORDS = r"regexp_extract_all(lower({t}), '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_''-]*)', 1)"
 _PLACES = f"pos AS (SELECT doc_id AS id, unnest({_WORDS.format(t='text')}) AS term, generate_subscripts({_WORDS.format(t='text')}, 1) AS place FROM documents)"
@@ -59,3 +60,25 @@ def literal_answers(spark: SparkSession, d: str) -> DataFrame:
     word = lambda i: F.try_element_at("w", F.lit(i))
     asks = _queries(spark, d).withColumn("w", w).select("query_id", "text", F.array_compact(F.array(word(-1), F.concat_ws(" ", word(3), word(4)), (F.col("query_id") % 100).cast("string"))).alias("references"))
     return P.literal_answers(_memories(spark, d), asks)
+
+
+def _covers(prefix: str, entries: str, asked: str) -> str:
+    """The cover-density hits of a channel as {prefix}hit (query_id, id, score), from its entries and asked terms."""
+    steps = _COVERS.replace("FROM q ", f"FROM {asked} ").replace("FROM e ", f"FROM {entries} ")
+    for name in ("n", "whole", "f", "l", "m", "c"):
+        steps = steps.replace(f"{name} AS (", f"{prefix}{name} AS (")
+    for old, new in (("JOIN n ", "JOIN {p}n "), ("SEMI JOIN whole", "SEMI JOIN {p}whole"), ("FROM f x JOIN f y", "FROM {p}f x JOIN {p}f y"), ("FROM l JOIN", "FROM {p}l JOIN"), ("FROM m JOIN f ON f.query_id = m.query_id AND f.id = m.id AND f.i = m.low", "FROM {p}m m JOIN {p}f f ON f.query_id = m.query_id AND f.id = m.id AND f.i = m.low"), ("FROM c WHERE", "FROM {p}c WHERE")):
+        steps = steps.replace(old, new.format(p=prefix))
+    body, last = steps.rsplit("\nSELECT", 1)
+    return f"{body},\n{prefix}hit AS (SELECT{last})".replace("round(w / (w + 1), 6)", "w / (w + 1)")
+
+
+@query("memory_search_whole", f"""{_WITH}, {_RELAXED}, {_SEM.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)").replace("q AS", "sq AS")}, {_PLACES}, sasked AS ({_ASKED}), se AS (SELECT query_id, id, term, place FROM pos JOIN sasked USING (term)), {_covers("s", "se", "sasked")},
+ev AS (SELECT DISTINCT term FROM pos WHERE term NOT IN ({_STOPS})), evs AS ({stem_sql("ev")}), eb AS (SELECT * FROM ({_ASKED}) WHERE term NOT IN ({_STOPS})), easked AS (SELECT DISTINCT query_id, stem AS term FROM ({stem_sql("eb")})), ee AS (SELECT query_id, id, easked.term, place FROM pos JOIN evs USING (term) JOIN easked ON easked.term = evs.stem), {_covers("e", "ee", "easked")},
+every AS (SELECT query_id, id, 'simple' AS channel, score FROM shit UNION ALL SELECT query_id, id, 'english', score FROM ehit UNION ALL SELECT query_id, id, 'relaxed', score FROM r UNION ALL SELECT query_id, id, 'semantic', -distance FROM m),
+mem AS ({V.MEMORIES_SQL}), mb AS ({V.MEMBERSHIPS_SQL}), seen AS (SELECT every.*, updated_at FROM every JOIN mem USING (id) JOIN mb ON mb.user_id = query_id % 25 AND mb.workspace_id = mem.workspace_id AND status = 'active' WHERE scope = 'shared' OR owner_id = mb.user_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY round(score, 9) DESC, updated_at DESC, id) AS rank FROM seen QUALIFY rank <= 80), fused AS (SELECT query_id, id, updated_at, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ranked GROUP BY ALL)
+SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, updated_at DESC, id) AS rank FROM fused) WHERE rank <= 20""")
+def memory_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``memory_search`` with each memory as one chunk, so that SQL sees what its channels see: authorisation, cover density, stems, vectors, fusion."""
+    return searched(spark, d, whole=True).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

@@ -157,8 +157,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "channels", F.round("score", 6).alias("score"))
 
 
-def searched(spark: SparkSession, d: str, limit: int = LIMIT, with_aliases: bool = False) -> DataFrame:
-    """The whole memory search: every channel over chunks, what the query's user may read, memories by their best chunk.
+def searched(spark: SparkSession, d: str, limit: int = LIMIT, with_aliases: bool = False, whole: bool = False) -> DataFrame:
+    """The whole memory search: every channel over chunks (or ``whole`` memories), what the query's user may read, memories by their best chunk.
 
     Query q is asked by user q mod 25 and has the vector q; the vector of a memory's first chunk is the one with its id.
     """
@@ -167,7 +167,8 @@ def searched(spark: SparkSession, d: str, limit: int = LIMIT, with_aliases: bool
     e = table(spark, d, "embeddings")
     wanted = e.select(F.col("vec_id").alias("query_id"), "embedding").join(qs.select("query_id"), "query_id", "left_semi")
     vectors = e.select(F.col("vec_id").alias("id"), "embedding").join(m.drop("content"), "id").withColumn("ordinal", F.lit(0))
-    return S.memory_search(chunked(m), qs, V.memberships(spark, d), vectors, wanted, limit, 0.9, with_aliases)
+    pieces = m.withColumnRenamed("content", "chunk").withColumn("ordinal", F.lit(0)) if whole else chunked(m)
+    return S.memory_search(pieces, qs, V.memberships(spark, d), vectors, wanted, limit, 0.9, with_aliases)
 
 
 @query("memory_search")
