@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..sources.tables import saved
 
 #: Words that a feedback query gains nothing from.
 FEEDBACK_STOPS = "about after also before does from have into that their there these they this those what when where which while with would".split()
@@ -93,3 +96,26 @@ def feedback_tail(first: DataFrame, more: DataFrame, limit: int, share: float =
     kept = start.join(slots, "query_id").where(F.col("rank") <= limit - F.col("slots")).select("query_id", "id", F.lit(0).alias("part"), F.col("rank").alias("k"))
     tail = new.join(slots, "query_id").where(F.col("k") <= F.col("slots")).select("query_id", "id", F.lit(1).alias("part"), "k")
     return kept.unionByName(tail).select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("part", "k")).alias("position"))
+
+
+def search_rounds(search: Callable[[DataFrame], DataFrame], ask_again: Callable[[DataFrame], DataFrame], queries: DataFrame, rights: list[Callable[[], DataFrame]], limit: int) -> DataFrame:
+    """(query_id, id, round, rank, score): what rounds of search and feedback find, rights read anew before each of them.
+
+    ``search`` gives (query_id, id, score) of queries (query_id, user_id, text), best first by score, then by id; ``rights``, one a round, gives the memories that each
+    user may read now (user_id, id); ``ask_again`` makes the next round's queries (query_id, text, excluded_id) of a round's hits. Each round is
+    saved before the next begins. A round asks nothing for users who may read nothing any more, and hits of
+    earlier rounds that their user may no longer read are gone from the result.
+    """
+    users = queries.select("query_id", "user_id")
+    asked, done = queries.withColumn("excluded_id", F.lit(None).cast("long")), None
+    for k, read in enumerate(rights, 1):
+        readable = saved(read())
+        asked = asked.join(readable.select("user_id").distinct(), "user_id", "left_semi")
+        hits = search(asked).join(asked.select("query_id", "user_id", "excluded_id"), "query_id").where(~F.col("id").eqNullSafe(F.col("excluded_id")))
+        hits = hits.join(readable, ["user_id", "id"], "left_semi")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+        hits = saved(hits.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "user_id", "id", F.lit(k).alias("round"), "rank", "score"))
+        done = hits if done is None else saved(done.join(readable, ["user_id", "id"], "left_semi").select(hits.columns).unionByName(hits))
+        if k < len(rights):
+            asked = ask_again(hits).join(users, "query_id")
+    return done.drop("user_id")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import access
 from ..operators import context as C
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..sources import views as V
 from ..sources.tables import table
 from .registry import query
-from .retrieval import _HYBRID, _RELAXED, _SEM, _WITH, _hits, _memories, _queries, _rank, _semantic, hybrid
+from .retrieval import _HYBRID, _POST, _RELAXED, _SEM, _TERMS, _WITH, _hits, _memories, _queries, _rank, _semantic, hybrid
 
 _STOPS = ", ".join(f"'{w}'" for w in C.FEEDBACK_STOPS)
 _WORDS = r"regexp_extract_all(lower({0}), '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_''-]*)', 1)"
@@ -102,3 +103,40 @@ def score_distribution(spark: SparkSession, d: str) -> DataFrame:
     b = _queries(spark, d).select("query_id").join(best, "query_id", "left")
     at = lambda p: F.expr(f"percentile_disc({p}) within group (order by score)")
     return b.agg(F.count("score").alias("n"), (F.count("*") - F.count("score")).alias("n_empty"), F.min("score").alias("low"), at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("score").alias("high"))
+
+
+def _found_by(asked: str, name: str) -> str:
+    """The relaxed channel's hits of a table of queries as CTEs; the last one has the given name."""
+    steps = f"{_TERMS}, {_RELAXED}".replace("item_id AS query_id", "query_id").replace("FROM benchmark", f"FROM {asked}")
+    for old in ("w0", "w1", "w2"):
+        steps = steps.replace(f"{old} AS (", f"{name}_{old} AS (").replace(f"FROM {old}", f"FROM {name}_{old}")
+    return steps.replace("\nq AS (", f"\n{name}_q AS (").replace("JOIN q USING", f"JOIN {name}_q USING").replace("r AS (SELECT query_id, id", f"{name} AS (SELECT query_id, id")
+
+
+#: Members that have left before the second round.
+_LEFT = "user_id % 5 = 0"
+
+
+@query("feedback_rounds", f"""WITH {_POST}, mem AS ({V.MEMORIES_SQL}), mb AS (SELECT user_id, workspace_id FROM ({V.MEMBERSHIPS_SQL}) WHERE status = 'active'),
+v1 AS (SELECT user_id, id FROM mem JOIN mb USING (workspace_id) WHERE scope = 'shared' OR owner_id = user_id), v2 AS (SELECT * FROM v1 WHERE NOT {_LEFT}),
+b AS (SELECT item_id AS query_id, item_id % 25 AS user_id, text FROM benchmark WHERE item_id % 25 IN (SELECT user_id FROM v1)), {_found_by("b", "x1")},
+h1 AS (SELECT query_id, user_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM x1 JOIN b USING (query_id) SEMI JOIN v1 USING (user_id, id) QUALIFY rank <= 5),
+b2 AS (SELECT query_id, user_id, substr(content, 1, 80) AS text, h1.id AS excluded_id FROM h1 JOIN mem USING (id) WHERE rank = 1 AND user_id IN (SELECT user_id FROM v2)), {_found_by("b2", "x2")},
+h2 AS (SELECT query_id, user_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM x2 JOIN b2 USING (query_id) SEMI JOIN v2 USING (user_id, id) WHERE id <> excluded_id QUALIFY rank <= 5)
+SELECT query_id, id, 1 AS round, rank, round(score, 6) AS score FROM h1 SEMI JOIN v2 USING (user_id, id) UNION ALL SELECT query_id, id, 2, rank, round(score, 6) FROM h2""")
+def feedback_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds: passages, then the beginning of each best memory; some members leave in between and get nothing from then on."""
+    docs, m, members = _memories(spark, d), V.memories(spark, d), V.memberships(spark, d)
+
+    def search(asked: DataFrame) -> DataFrame:
+        want = S.query_terms(asked)
+        return S.relaxed(S.postings(docs, wanted=want), want).select("query_id", "id", "score")
+
+    def ask_again(hits: DataFrame) -> DataFrame:
+        return hits.where("rank = 1").join(docs, "id").select("query_id", F.substring("content", 1, 80).alias("text"), F.col("id").alias("excluded_id"))
+
+    now = lambda rows: lambda: access.visible(m, rows).select("user_id", "id")
+    rights = [now(members), now(members.where(f"not {_LEFT}"))]
+    asked = _queries(spark, d).withColumn("user_id", F.col("query_id") % 25)
+    got = C.search_rounds(search, ask_again, asked, rights, 5)
+    return got.select("query_id", "id", "round", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
