@@ -37,11 +37,12 @@ def numbered_facts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def framed_answers(facts: DataFrame, frames: DataFrame) -> DataFrame:
     """(frame_id, answer, serial, n): what stands in a frame (prefix, suffix) in the fact with the highest serial.
 
-    Facts meet frames by their first word, so only facts that may fit are looked at.
+    A fact meets the frames whose whole prefix it begins with: it is cut at each length that a prefix has, and joined by that beginning.
     """
-    word = lambda c: F.split(c, " ")[0]
-    met = facts.withColumn("_w", word(F.col("fact"))).join(frames.withColumn("_w", word(F.col("prefix"))), "_w")
-    fits = met.where(F.col("fact").startswith(F.col("prefix")) & F.col("fact").endswith(F.col("suffix")) & (F.length("fact") > F.length("prefix") + F.length("suffix")))
+    lengths = frames.agg(F.collect_set(F.length("prefix")).alias("_lengths"))  # one row of distinct lengths
+    begun = facts.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths")).where(F.length("fact") > F.col("_n"))
+    met = begun.withColumn("prefix", F.substring("fact", F.lit(1), F.col("_n"))).drop("_lengths", "_n").join(frames, "prefix")
+    fits = met.where(F.col("fact").endswith(F.col("suffix")) & (F.length("fact") > F.length("prefix") + F.length("suffix")))
     answer = F.substring("fact", F.length("prefix") + 1, F.length("fact") - F.length("prefix") - F.length("suffix"))
     return fits.groupBy("frame_id").agg(F.max_by(answer, "serial").alias("answer"), F.max("serial").alias("serial"), F.count("*").alias("n"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def swept(jobs: DataFrame, now: Column, stale: Column) -> DataFrame:
@@ -81,19 +85,24 @@ def import_outcomes(archive: DataFrame, existing: DataFrame, owners: DataFrame,
 def packed(rows: DataFrame, by: str, order: str, size: str, most_rows: int, most_size: int) -> DataFrame:
     """``rows`` with ``bin``: each key's rows packed in order into bins of bounded number and size.
 
-    A bin closes when the next row would exceed either bound; a row larger than the bound has a bin of its own. The fold
-    runs over (order, size) pairs only.
+    A bin closes when the next row would exceed either bound; a row larger than the bound has a bin of its own. A key's rows
+    pass through one task in order, as packing demands, but never stand in one row or in memory together: only (key, order, size) is sorted there.
     """
-    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).alias("bin"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"), F.array().cast("array<struct<o:bigint,b:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] + 1 > most_rows) | (acc["s"] + x["s"] > most_size))
-        b = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        return F.struct(
-            b.alias("bin"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(acc["s"] + x["s"]).alias("s"),
-            F.array_append(acc["out"], F.struct(x["o"].alias("o"), b.alias("b"))).alias("out"),
-        )
-
-    bins = rows.groupBy(by).agg(F.aggregate(each, start, step, lambda a: a["out"]).alias("out")).select(by, F.explode("out").alias("x")).select(by, F.col("x.o").alias(order), F.col("x.b").alias("bin"))
+    kinds = [rows.schema[c].dataType for c in (by, order)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, n, total = None, -1, 0, 0
+        for b in batches:
+            bins = []
+            for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if number < 0 or k != key:
+                    key, number, n, total = k, 0, 0, 0
+                elif n + 1 > most_rows or total + s > most_size:
+                    number, n, total = number + 1, 0, 0
+                n, total = n + 1, total + s
+                bins.append(number)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bins, pa.int32())], names=[by, order, "bin"])
+
+    sizes = rows.select(by, order, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size")).repartition(by).sortWithinPartitions(by, order)
+    bins = sizes.mapInArrow(run, T.StructType([T.StructField(by, kinds[0]), T.StructField(order, kinds[1]), T.StructField("bin", T.IntegerType())]))
     return rows.join(bins, [by, order])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 RRF_K = 60
 
 
@@ -55,3 +57,17 @@ def rerank_fused(hits: DataFrame, weight: float, min_score: float = 0.0, by: str
     kept = kept.withColumn("rerank_rank", place).withColumn("score", F.lit(weight) / (RRF_K + F.col("rerank_rank")) + F.lit(1 - weight) / (RRF_K + F.col("rank")))
     rest = good.where(~F.col("_sound")).withColumn("rerank_rank", F.lit(None).cast("int")).withColumn("score", 1.0 / (RRF_K + F.col("rank")))
     return kept.unionByName(rest.select(kept.columns)).drop("_sound")
+
+
+def placed(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``rows`` with their 1-based place in one order over the whole table; ``order`` must end in a unique column.
+
+    A range sort deals the rows over all tasks; a row's place is the one within its range plus the rows of the ranges before.
+    """
+    at = F.col("_at")
+    sorted_rows = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(at, 33)
+    sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = sorted_rows.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return joined.withColumn(name, F.col("_before") + at.bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")

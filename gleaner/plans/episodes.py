@@ -73,15 +73,13 @@ def numbered_facts(spark: SparkSession, d: str) -> DataFrame:
     return A.numbered_facts(texts, "conv_id").select("conv_id", "serial", F.md5(F.col("fact").cast("binary")).alias("digest"))
 
 
-@query("framed_answers", """WITH f AS (SELECT p_partkey AS serial, p_brand || ' holds ' || p_name || ' of size ' || p_size AS fact FROM part), r AS (SELECT row_number() OVER (ORDER BY p_brand, p_size) AS frame_id, p_brand || ' holds ' AS prefix, ' of size ' || p_size AS suffix FROM (SELECT DISTINCT p_brand, p_size FROM part WHERE p_size <= 10))
+@query("framed_answers", """WITH f AS (SELECT p_partkey AS serial, p_brand || ' holds ' || p_name || ' of size ' || p_size AS fact FROM part), r AS (SELECT row_number() OVER (ORDER BY p_brand, p_size) AS frame_id, p_brand || ' holds ' AS prefix, ' of size ' || p_size AS suffix FROM (SELECT DISTINCT p_brand, p_size FROM part))
 SELECT frame_id, arg_max(substr(fact, length(prefix) + 1, length(fact) - length(prefix) - length(suffix)), serial) AS answer, max(serial) AS serial, count(*) AS n FROM f JOIN r ON starts_with(fact, prefix) AND ends_with(fact, suffix) GROUP BY 1""")
 def framed_answers(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = table(spark, d, "part")
     facts = p.select(F.col("p_partkey").alias("serial"), F.concat("p_brand", F.lit(" holds "), "p_name", F.lit(" of size "), F.col("p_size").cast("string")).alias("fact"))
-    frames = p.where("p_size <= 10").select("p_brand", "p_size").distinct()
-    frames = frames.select(F.row_number().over(Window.orderBy("p_brand", "p_size")).cast("long").alias("frame_id"), F.concat("p_brand", F.lit(" holds ")).alias("prefix"), F.concat(F.lit(" of size "), F.col("p_size").cast("string")).alias("suffix"))
+    frames = R.placed(p.select("p_brand", "p_size").distinct(), F.col("p_brand"), F.col("p_size"), name="frame_id")
+    frames = frames.select("frame_id", F.concat("p_brand", F.lit(" holds ")).alias("prefix"), F.concat(F.lit(" of size "), F.col("p_size").cast("string")).alias("suffix"))
     return A.framed_answers(facts, frames)
 
 
@@ -146,12 +144,13 @@ def unicode_nfc(spark: SparkSession, d: str) -> DataFrame:
     return normalized(table(spark, d, "documents").select("doc_id", apart.alias("text")), "text", "NFC").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("cursor_pages", """WITH k AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) SELECT a.k AS after, to_base64(encode(strftime(a.o_orderdate, '%Y-%m-%d') || '|' || a.o_orderkey)) AS cursor, (SELECT min(b.k) FROM k b WHERE b.k > a.k) AS next FROM k a WHERE a.k % 500 = 0""")
+@query("cursor_pages", """WITH k AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS k, count(*) OVER () AS n FROM orders) SELECT k AS after, to_base64(encode(strftime(o_orderdate, '%Y-%m-%d') || '|' || o_orderkey)) AS cursor, CASE WHEN k < n THEN k + 1 END AS next, o_orderdate AS decoded_date, o_orderkey AS decoded_key FROM k WHERE k % 500 = 0""")
 def cursor_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Keyset cursors: the sort key of every page's last row, encoded, and where the page after it begins."""
-    from pyspark.sql import Window
-
-    o = table(spark, d, "orders")
-    k = o.select("o_orderkey", "o_orderdate", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
+    """Keyset cursors: the sort key of every page's last row, encoded, where the page after it begins, and the key decoded again."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    k = R.placed(o, F.desc("o_orderdate"), F.col("o_orderkey"), name="k")
+    n = o.agg(F.count("*").alias("n"))  # one row
     cursor = F.base64(F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey").cast("string")).cast("binary"))
-    return k.where("k % 500 = 0").select(F.col("k").alias("after"), cursor.alias("cursor"), F.when(F.col("k") < F.col("n"), F.col("k") + 1).alias("next"))
+    pages = k.where("k % 500 = 0").crossJoin(F.broadcast(n)).select(F.col("k").alias("after"), cursor.alias("cursor"), F.when(F.col("k") < F.col("n"), F.col("k") + 1).alias("next"))
+    key = F.split(F.unbase64("cursor").cast("string"), r"\|")
+    return pages.withColumn("decoded_date", key[0].cast("timestamp_ntz")).withColumn("decoded_key", key[1].cast("long"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access
 from ..operators import lifecycle as L
+from ..operators import ranking as R
 from ..sources import views as V
 from ..sources.sinks import upserted
 from ..sources.tables import table
@@ -49,7 +50,7 @@ def pending_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Jobs of the last three days that wait, in their order."""
     j = _jobs(spark, d).where("status = 'pending' and finished_at >= now - interval 3 days")
     got = j.join(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("requester")), "user_id")
-    return got.select("job_id", "requester", F.row_number().over(Window.orderBy("finished_at", "job_id")).cast("long").alias("position"))
+    return R.placed(got, F.col("finished_at"), F.col("job_id"), name="position").select("job_id", "requester", "position")
 
 
 _GENERATIONS = """SELECT d.source AS workspace, CASE d.lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS generation_id, count(l.doc_id) AS covered, count(*) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1, 2"""
