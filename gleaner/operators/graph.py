@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import saved
 
+#: Fixed value: nodes of a snapshot of the graph at most.
+NEWEST = 5000
+
 
 def centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, degree, gravity, radius, hub) of nodes (id) by distinct neighbours in links (source_id, target_id).
@@ -47,25 +54,43 @@ def affinity_terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, grams))
 
 
-def affinity(docs: DataFrame, least: float = 0.16, text: str = "content") -> DataFrame:
+def affinity(docs: DataFrame, least: float = 0.16, text: str = "content", newest: int = NEWEST, tile: int = 128) -> DataFrame:
     """(source, target, weight): Ochiai similarity of the term sets of documents (id), from ``least`` on.
 
-    Prefix filtering: with terms in the order of their frequency, two sets of at least this similarity share one of the
-    first n - ceil(least^2 n) + 1 terms of each, so a document's most frequent terms form no pairs. Candidates
-    are verified with the whole sets.
+    A snapshot of the graph has the ``newest`` documents (those of the highest ids) as nodes, so its edges are bounded however many documents there
+    are. At a weight as low as this nearly every pair shares a term that counts, so pairs are not searched for by
+    terms: nodes are dealt into tiles, and each pair of tiles is one product of incidence matrices over the terms that both have.
+    A frequent term is a column like any other.
     """
-    sets = docs.select("id", affinity_terms(F.col(text)).alias("terms")).where(F.size("terms") > 0)
-    each = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    df = each.groupBy("term").agg(F.count("*").alias("df"))
-    placed = each.join(df, "term").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "term")))
-    prefix = placed.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (least * least - 1e-9)) + 1).select("term", "id", "n")
-    a, b = (prefix.select("term", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in ("source", "target"))
-    # sets whose sizes differ too much cannot reach it
-    near = F.least("n_source", "n_target") >= least * least * F.greatest("n_source", "n_target") - 1e-9
-    pairs = a.join(b, "term").where((F.col("source") < F.col("target")) & near).select("source", "target").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("source"), F.col("terms").alias("x")), "source").join(sets.select(F.col("id").alias("target"), F.col("terms").alias("y")), "target")
-    w = F.size(F.array_intersect("x", "y")) / F.sqrt(F.size("x").cast("double") * F.size("y"))
-    return both.select("source", "target", w.alias("w")).where(F.col("w") >= least).select("source", "target", F.round("w", 4).alias("weight"))
+    sets = docs.select("id", affinity_terms(F.col(text)).alias("terms")).where(F.size("terms") > 0).orderBy(F.desc("id")).limit(newest)
+    sets = saved(sets)  # at most ``newest`` rows
+    tiles = max(1, -(-sets.count() // tile))
+    mine = F.pmod(F.xxhash64("id"), F.lit(tiles))
+    dealt = sets.withColumn("_t", mine).withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.select(F.least("_t", "_u").alias("_a"), F.greatest("_t", "_u").alias("_b"), (F.col("_t") <= F.col("_u")).alias("_left"), (F.col("_t") >= F.col("_u")).alias("_right"), "id", "terms")
+    kind = docs.schema["id"].dataType
+    schema = T.StructType([T.StructField("source", kind), T.StructField("target", kind), T.StructField("w", T.DoubleType())])
+
+    def product(t: pa.Table) -> pa.Table:
+        lists = t.column("terms").combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        coded = np.asarray(lists.flatten().dictionary_encode().indices)
+        shared = np.bincount(coded) > 1  # a term of one node is in no product
+        row, coded = np.repeat(np.arange(len(sizes)), sizes)[shared[coded]], (np.cumsum(shared) - 1)[coded[shared[coded]]]
+        held = np.zeros((len(sizes), max(1, int(shared.sum()))), np.float32)
+        held[row, coded] = 1
+        left, right = (np.flatnonzero(np.asarray(t.column(c))) for c in ("_left", "_right"))
+        weight = (held[left] @ held[right].T).astype(np.float64) / np.sqrt(sizes[left, None].astype(np.float64) * sizes[None, right])
+        i, j = np.nonzero(weight >= least)
+        ids, w = t.column("id").combine_chunks(), weight[i, j]
+        one, other = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
+        # a pair of two tiles stands once, one within a tile twice: the smaller id first, and no node with itself
+        first = pc.less(one, other)
+        swapped = pc.and_(pc.greater(one, other), pa.array(np.full(len(i), t.column("_a")[0].as_py() != t.column("_b")[0].as_py())))
+        keep = pc.or_(first, swapped)
+        return pa.table([pc.if_else(first, one, other).filter(keep), pc.if_else(first, other, one).filter(keep), pa.array(w).filter(keep)], names=schema.names)
+
+    return dealt.groupBy("_a", "_b").applyInArrow(product, schema).select("source", "target", F.round("w", 4).alias("weight"))
 
 
 def capped(edges: DataFrame, most: int, rounds: int = 200) -> DataFrame:

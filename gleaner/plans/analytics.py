@@ -182,7 +182,7 @@ def graph_centrality(spark: SparkSession, d: str) -> DataFrame:
 _STOPS = ", ".join(f"'{w}'" for w in G.STOP_WORDS)
 
 
-@query("affinity_edges", rf"""WITH t AS (SELECT DISTINCT id, term FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_-]{{1,63}})', 1)) AS term FROM documents) WHERE term NOT IN ({_STOPS})), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), i AS (SELECT a.id AS source, b.id AS target, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
+@query("affinity_edges", rf"""WITH t AS (SELECT DISTINCT id, term FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_-]{{1,63}})', 1)) AS term FROM documents) WHERE term NOT IN ({_STOPS}) QUALIFY dense_rank() OVER (ORDER BY id DESC) <= {G.NEWEST}), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), i AS (SELECT a.id AS source, b.id AS target, count(*) AS c FROM t a JOIN t b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
 SELECT source, target, round(c / sqrt(x.n * y.n), 4) AS weight FROM i JOIN n x ON x.id = source JOIN n y ON y.id = target WHERE c / sqrt(x.n * y.n) >= 0.16""")
 def affinity_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.affinity(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
@@ -190,5 +190,5 @@ def affinity_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("affinity_matching")
 def affinity_matching(spark: SparkSession, d: str) -> DataFrame:
-    """At most three affine neighbours for each of the benchmark's passages."""
+    """At most three affine neighbours for each of the benchmark's passages; tested against the sequential choice."""
     return G.capped(G.affinity(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))), 3)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import answers, context, lifecycle, ranking, retrieval
+from gleaner.operators import answers, context, graph, lifecycle, ranking, retrieval
 
 
 def test_places_over_the_whole_table(spark):
@@ -58,3 +58,16 @@ def test_who_leaves_between_rounds_gets_nothing_more(spark):
     again = lambda hits: hits.where("rank = 1").select("query_id", F.lit("x").alias("text"), F.col("id").alias("excluded_id"))
     got = context.search_rounds(search, again, asked, [lambda: every, lambda: every.where("user_id = 7 and id <> 2")], 2).collect()
     assert {(r.query_id, r.round, r.id) for r in got} == {(1, 1, 1), (1, 2, 3)}  # user 8 left, 9 never was there, memory 2 is private by now
+
+
+def test_affinity_of_all_pairs_over_tiles(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)] + ["everywhere"]
+    docs = [(i, " ".join(["everywhere", *(rng.choice(words) for _ in range(rng.randint(0, 12)))])) for i in range(150)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(docs, "id long, content string").repartition(3)
+    got = {(r.source, r.target): r.weight for r in graph.affinity(df, 0.3, tile=20).collect()}
+    sets = {i: set((t or "").split()) for i, t in docs}
+    want = {(a, b): round(len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5, 4) for a in range(150) for b in range(a + 1, 150)}
+    assert got.keys() == {p for p, w in want.items() if w >= 0.3} and all(abs(got[p] - want[p]) < 1.5e-4 for p in got)
+    assert graph.affinity(df, 0.3, tile=20, newest=10).agg({"source": "min"}).first()[0] >= 140
+    assert graph.affinity(df.where("false")).count() == 0
