@@ -120,15 +120,32 @@ class Merges:
         self.byte_id = np.array([self.rank[bytes((b,))] for b in range(256)], np.int32)
         #: every pair of tokens that makes a token: left << 32 | right -> the token's rank
         self.made = {self.rank[w[:i]] << 32 | self.rank[w[i:]]: r for w, r in self.rank.items() for i in range(1, len(w)) if w[:i] in self.rank and w[i:] in self.rank}
-        keys = np.fromiter(self.made, np.int64, len(self.made))
+        keys, values = np.fromiter(self.made, np.int64, len(self.made)), np.fromiter(self.made.values(), np.int32, len(self.made))
+        #: the same as sorted arrays, by the left token and by the right one
+        self.by_left, self.by_right = (self._sorted(k, values) for k in (keys, (keys & 0xFFFFFFFF) << 32 | keys >> 32))
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.values = np.append(np.fromiter(self.made.values(), np.int32, len(self.made))[order], NONE).astype(np.int32)
+        return np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], NONE).astype(np.int32)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens."""
+        keys, values = self.by_left
         key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.values[at], NONE).astype(np.int32)
+        at = np.searchsorted(keys, key)
+        return np.where(keys[at] == key, values[at], NONE).astype(np.int32)
+
+    @staticmethod
+    def ranks_with(side: tuple[np.ndarray, np.ndarray], one: int, others: np.ndarray) -> np.ndarray:
+        """Rank of the pairs that one token makes with each of the others, in the few pairs that it is in on that side."""
+        keys, values = side
+        low, high = np.searchsorted(keys, (one << 32, one + 1 << 32)).tolist()
+        if low == high:
+            return np.full(len(others), NONE, np.int32)
+        key = others.astype(np.int64) + (one << 32)
+        at = low + np.minimum(np.searchsorted(keys[low:high], key), high - low - 1)
+        return np.where(keys[at] == key, values[at], NONE)
 
     def replay(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that lie, as bytes, one after the other, and how many each has."""
@@ -137,6 +154,7 @@ class Merges:
         last[ends - 1] = True
         at = np.arange(n, dtype=np.int32)
         word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        marked = np.zeros(len(sizes), bool)  # words, for as long as one merge looks at them
         token = self.byte_id[flat]
         after = np.where(last, -1, at + 1).astype(np.int32)
         before = np.where(np.roll(last, 1), -1, at - 1).astype(np.int32)
@@ -157,7 +175,7 @@ class Merges:
             places = index.pop(r)
             average += 0.02 * (len(places) - average)
             if len(places) >= FEW:
-                places = self._together(r, places, word, token, after, before, pair, index, heap)
+                places = self._together(r, places, word, marked, token, after, before, pair, index, heap)
             self._one_by_one(r, places, token, after, before, pair, index, heap)
         if heap:
             lists = [x.tolist() for x in (token, after, before, pair)]
@@ -168,20 +186,22 @@ class Merges:
         alive = token >= 0
         return token[alive], np.diff(np.cumsum(alive)[ends - 1], prepend=0)
 
-    def _together(self, r: int, places: list[int], word, token, after, before, pair, index: dict[int, list[int]], heap: list[int]) -> list[int]:
+    def _together(self, r: int, places: list[int], word, marked, token, after, before, pair, index: dict[int, list[int]], heap: list[int]) -> list[int]:
         """One merge at all places of its pair at once; the places of words where they touch, or make a pair of lower rank, are given back."""
         p = np.sort(np.array(places, np.int32))
         p = p[pair[p] == r]
         q = after[p]
         nxt, left = after[q], before[p]
-        whole = np.full(len(p), r, np.int32)
-        new_right = np.where(nxt >= 0, self.ranks_of(whole, token[nxt]), NONE)
-        new_left = np.where(left >= 0, self.ranks_of(token[left], whole), NONE)
+        new_right = np.where(nxt >= 0, self.ranks_with(self.by_left, r, token[nxt]), NONE)
+        new_left = np.where(left >= 0, self.ranks_with(self.by_right, r, token[left]), NONE)
         apart = (new_right < r) | (new_left < r)
         apart[:-1] |= (q[:-1] == p[1:]) | (nxt[:-1] == p[1:])
         rest: list[int] = []
         if apart.any():
-            apart = np.isin(word[p], word[p[apart]])
+            there = word[p[apart]]
+            marked[there] = True
+            apart = marked[word[p]]
+            marked[there] = False
             rest, here = p[apart].tolist(), ~apart
             p, q, nxt, left, new_right, new_left = (x[here] for x in (p, q, nxt, left, new_right, new_left))
         has_next, has_left = nxt >= 0, left >= 0
