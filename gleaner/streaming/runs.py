@@ -70,5 +70,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def reviewed_proposals(spark: SparkSession, sf_dir: str, files: int = FILES, where: str | None = None, capacity: int = proposals.CAPACITY, pending_days: int = proposals.PENDING_DAYS) -> DataFrame:
     """The outcome of every proposal and review among the events."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return drained(spark, sf_dir, "events", lambda s: proposals.reviewed(s, capacity, pending_days), files, where).drop("_batch")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)
+    try:  # the stream is drained when ``drained`` returns
+        return drained(spark, sf_dir, "events", lambda s: proposals.reviewed(s, capacity, pending_days), files, where).drop("_batch")
+    finally:
+        spark.conf.set(setting, before)
