@@ -19,7 +19,8 @@ from ..functions.stemmer import STOP_WORDS, stemmed
 from ..functions.text import aliases, cjk_grams, terms
 from ..sources.tables import saved
 from .access import active_members, may_read
-from .positions import cover_density, english_cover_density, positions
+from .matching import CHANNELS, matched
+from .positions import holders
 from .ranking import fused, ranked, rolled_up
 
 
@@ -45,6 +46,29 @@ def query_terms(queries: DataFrame, text: str = "text", id: str = "query_id", mo
     return placed.select("query_id", "term", weight.alias("weight"), (F.col("k") <= most).alias("leading"), F.count("*").over(Window.partitionBy("query_id")).alias("n_terms"))
 
 
+def asked_words(queries: DataFrame, forms: set[str]) -> DataFrame:
+    """The query set as ``matched`` takes it: the distinct terms of each query with their weights, and the stems of all but stop words."""
+    parts = []
+    if "term" in forms:
+        parts.append(query_terms(queries).select("query_id", F.col("term").alias("word"), F.lit("term").alias("form"), "weight", "leading"))
+    if "stem" in forms:
+        each = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
+        parts.append(stemmed(each).select("query_id", F.col("stem").alias("word"), F.lit("stem").alias("form"), F.lit(1.0).alias("weight"), F.lit(True).alias("leading")).distinct())
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.join(queries.select("query_id", "user_id"), "query_id") if "user_id" in queries.columns else every
+
+
+def hits(docs: DataFrame, queries: DataFrame, channels: tuple[str, ...], limit: int | None = None, text: str = "content", ties: list[Column] | None = None) -> DataFrame:
+    """(query_id, channel, id, score) of the lexical channels; see ``matched`` for the limit, which is a task's."""
+    return matched(docs, asked_words(queries, {CHANNELS[c][0] for c in channels}), channels, limit, text=text, ties=ties)
+
+
+def best_relaxed(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, score, rank): the relaxed channel's first ``limit`` of each query."""
+    found = hits(docs, queries, ("relaxed",), limit).select("query_id", "id", "score")
+    return ranked(found, F.desc(F.round("score", 9)), F.col("id"), limit=limit)
+
+
 def lexical(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, id, n, n_terms, plain, n_leading, weighted): what the strict and the relaxed channel need, in one pass.
 
@@ -71,38 +95,19 @@ def relaxed(posted: DataFrame, wanted: DataFrame, least: int = 2) -> DataFrame:
 def english(docs: DataFrame, queries: DataFrame, text: str = "content") -> DataFrame:
     """(query_id, id, score): documents that hold the stem of every query term but stop words; score = sum of tf / (tf + 1).
 
-    Only distinct words are stemmed, and only the postings of words that share a stem with a query are moved.
+    Words are stemmed where the documents are read; only hits are moved.
     """
-    kept = lambda df: df.where(~F.col("term").isin(*STOP_WORDS))
-    asked = kept(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
-    asked = stemmed(asked).select("query_id", "stem").distinct().withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    words = kept(docs.select(F.explode(terms(F.col(text))).alias("term")).distinct())
-    wanted = stemmed(words).join(asked.select("stem").distinct(), "stem", "left_semi")
-    held = postings(docs, text, wanted=wanted).join(wanted, "term").groupBy("id", "stem").agg(F.sum("tf").alias("tf"))
-    hit = held.join(asked, "stem").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("score"))
-    return hit.where("n = n_terms").select("query_id", "id", "score")
+    return hits(docs, queries, ("stems",), text=text).select("query_id", "id", "score")
 
 
-def phrase(docs: DataFrame, queries: DataFrame, text: str = "content", block: int = 1024) -> DataFrame:
+def phrase(docs: DataFrame, queries: DataFrame, text: str = "content", block: int = 5000) -> DataFrame:
     """(query_id, id): documents whose text holds the query's text, upper and lower case alike.
 
-    A term of the query that has a term before and after it is a whole term of every text that holds
-    the query, so only documents that hold all such terms are looked at. Queries without one (two terms or fewer) are
-    a stated set that meets all documents, block by block.
+    The query set meets all documents in blocks of about ``block`` texts: each document is read once a block, by one automaton over the block's
+    texts, and only hits are moved.
     """
-    asked = queries.select("query_id", F.lower("text").alias("_q"), terms(F.col("text")).alias("_terms")).where("_q <> ''")
-    inner = F.expr("slice(_terms, 2, greatest(0, size(_terms) - 2))")
-    inside = asked.select("query_id", F.explode(F.array_distinct(inner)).alias("term")).withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    held = postings(docs, text, wanted=inside).join(inside, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms")).where("n = n_terms")
-    lowered = docs.select("id", F.lower(text).alias("_t"))
-    cand = held.select("query_id", "id").join(lowered, "id").join(asked.select("query_id", "_q"), "query_id")
-    found = cand.where(F.instr(F.col("_t"), F.col("_q")) > 0).select("query_id", "id")
-    short = asked.where(F.size("_terms") < 3).select("query_id", "_q")
-    blocks = -(-short.count() // block)
-    for k in range(blocks):
-        some = short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)  # about ``block`` short texts
-        found = found.unionByName(lowered.join(F.broadcast(some), F.instr(F.col("_t"), F.col("_q")) > 0).select("query_id", "id"))
-    return found
+    needles = queries.select("query_id", F.lower("text").alias("needle")).where("needle <> ''")
+    return holders(docs.select("id", F.lower(text).alias("normal")), needles, block).join(F.broadcast(needles), "needle").select("query_id", "id")
 
 
 def alias_hits(docs: DataFrame, queries: DataFrame, text: str = "content", most: int = 8) -> DataFrame:
@@ -203,7 +208,7 @@ def evidence(chunks: DataFrame, anchors: DataFrame, neighbors: int = 1, by: str
     Windows are exploded to ordinals, so the join is on equality and overlapping windows count once.
     """
     want = anchors.select(by, "id", F.explode(F.sequence(F.col("ordinal") - neighbors, F.col("ordinal") + neighbors)).alias("ordinal")).distinct()
-    got = chunks.join(want, ["id", "ordinal"])
+    got = chunks.join(F.broadcast(want), ["id", "ordinal"])  # a few anchors a query of a stated set
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "chunk")))
     return got.groupBy(by, "id").agg(F.concat_ws("", F.transform(parts, lambda p: p["chunk"])).alias("evidence"), F.count("*").alias("n_chunks"))
 
@@ -215,29 +220,31 @@ def memory_search(pieces: DataFrame, queries: DataFrame, memberships: DataFrame,
     (query_id, user_id, text) and ``wanted`` (query_id, embedding) a stated set; ``vectors`` has the columns of
     ``pieces`` with embedding. Hits that the query's user may not read go before any rank is given.
 
-    Of the chunks only the query set's terms, stems and grams move. The simple and the English channel rank by the density of the windows
-    that cover the query.
+    Of the chunks only hits move, of the lexical channels those that a ranking may hold. The simple and the English channel rank by the density of the
+    windows that cover the query.
     """
+    cut = min(4 * limit, 800)
     key = F.struct(F.col("id").alias("memory_id"), "ordinal", "workspace_id", "owner_id", "scope", "updated_at")
-    chunks = pieces.select(key.alias("id"), F.col("chunk").alias("content"))
-    want = query_terms(queries)
-    posted = saved(positions(chunks, want))  # the query set's terms only
-    terms_hit = lexical(posted.select("id", "term", F.size("at").alias("tf")), want)
-    hit = lambda name, first, second=F.lit(0.0): F.struct(F.lit(name).alias("channel"), F.round(first.cast("double"), 9).alias("first"), second.cast("double").alias("second"))
-    grams = gram_hits(chunks, queries.select("query_id", cjk_grams(F.col("text")).alias("grams")))
+    members = active_members(memberships).join(queries.select("user_id").distinct(), "user_id", "left_semi")
+    of = members.groupBy("workspace_id").agg(F.collect_set("user_id").alias("_members"))  # the asking users only
+    chunks = pieces.join(F.broadcast(of), "workspace_id").select(key.alias("id"), F.col("chunk").alias("content"), F.filter("_members", lambda u: may_read(u)).alias("readers"))
+    hit = lambda name, first, second=F.lit(0.0): F.struct(name.alias("channel"), F.round(first.cast("double"), 9).alias("first"), second.cast("double").alias("second"))
+    latest = [-F.unix_micros(F.col("id.updated_at").cast("timestamp")), -F.col("id.ordinal"), F.col("id.memory_id")]
+    lexical_hits = hits(chunks, queries, ("simple", "relaxed", *(["english"] if with_english else [])), cut, ties=latest)
     near = semantic(vectors.select(key.alias("vec_id"), "embedding"), wanted, threshold)
-    found = [cover_density(posted, want).select("query_id", "id", hit("simple", F.col("score")).alias("hit")), terms_hit.where("n_leading >= 2").select("query_id", "id", hit("relaxed", F.col("weighted")).alias("hit")), grams.select("query_id", "id", hit("cjk", F.col("total"), F.col("hits")).alias("hit")), near.select("query_id", "id", hit("semantic", -F.col("distance")).alias("hit"))]
-    if with_english:
-        found.append(english_cover_density(chunks, queries).select("query_id", "id", hit("english", F.col("score")).alias("hit")))
+    found = [lexical_hits.select("query_id", "id", hit(F.col("channel"), F.col("score")).alias("hit")), near.select("query_id", "id", hit(F.lit("semantic"), -F.col("distance")).alias("hit"))]
+    asked_grams = queries.select("query_id", cjk_grams(F.col("text")).alias("grams")).where(F.size("grams") > 0)
+    if not asked_grams.isEmpty():
+        found.append(gram_hits(chunks, asked_grams).select("query_id", "id", hit(F.lit("cjk"), F.col("total"), F.col("hits")).alias("hit")))
     if with_aliases:
-        found.append(alias_hits(chunks, queries).select("query_id", "id", hit("alias", F.col("hits"), F.col("longest")).alias("hit")))
+        found.append(alias_hits(chunks, queries).select("query_id", "id", hit(F.lit("alias"), F.col("hits"), F.col("longest")).alias("hit")))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     asks = queries.select("query_id", "user_id").join(active_members(memberships), "user_id")
     seen = every.select("query_id", "id", "hit.*", "id.workspace_id", "id.owner_id", "id.scope").join(asks, ["query_id", "workspace_id"]).where(may_read(F.col("user_id")))
     order = (F.desc("first"), F.desc("second"), F.desc("id.updated_at"), F.desc("id.ordinal"), F.col("id.memory_id"))
-    best = fused([ranked(seen, *order, by=["query_id", "channel"], limit=min(4 * limit, 800))])
+    best = fused([ranked(seen, *order, by=["query_id", "channel"], limit=cut)])
     memory = F.struct("id.memory_id", "id.updated_at")
     top = ranked(rolled_up(best.withColumn("memory", memory), "memory"), F.desc(F.round("score", 9)), F.desc("memory.updated_at"), F.col("memory.memory_id"), limit=limit)
     return top.select("query_id", F.col("memory.memory_id").alias("id"), "rank", "score")

@@ -33,8 +33,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _anchors(spark: SparkSession, d: str, limit: int) -> DataFrame:
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
-    wanted = S.query_terms(_queries(spark, d))
-    hits = R.ranked(S.relaxed(S.postings(turns, wanted=wanted), wanted), F.desc(F.round("score", 9)), F.col("id"), limit=limit)
+    hits = S.best_relaxed(turns, _queries(spark, d), limit)
     return hits.select("query_id", F.floor(F.col("id") / 1000).alias("id"), (F.col("id") % 1000).alias("ordinal"), "rank")
 
 

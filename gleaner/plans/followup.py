@@ -12,17 +12,13 @@ from ..operators import retrieval as S
 from ..sources import views as V
 from ..sources.tables import table
 from .registry import query
-from .retrieval import _HYBRID, _POST, _RELAXED, _SEM, _TERMS, _WITH, _hits, _memories, _queries, _rank, _semantic, hybrid
+from .retrieval import _HYBRID, _POST, _RELAXED, _SEM, _TERMS, _WITH, _memories, _queries, _rank, _semantic, hybrid, relaxed_hits
 
 _STOPS = ", ".join(f"'{w}'" for w in C.FEEDBACK_STOPS)
 _WORDS = r"regexp_extract_all(lower({0}), '([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_''-]*)', 1)"
 _TELLING = f"list_filter(list_distinct({_WORDS}), lambda w: length(w) > 2 AND w NOT IN ({_STOPS}))"
 
 
-def _relaxed(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return R.ranked(S.relaxed(*_hits(spark, d)), F.desc(F.round("score", 9)), F.col("id"), limit=limit)
-
-
 @query("normalized_queries", r"""WITH t AS (SELECT conv_id AS query_id, turn AS ordinal, substr(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 1, 2000) AS text FROM conversations),
 f AS (SELECT query_id, min(ordinal) AS ordinal, arg_min(text, ordinal) AS text FROM t WHERE text <> '' GROUP BY query_id, lower(text)) SELECT query_id, position, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS position FROM f) WHERE position <= 4""")
 def normalized_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +35,7 @@ e AS (SELECT query_id, id, CASE WHEN rank <= 4 THEN 0 ELSE 2 END AS part, rank A
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, place) AS rank FROM e) SELECT query_id, id, rank, CASE part WHEN 0 THEN 'base' WHEN 1 THEN 'context' ELSE 'rest' END AS kind FROM f WHERE rank <= 8""")
 def context_group_expansion(spark: SparkSession, d: str) -> DataFrame:
     m = V.memories(spark, d).select("id", F.col("source").alias("group"), F.col("id").alias("ordinal"), "updated_at")
-    got = C.context_groups(_relaxed(spark, d, 10).select("query_id", "id", "rank", "score"), m, 8, 4, 2)
+    got = C.context_groups(relaxed_hits(spark, d, 10).select("query_id", "id", "rank", "score"), m, 8, 4, 2)
     return got.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "kind")
 
 
@@ -50,7 +46,8 @@ q1 AS (SELECT a.query_id, a.id, a.rank, a.text, substr(CASE WHEN pz.o > 0 AND le
 q2 AS (SELECT query_id, id, rank, regexp_replace(regexp_replace(substr(text, 1, 1000) || chr(10) || excerpt, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS query FROM q1 WHERE len(list_filter({_TELLING.format('excerpt')}, lambda w: NOT list_contains({_WORDS.format('text')}, w))) > 0),
 q3 AS (SELECT query_id, lower(query) AS key, arg_min(id, rank) AS id, arg_min(query, rank) AS query, min(rank) AS rank FROM q2 GROUP BY 1, 2) SELECT query_id, id AS excluded_id, md5(query) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM q3) WHERE k <= 2""")
 def feedback_queries(spark: SparkSession, d: str) -> DataFrame:
-    hits = _relaxed(spark, d, 3).select("query_id", "id", "rank").join(_queries(spark, d), "query_id").join(_memories(spark, d).withColumnRenamed("content", "evidence"), "id")
+    top = relaxed_hits(spark, d, 3).select("query_id", "id", "rank").join(_queries(spark, d), "query_id")
+    hits = _memories(spark, d).withColumnRenamed("content", "evidence").join(F.broadcast(top), "id")  # three hits a query
     return C.feedback_queries(hits, 2).select("query_id", "excluded_id", F.md5(F.col("query").cast("binary")).alias("digest"))
 
 
@@ -59,7 +56,7 @@ c AS (SELECT query_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT que
 e AS (SELECT query_id, id, 0 AS part, rank AS k FROM a JOIN s USING (query_id) WHERE rank <= 10 - slots UNION ALL SELECT query_id, id, 1, k FROM n JOIN s USING (query_id) WHERE k <= slots) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY part, k) AS position FROM e""")
 def feedback_tail(spark: SparkSession, d: str) -> DataFrame:
     """The next query's hits stand for a feedback query's; every third query has a short first ranking."""
-    h = _relaxed(spark, d, 12).select("query_id", "id", "rank")
+    h = relaxed_hits(spark, d, 12).select("query_id", "id", "rank")
     first = h.where("rank <= 10 and not (query_id % 3 = 0 and rank > 5)")
     return C.feedback_tail(first, h.withColumn("query_id", F.col("query_id") - 1), 10).select("query_id", "id", F.col("position").cast("long").alias("position"))
 
@@ -99,7 +96,7 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("score_distribution", f"""{_WITH}, {_RELAXED}, b AS (SELECT item_id AS query_id, (SELECT max(round(score, 6)) FROM r WHERE r.query_id = item_id) AS score FROM benchmark), s AS (SELECT score, row_number() OVER (ORDER BY score) AS k, count(*) OVER () AS n FROM b WHERE score IS NOT NULL)
 SELECT (SELECT count(score) FROM b) AS n, (SELECT count(*) - count(score) FROM b) AS n_empty, min(score) AS low, max(CASE WHEN k = greatest(1, ceil(0.05 * n)) THEN score END) AS p05, max(CASE WHEN k = greatest(1, ceil(0.5 * n)) THEN score END) AS p50, max(CASE WHEN k = greatest(1, ceil(0.95 * n)) THEN score END) AS p95, max(score) AS high FROM s""")
 def score_distribution(spark: SparkSession, d: str) -> DataFrame:
-    best = S.relaxed(*_hits(spark, d)).groupBy("query_id").agg(F.max(F.round("score", 6)).alias("score"))
+    best = relaxed_hits(spark, d, 1).groupBy("query_id").agg(F.max(F.round("score", 6)).alias("score"))
     b = _queries(spark, d).select("query_id").join(best, "query_id", "left")
     at = lambda p: F.expr(f"percentile_disc({p}) within group (order by score)")
     return b.agg(F.count("score").alias("n"), (F.count("*") - F.count("score")).alias("n_empty"), F.min("score").alias("low"), at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("score").alias("high"))
@@ -128,15 +125,16 @@ def feedback_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Two rounds: passages, then the beginning of each best memory; some members leave in between and get nothing from then on."""
     docs, m, members = _memories(spark, d), V.memories(spark, d), V.memberships(spark, d)
 
-    def search(asked: DataFrame) -> DataFrame:
-        want = S.query_terms(asked)
-        return S.relaxed(S.postings(docs, wanted=want), want).select("query_id", "id", "score")
+    def search(asked: DataFrame, readable: DataFrame) -> DataFrame:
+        readers = readable.join(asked.select("user_id").distinct(), "user_id", "left_semi").groupBy("id").agg(F.collect_set("user_id").alias("readers"))
+        # one hit more than is ranked: the excluded memory may be among them
+        return S.hits(docs.join(readers, "id"), asked, ("relaxed",), 6).select("query_id", "id", "score")
 
     def ask_again(hits: DataFrame) -> DataFrame:
-        return hits.where("rank = 1").join(docs, "id").select("query_id", F.substring("content", 1, 80).alias("text"), F.col("id").alias("excluded_id"))
+        return docs.join(F.broadcast(hits.where("rank = 1")), "id").select("query_id", F.substring("content", 1, 80).alias("text"), F.col("id").alias("excluded_id"))
 
     now = lambda rows: lambda: access.visible(m, rows).select("user_id", "id")
     rights = [now(members), now(members.where(f"not {_LEFT}"))]
     asked = _queries(spark, d).withColumn("user_id", F.col("query_id") % 25)
-    got = C.search_rounds(search, ask_again, asked, rights, 5)
+    got = C.search_rounds(search, ask_again, asked, rights, 5, told_rights=True)
     return got.select("query_id", "id", "round", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

@@ -41,9 +41,8 @@ def _rank(score: str = "score", by: str = "query_id", down: bool = True) -> str:
     return f"row_number() OVER (PARTITION BY {by} ORDER BY round({score}, 9) {'DESC' if down else ''}, id)"
 
 
-def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    wanted = S.query_terms(_queries(spark, d))
-    return S.postings(_memories(spark, d), wanted=wanted), wanted
+def relaxed_hits(spark: SparkSession, d: str, limit: int) -> DataFrame:
+    return S.best_relaxed(_memories(spark, d), _queries(spark, d), limit)
 
 
 @query("chunk_reconstruct", """SELECT doc_id, md5(text) AS digest, true AS bounded FROM documents WHERE text <> ''""")
@@ -60,15 +59,12 @@ def chunk_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("lexical_strict", f"{_WITH}, {_STRICT} SELECT query_id, id, round(score, 6) AS score FROM s")
 def lexical_strict(spark: SparkSession, d: str) -> DataFrame:
-    posted, wanted = _hits(spark, d)
-    return S.strict(posted, wanted).withColumn("score", F.round("score", 6))
+    return S.hits(_memories(spark, d), _queries(spark, d), ("strict",)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("lexical_relaxed", f"{_WITH}, {_RELAXED} SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, {_rank()} AS rank FROM r) WHERE rank <= 20")
 def lexical_relaxed(spark: SparkSession, d: str) -> DataFrame:
-    posted, wanted = _hits(spark, d)
-    hits = R.ranked(S.relaxed(posted, wanted), F.desc(F.round("score", 9)), F.col("id"), limit=LIMIT)
-    return hits.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return relaxed_hits(spark, d, LIMIT).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 _ENGLISH_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -143,12 +139,10 @@ f AS (SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS score, count(*) AS channe
 
 
 def hybrid(spark: SparkSession, d: str, limit: int = LIMIT) -> DataFrame:
-    """Strict and relaxed channels, each cut to four times the limit, fused and ranked; one pass over the postings."""
-    hits = S.lexical(*_hits(spark, d))
-    hit = lambda name, score: F.struct(F.lit(name).alias("channel"), F.col(score).alias("score"))
-    both = F.array_compact(F.array(F.when(F.col("n") == F.col("n_terms"), hit("strict", "plain")), F.when(F.col("n_leading") >= 2, hit("relaxed", "weighted"))))
+    """Strict and relaxed channels, each cut to four times the limit, fused and ranked; one pass over the documents."""
+    hits = S.hits(_memories(spark, d), _queries(spark, d), ("strict", "relaxed"), 4 * limit)
     order = (F.desc(F.round("score", 9)), F.col("id"))
-    each = R.ranked(hits.select("query_id", "id", F.explode(both).alias("hit")).select("query_id", "id", "hit.*"), *order, by=["query_id", "channel"], limit=4 * limit)
+    each = R.ranked(hits, *order, by=["query_id", "channel"], limit=4 * limit)
     return R.ranked(R.fused([each]), *order, limit=limit)
 
 
@@ -193,8 +187,7 @@ def rerank_fusion(spark: SparkSession, d: str) -> DataFrame:
 @query("multi_query_fusion", f"""{_WITH}, {_RELAXED}, x AS (SELECT query_id // 4 AS topic, query_id, id, {_rank()} AS rank FROM r), y AS (SELECT * FROM x WHERE rank <= 20)
 SELECT topic, id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best_rank, arg_min(query_id, rank * 1000000 + query_id) AS first_query FROM y GROUP BY 1, 2""")
 def multi_query_fusion(spark: SparkSession, d: str) -> DataFrame:
-    posted, wanted = _hits(spark, d)
-    hits = R.ranked(S.relaxed(posted, wanted), F.desc(F.round("score", 9)), F.col("id"), limit=LIMIT).withColumn("topic", F.floor(F.col("query_id") / 4))
+    hits = relaxed_hits(spark, d, LIMIT).withColumn("topic", F.floor(F.col("query_id") / 4))
     return R.query_fused(hits, by="topic", source="query_id").select("topic", "id", F.round("score", 6).alias("score"), F.col("best_rank").cast("long").alias("best_rank"), "first_query")
 
 
@@ -213,9 +206,7 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("evidence_windows")
 def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunked(_memories(spark, d))
-    wanted = S.query_terms(_queries(spark, d))
-    by_chunk = S.postings(pieces.select(F.concat_ws(":", "id", "ordinal").alias("id"), F.col("chunk").alias("content")), wanted=wanted)
-    best = R.ranked(S.relaxed(by_chunk, wanted), F.desc(F.round("score", 9)), F.col("id"), limit=LIMIT)
+    best = S.best_relaxed(pieces.select(F.concat_ws(":", "id", "ordinal").alias("id"), F.col("chunk").alias("content")), _queries(spark, d), LIMIT)
     anchors = best.select("query_id", F.split("id", ":")[0].cast("long").alias("id"), F.split("id", ":")[1].cast("int").alias("ordinal"))
     got = S.evidence(pieces, anchors)
     return got.select("query_id", "id", "n_chunks", F.md5(F.col("evidence").cast("binary")).alias("digest"))
@@ -225,7 +216,8 @@ def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
 def diverse_results(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.diversity import diversified
 
-    hits = searched(spark, d).join(_memories(spark, d).withColumnRenamed("content", "evidence"), "id")
+    # a few hits a query of the stated set are broadcast; texts stay where they are read
+    hits = _memories(spark, d).withColumnRenamed("content", "evidence").join(F.broadcast(searched(spark, d)), "id")
     return diversified(hits, 10, 0.6)
 
 
@@ -252,8 +244,7 @@ _EPI = _POST.replace("doc_id AS id", "conv_id * 1000 + turn AS id").replace("FRO
 @query("episode_search", f"""WITH {_EPI}, {_TERMS}, {_RELAXED}, h AS (SELECT *, {_rank()} AS rank FROM r) SELECT query_id, id // 1000 AS conv_id, round(max(1.0 / (60 + rank)), 6) AS score, count(*) AS n_turns FROM h WHERE rank <= 40 GROUP BY 1, 2""")
 def episode_search(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
-    wanted = S.query_terms(_queries(spark, d))
-    hits = R.ranked(S.relaxed(S.postings(turns, wanted=wanted), wanted), F.desc(F.round("score", 9)), F.col("id"), limit=40)
+    hits = S.best_relaxed(turns, _queries(spark, d), 40)
     each = hits.select("query_id", F.floor(F.col("id") / 1000).alias("conv_id"), (1.0 / (60 + F.col("rank"))).alias("score"))
     return each.groupBy("query_id", "conv_id").agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("n_turns"))
 
