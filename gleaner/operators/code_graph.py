@@ -71,7 +71,9 @@ def drift_state(candidates: DataFrame, cited: DataFrame, most: int = 3) -> DataF
     ambiguous; one identity changed; a declaration with the cited suffix elsewhere ambiguous; one of same path
     changed; several ambiguous; else deleted.
     """
-    k = F.row_number().over(Window.partitionBy("evidence_id").orderBy("priority", "candidate_id"))
+    # candidates of one id differ in their flags at most: reruns agree whatever order they are read in
+    flags = [F.desc(c) for c in ("same_path", "same_content", "identity", "suffix")]
+    k = F.row_number().over(Window.partitionBy("evidence_id").orderBy("priority", "candidate_id", *flags))
     top = candidates.withColumn("k", k).where(F.col("k") <= most)
     n = lambda c: F.count(F.when(F.col(c) if isinstance(c, str) else c, 1))
     counts = top.groupBy("evidence_id").agg(n(F.col("same_path") & F.col("same_content")).alias("here"), n("same_content").alias("content"), n("identity").alias("ident"), F.bool_or("suffix").alias("suffix"), n("same_path").alias("path"))
