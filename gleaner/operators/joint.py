@@ -6,9 +6,13 @@ a query are the hits and citations that the rankings let through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 #: Memories, code artifacts and anchors of a packet at most, and the anchors whose dependencies are compared.
 MEMORIES, CODE, ANCHORS, COMPARED = 5, 10, 25, 5
 #: Verdicts of a comparison, the gravest first.
@@ -24,16 +28,17 @@ def anchors(memories: DataFrame, citations: DataFrame, most: int = ANCHORS) -> D
     return _placed(memories.select("query_id", "rank", F.col("id").alias("memory_id")).join(citations, "memory_id"), "rank", "evidence_id", most=most)
 
 
-def packet(memory_hits: DataFrame, code_hits: DataFrame, citations: DataFrame, impact: DataFrame, memories: int = MEMORIES, code: int = CODE, most_anchors: int = ANCHORS, compared: int = COMPARED) -> DataFrame:
+def packet(memory_hits: DataFrame, code_hits: DataFrame, citations: DataFrame, impact: DataFrame | Callable[[DataFrame], DataFrame], memories: int = MEMORIES, code: int = CODE, most_anchors: int = ANCHORS, compared: int = COMPARED) -> DataFrame:
     """(query_id, kind, position, item): the typed rows of every query's packet.
 
     memory_hits and code_hits: query_id, id, rank; citations: evidence_id, memory_id, relationship, state, artifact_id (null where none is
-    valid), subject; impact: subject, verdict. Cited memories and artifacts come before the others of their kind. Conflicts are
+    valid), subject; impact: subject, verdict, or what gives it of the subjects asked for (subject, distinct). Cited memories and artifacts come before the others of their kind. Conflicts are
     contradicting citations, those whose state is neither current nor moved, and the gravest verdict over the first compared subjects (unknown where
     one has none) unless it is ``unaffected``.
     """
     memory_hits = memory_hits.where(F.col("rank") <= memories)
-    held = anchors(memory_hits, citations, most_anchors)
+    # a few a query, asked five times: the citations are met once
+    held = saved(anchors(memory_hits, citations, most_anchors))
     cited = held.select("query_id", F.col("memory_id").alias("id")).distinct().withColumn("_cited", F.lit(True))
     first = memory_hits.join(cited, ["query_id", "id"], "left")
     out = [_placed(first, F.col("_cited").isNull(), "rank", most=memories).select("query_id", F.lit("memory").alias("kind"), "position", F.col("id").cast("string").alias("item"))]
@@ -46,7 +51,8 @@ def packet(memory_hits: DataFrame, code_hits: DataFrame, citations: DataFrame, i
     conflicts = held.select("query_id", "position", "evidence_id", F.posexplode(says).alias("n", "what")).select("query_id", (F.col("position") * 2 + F.col("n")).alias("place"), F.concat_ws(":", F.lit("anchor"), "evidence_id", "what").alias("item"))
     grave = F.array_position(F.array(*map(F.lit, GRAVITY)), F.coalesce("verdict", F.lit("unknown")))
     # only anchors whose revision is indexed have subjects to compare
-    subjects = _placed(held.where("subject is not null and state <> 'unverifiable'").drop("position"), "rank", "evidence_id", most=compared).join(impact, "subject", "left")
+    subjects = _placed(held.where("subject is not null and state <> 'unverifiable'").drop("position"), "rank", "evidence_id", most=compared)
+    subjects = subjects.join(impact(subjects.select("subject").distinct()) if callable(impact) else impact, "subject", "left")
     worst = subjects.groupBy("query_id").agg(F.min(grave).alias("g")).where(F.col("g") < len(GRAVITY))
     worst = worst.select("query_id", F.lit(10_000).cast("long").alias("place"), F.concat(F.lit("contextual-impact:"), F.element_at(F.array(*map(F.lit, GRAVITY)), F.col("g").cast("int"))).alias("item"))
     out.append(_placed(conflicts.unionByName(worst), "place", most=2 * most_anchors + 1).select("query_id", F.lit("conflict").alias("kind"), "position", "item"))

@@ -73,7 +73,8 @@ def _code_search(spark: SparkSession, d: str, lexical: bool) -> DataFrame:
     ]
     every = channels[0].unionByName(channels[1]).unionByName(channels[2])
     if lexical:
-        found = S.strict(S.postings(a), S.query_terms(q, "q")).join(a.select("id", "path"), "id")
+        asked = S.query_terms(q, "q")
+        found = S.strict(S.postings(a, wanted=asked), asked).join(a.select("id", "path"), "id")
         word = R.ranked(found, F.desc(F.round("score", 9)), F.col("path"), F.col("id"), limit=400).withColumn("channel", F.lit("lexical")).withColumn("w", F.lit(1.0))
         every = every.select("query_id", "id", "rank", "channel", "w").unionByName(word.select("query_id", "id", "rank", "channel", "w"))
     return every.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") / (60 + F.col("rank"))), 6).alias("score"), F.concat_ws(",", F.array_sort(F.collect_list("channel"))).alias("channels"))
@@ -118,17 +119,24 @@ k AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY priority, c
 SELECT o_orderkey AS evidence_id, CASE WHEN here IS NULL THEN 'deleted' WHEN here = 1 THEN 'current' WHEN content = 1 THEN 'moved' WHEN content > 1 OR ident > 1 THEN 'ambiguous' WHEN ident = 1 THEN 'changed' WHEN suffix THEN 'ambiguous' WHEN path = 1 THEN 'changed' WHEN path > 1 THEN 'ambiguous' ELSE 'deleted' END AS state FROM orders LEFT JOIN n ON evidence_id = o_orderkey""")
 def drift_classification(spark: SparkSession, d: str) -> DataFrame:
     """Orders as citations, their lines as candidates."""
+    return drift_of(table(spark, d, "lineitem"), table(spark, d, "orders").select(F.col("o_orderkey").alias("evidence_id")))
+
+
+def drift_of(lines: DataFrame, cited: DataFrame) -> DataFrame:
     flag = lambda c, name: c.alias(name)
-    cand = table(spark, d, "lineitem").select(
+    cand = lines.select(
         F.col("l_orderkey").alias("evidence_id"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("candidate_id"), (F.col("l_linenumber") % 3).alias("priority"), flag(F.col("l_returnflag") == "R", "same_path"),
         flag((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.04), "same_content"), flag(F.col("l_quantity") > 38, "identity"), flag(F.col("l_discount") > 0.08, "suffix"),
     )
-    return C.drift_state(cand, table(spark, d, "orders").select(F.col("o_orderkey").alias("evidence_id")))
+    return C.drift_state(cand, cited)
 
 
 @query("contextual_impact", """WITH b AS (SELECT l_suppkey AS subject, l_partkey AS target, min(l_returnflag) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01' GROUP BY 1, 2), a AS (SELECT l_suppkey AS subject, l_partkey AS target, max(l_returnflag) AS d FROM lineitem WHERE l_shipdate > TIMESTAMP '1993-01-01' GROUP BY 1, 2),
 r AS (SELECT subject, CASE WHEN a.d IS NULL OR b.d IS NULL THEN 2 WHEN a.d <> b.d THEN 3 ELSE 0 END AS r FROM b FULL JOIN a USING (subject, target)) SELECT subject, CASE max(r) WHEN 3 THEN 'affected' WHEN 2 THEN 'possibly_affected' ELSE 'unaffected' END AS verdict FROM r GROUP BY 1""")
 def contextual_impact(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem")
+    return impact_of(table(spark, d, "lineitem"))
+
+
+def impact_of(l: DataFrame) -> DataFrame:
     deps = lambda rows, digest: rows.groupBy(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("target")).agg(digest.alias("digest")).withColumn("kind", F.lit("calls")).withColumn("resolution", F.lit("resolved"))
     return C.impact(deps(l.where("l_shipdate < timestamp_ntz'1996-06-01'"), F.min("l_returnflag")), deps(l.where("l_shipdate > timestamp_ntz'1993-01-01'"), F.max("l_returnflag")))
