@@ -14,7 +14,7 @@ from ..functions.stemmer import STOP_WORDS, stem_sql, stemmed
 from ..operators import ranking as R
 from ..operators import retrieval as S
 from ..sources import views as V
-from ..sources.tables import balanced, table
+from ..sources.tables import balanced, saved, table
 from .registry import query
 
 LIMIT = 20
@@ -205,10 +205,11 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("evidence_windows")
 def evidence_windows(spark: SparkSession, d: str) -> DataFrame:
-    pieces = chunked(_memories(spark, d))
-    best = S.best_relaxed(pieces.select(F.concat_ws(":", "id", "ordinal").alias("id"), F.col("chunk").alias("content")), _queries(spark, d), LIMIT)
-    anchors = best.select("query_id", F.split("id", ":")[0].cast("long").alias("id"), F.split("id", ":")[1].cast("int").alias("ordinal"))
-    got = S.evidence(pieces, anchors)
+    docs = _memories(spark, d)
+    best = S.best_relaxed(chunked(docs).select(F.concat_ws(":", "id", "ordinal").alias("id"), F.col("chunk").alias("content")), _queries(spark, d), LIMIT)
+    anchors = saved(best.select("query_id", F.split("id", ":")[0].cast("long").alias("id"), F.split("id", ":")[1].cast("int").alias("ordinal")))
+    # a few anchors a query of the stated set: only their documents are cut into pieces again
+    got = S.evidence(chunked(docs.join(F.broadcast(anchors.select("id").distinct()), "id", "left_semi")), anchors)
     return got.select("query_id", "id", "n_chunks", F.md5(F.col("evidence").cast("binary")).alias("digest"))
 
 
