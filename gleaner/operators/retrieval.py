@@ -106,8 +106,7 @@ def phrase(docs: DataFrame, queries: DataFrame, text: str = "content", block: in
     The query set meets all documents in blocks of about ``block`` texts: each document is read once a block, by one automaton over the block's
     texts, and only hits are moved.
     """
-    needles = queries.select("query_id", F.lower("text").alias("needle")).where("needle <> ''")
-    return holders(docs.select("id", F.lower(text).alias("normal")), needles, block).join(F.broadcast(needles), "needle").select("query_id", "id")
+    return holders(docs.select("id", F.lower(text).alias("normal")), queries.select("query_id", F.lower("text").alias("needle")), block)
 
 
 def alias_hits(docs: DataFrame, queries: DataFrame, text: str = "content", most: int = 8) -> DataFrame:
