@@ -25,8 +25,8 @@ shard is written by the task that tokenised it, streaming; nothing reaches the d
 after they are complete, and a repeated task writes the same bytes.
 
 Encoding calls the tokenizers library. Byte-level BPE splits a text before any space or line feed that
-a character other than white space follows, so words are encoded one by one and remembered; a
-text with other white space goes to the library whole.
+a character other than white space follows, so each distinct word of a group of texts is encoded once and remembered, and
+Arrow puts the texts' ids together; a text with other white space goes to the library whole.
 
 Defined cases: null and empty texts are just the end id; repeated doc_ids are stored row by row
 (lookups return all of them) and rows with a null doc_id after all others; a rerun writes
@@ -35,14 +35,16 @@ a new folder; extra columns are ignored; an empty table has a manifest without r
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -55,8 +57,10 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 0
 #: Rows of a shard, about.
 SHARD_ROWS = 8_000
-#: Words that a Python worker remembers at most, and the longest that it keeps after their batch.
+#: Words that a Python worker remembers at most, and the longest that it keeps after their group.
 MEMO, LONGEST_KEPT = 3 << 18, 64
+#: Bytes of text whose words are looked up together, about: less than twice this and one text.
+GROUP = 4 << 20
 #: Shards whose ids before them are summed in one task.
 BLOCK = 1 << 12
 #: Bytes of a payload read at once where many of its rows are wanted.
@@ -65,9 +69,9 @@ MAGIC, VERSION = b"GLNTOKS1", 1
 GAMMA, MAX_LEVELS = 1.7, 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_letters = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
-#: Letters and the stops after them: two words for the library's splitter.
-_stopped = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?#*$%&]+)").fullmatch
+#: After a line feed or not, letters and the stops after them: one or two words for the library's splitter.
+_plain = re.compile("\n?[A-Za-zÀ-ÖØ-öø-ſ]+[.,;:!?#*$%&]*").fullmatch
+_stops = re.compile("[.,;:!?#*$%&]+")
 #: Characters that no definition of white space holds.
 _solid = re.compile("[!-~¡-ᙿ‐-‧‰-⁞⁰-⿿、-﷿！-￯\U00010000-\U0010ffff]").match
 _UNSAFE = b"?"  # no whole number of ids
@@ -89,84 +93,114 @@ class Encoder:
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.lib = Tokenizer.from_file(file)
         self.width = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_word = type(self.lib.pre_tokenizer).__name__ == "ByteLevel" and sys.byteorder == "little"
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.alphabet = byte_alphabet()
-        self.first: dict[str, bytes] = {}  # words at the start of a text or line
-        self.rest: dict[str, bytes] = {}  # words after a space
-        self.stops: dict[str, bytes] = {}  # runs of stops after a word
+        alphabet = byte_alphabet()
+        space, feed = alphabet[32], alphabet[10]
+        # the library's model for words that need no splitter: written in its alphabet, a space between them
+        self.words = Tokenizer(self.lib.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        self.letters = " " + "".join(alphabet[b] for b in range(1, 256))  # byte 0 parts words
+        pieces = self.lib.get_vocab()
+        self.leads = np.zeros(max(pieces.values(), default=0) + 1, bool)  # ids that begin with a space or line feed
+        self.leads[[i for t, i in pieces.items() if t[:1] in (space, feed)]] = True
+        # no piece joins a line feed to a letter's first byte, so it may stand before a word
+        begins = {alphabet[b] for b in (*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0xC3, 0xC4, 0xC5)}
+        alone = feed in pieces and not any(t[1] in begins for t in pieces if t[:1] == feed and len(t) > 1)
+        self.by_word = type(self.lib.pre_tokenizer).__name__ == "ByteLevel" and sys.byteorder == "little" and alone
         self.feed = self.pack(self.lib.encode("\n", add_special_tokens=False).ids)
+        self.memo: dict[str, bytes] = {}  # words after a space, and after a line feed with it
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.width.char, ids).tobytes()
 
-    def learn(self, memo: dict[str, bytes], words: list[str], lead: str) -> None:
-        """Encode words that stand alone or after a space, each distinct one once."""
-        slow, tails = [], []
-        tokenize, alphabet = self.lib.model.tokenize, self.alphabet
-
-        def direct(raw: str) -> bytes:  # one word for the library's splitter: straight to its model
-            return self.pack([t.id for t in tokenize(raw.encode().decode("latin-1").translate(alphabet))])
-
-        for w in words:
-            if not w or not _solid(w):
-                memo[w] = _UNSAFE
-            elif _letters(w):
-                memo[w] = direct(lead + w)
-            elif m := _stopped(w):
-                tails.append((w, m[1], m[2]))
-            else:
-                slow.append(w)
-        for w, core, tail in tails:
-            if core not in memo:
-                memo[core] = direct(lead + core)
-            if tail not in self.stops:
-                self.stops[tail] = direct(tail)
-            memo[w] = memo[core] + self.stops[tail]
-        for w, e in zip(slow, self.lib.encode_batch([lead + w for w in slow], add_special_tokens=False)):
-            memo[w] = self.pack(e.ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def direct(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of letters and stops, straight from the library's model."""
+        if not words:
+            return []
+        raw = _stops.sub("\0\\g<0>", " " + "\0 ".join(words)).replace(" \n", "\n").encode()
+        ids = np.array(self.words.encode_batch_fast([codecs.charmap_decode(raw, "strict", self.letters)[0]], add_special_tokens=False)[0].ids, self.width)
+        cuts = [*(np.flatnonzero(self.leads[ids]) * self.width.itemsize).tolist(), ids.nbytes]
+        if len(cuts) != len(words) + 1:
+            raise RuntimeError("words and ids do not meet")
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words that are not in the memo; the short ones are remembered."""
+        plain = list(filter(_plain, words))
+        got = dict(zip(plain, self.direct(plain)))
+        if len(got) < len(words):
+            others = [w for w in words if w not in got]
+            got.update(dict.fromkeys(others, _UNSAFE))
+            slow = [w for w in others if _solid(w, w[:1] == "\n")]
+            fed = [w[0] == "\n" for w in slow]
+            for w, f, e in zip(slow, fed, self.lib.encode_batch([w[1:] if f else " " + w for w, f in zip(slow, fed)], add_special_tokens=False)):
+                got[w] = self.feed * f + self.pack(e.ids)
+        self.memo.update(got)
+        for w in got:
+            if len(w) > LONGEST_KEPT:
+                del self.memo[w]
+        return got
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text, without the end id."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            return [self.pack(e.ids) for e in self.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        for memo in (self.first, self.rest):
-            if len(memo) > MEMO:
-                memo.clear()
-                self.stops.clear()
-        split = [[line.split(" ") for line in t.split("\n")] if t else None for t in texts]
-        long: list[tuple[dict, str]] = []
-        for memo, lead, words in ((self.first, "", (line[0] for x in split if x for line in x)), (self.rest, " ", (w for x in split if x for line in x for w in line[1:]))):
-            if new := {w for w in words if w not in memo}:
-                self.learn(memo, list(new), lead)
-                long += [(memo, w) for w in new if len(w) > LONGEST_KEPT]
-        out: list[bytes] = []
-        whole = []
-        first, rest, feed = self.first.__getitem__, self.rest.__getitem__, self.feed
-        for t, lines in zip(texts, split):
-            if not lines:
-                out.append(b"")
-                continue
-            found: list[bytes] = []
-            for line in lines:
-                found += (feed, first(line[0]))
-                found += map(rest, line[1:])
-            del found[0]
-            if _UNSAFE in found or any(s in t for s in self.specials):
-                whole.append(len(out))
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        for i, e in zip(whole, self.lib.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
+            return [self.pack(e.ids) for e in self.lib.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        # a text as words between spaces, the first of each line with a line feed before it
+        feed, none = pa.array(["\n", ""], pa.large_string())
+        lines = pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), none)
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.get, words))
+        if new := [i for i, p in enumerate(found) if p is None]:
+            got = self.learn([words[i] for i in new])
+            for i in new:
+                found[i] = got[words[i]]
+        packed = pa.array(found, pa.large_binary())
+        ids = packed.take(coded.indices)
+        starts = split.offsets.to_numpy()
+        cuts = _offsets(ids)[starts].tolist()
+        data, skip = ids.buffers()[2].to_pybytes() if len(ids) else b"", len(self.feed)
+        out = [data[a + skip : b] for a, b in zip(cuts, cuts[1:])]
+        whole = {i for s in self.specials for i in np.flatnonzero(pc.match_substring(texts, s)).tolist()}
+        bad = np.diff(_offsets(packed)) % self.width.itemsize != 0
+        if bad.any():
+            whole.update((np.searchsorted(starts, np.flatnonzero(bad[coded.indices.to_numpy()]), side="right") - 1).tolist())
+        again = sorted(whole)
+        for i, e in zip(again, self.lib.encode_batch([texts[i].as_py() for i in again], add_special_tokens=False)):
             out[i] = self.pack(e.ids)
-        for memo, w in long:
-            del memo[w]
         return out
 
 
+def _offsets(a: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, 8 * a.offset) if len(a) else np.zeros(1, np.int64)
+
+
+def groups(columns: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """Texts of batches, put together or cut to groups of about ``GROUP`` bytes."""
+    held, size = [], 0
+    for texts in columns:
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP)) + 1).tolist(), len(texts)] if len(texts) else []
+        for at, end in zip(cuts, cuts[1:]):
+            held.append(texts.slice(at, end - at))
+            size += int(ends[end - 1]) - (int(ends[at - 1]) if at else 0)
+            if size >= GROUP:
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def encoder(file: str) -> Encoder:
     return keep("token store", file, lambda: Encoder(file))
 
@@ -313,12 +347,16 @@ def write(docs: DataFrame, where: str, model: str = MODEL, shard_rows: int = SHA
         keys, sizes, nulls = [], [], 0
         end = c.pack([END_ID])
 
-        def payload() -> Iterator[bytes]:
+        def column() -> Iterator[pa.Array]:
             nonlocal nulls
             for b in batches:
                 nulls += b.column(0).null_count
                 keys.append(b.column(0).drop_null().to_numpy(zero_copy_only=False))
-                packed = [p + end for p in c.encode(b.column(1).to_pylist())]
+                yield b.column(1)
+
+        def payload() -> Iterator[bytes]:
+            for texts in groups(column()):
+                packed = [p + end for p in c.encode(texts)]
                 sizes.append(np.fromiter(map(len, packed), np.int64, len(packed)) // c.width.itemsize)
                 yield b"".join(packed)
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import embeddings, html_text, minhash, mixing, pieces, pii, quality, token_store, toxicity, url_filter
@@ -152,6 +153,34 @@ def test_token_store_round_trip(spark, sf):
     assert token_store.lookup(docs, empty).count() == 0
 
 
+def test_token_store_looks_up_distinct_words(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    c = token_store.Encoder(tokenizer_file(token_store.MODEL))
+    c.memo = Counted()
+    rng = random.Random(5)
+    same = [" ".join(rng.choices(["the", "words,", "Größe.", "été", "3"], k=200)) + "\nthe words," for _ in range(100)]
+    pick = [*"aZéßſ.,!#'$01 -\t\r\n\0\xa0\u2028\u3000漢🙂", " ", " ", " the", "\n", "\nWord", "ing.", "'s", "!!!", "<|endoftext|>"]
+    odd = ["", None, " ", "\n", "a\n", "\na", "a\r\nb", "\n\xa0a", "a \nb", "x" * 3000 + ".", "!" * 300, *("".join(rng.choices(pick, k=rng.randint(1, 12))) for _ in range(4000))]
+    for texts in (same, odd, same[:3] + odd[:40], []):
+        got = c.encode(pa.array(texts, pa.string()))
+        assert [np.frombuffer(g, c.width).tolist() for g in got] == [e.ids for e in c.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        if texts is same:  # five words after a space and at the start of a line
+            assert c.memo.asked == 10
+    assert max(map(len, c.memo)) <= token_store.LONGEST_KEPT
+    monkeypatch.setattr(token_store, "GROUP", 500)
+    columns = [pa.array(odd[k : k + 70], pa.string()) for k in range(0, len(odd), 70)]
+    cut = list(token_store.groups(iter([pa.array([], pa.string()), *columns])))
+    assert [t for g in cut for t in g.to_pylist()] == odd and len(cut) > 20
+    sizes = [[len((t or "").encode()) for t in g.to_pylist()] for g in cut]
+    assert all(sum(n) - max(n) < 1000 for n in sizes)
+
+
 def test_mph_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     assert sorted(token_store.Mph.build(keys).slots(keys)) == list(range(len(keys)))
