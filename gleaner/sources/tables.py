@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +54,39 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's checkpoint directory; only where that is unset (a local test) a temporary one."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-gleaner-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Of what is run in here, the shuffles' files are removed when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def written(df: DataFrame, where: str) -> DataFrame:
+    """``df`` written as Parquet, its lineage cut: a fraction of a checkpoint's size, until ``dropped``."""
+    spark = df.sparkSession
+    with shuffles_dropped(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def dropped(spark: SparkSession, *where: str) -> None:
+    """Delete tables that were ``written``."""
+    for w in where:
+        path = spark._jvm.org.apache.hadoop.fs.Path(w)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers wherever the session runs (once a context)."""
     sc = spark.sparkContext

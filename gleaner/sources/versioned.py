@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import dropped, shuffles_dropped
+
 
 def _versions(spark: SparkSession, where: str, part: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/{part}")
@@ -26,7 +28,8 @@ def _versions(spark: SparkSession, where: str, part: str) -> list[int]:
 
 def append(rows: DataFrame, where: str, version: int) -> None:
     """Add the rows that ``version`` changes."""
-    rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{where}/delta/version={version}")
+    with shuffles_dropped(rows.sparkSession):
+        rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{where}/delta/version={version}")
 
 
 def as_of(spark: SparkSession, where: str, version: int, keys: list[str]) -> DataFrame:
@@ -40,12 +43,15 @@ def as_of(spark: SparkSession, where: str, version: int, keys: list[str]) -> Dat
         raise ValueError(f"nothing is written up to version {version}")
     rows = reduce(DataFrame.unionByName, (spark.read.parquet(p) for p in parts))
     others = [c for c in rows.columns if c not in keys]
+    if base is not None and len(parts) == 1:
+        return rows.select(*keys, *others)  # a base has every key once
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "version").alias("r")).select(*keys, "r.*")
 
 
 def merge(spark: SparkSession, where: str, version: int, keys: list[str]) -> None:
     """Write the base of ``version``."""
-    as_of(spark, where, version, keys).write.mode("overwrite").parquet(f"{where}/base/version={version}")
+    with shuffles_dropped(spark):
+        as_of(spark, where, version, keys).write.mode("overwrite").parquet(f"{where}/base/version={version}")
 
 
 def expire(spark: SparkSession, where: str, version: int) -> None:
@@ -55,5 +61,4 @@ def expire(spark: SparkSession, where: str, version: int) -> None:
     for part, last in (("delta", version), ("base", version - 1)):
         for v in _versions(spark, where, part):
             if v <= last:
-                path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/{part}/version={v}")
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                dropped(spark, f"{where}/{part}/version={v}")
