@@ -28,14 +28,14 @@ def normalized_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("context_group_expansion", f"""{_WITH}, {_RELAXED}, m AS (SELECT doc_id AS id, source AS grp, doc_id AS ordinal, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE AS updated_at FROM documents),
 h AS (SELECT query_id, id, rank, round(score, 9) AS score FROM (SELECT *, {_rank()} AS rank FROM r) WHERE rank <= 10), b AS (SELECT h.query_id, h.rank, m.* FROM h JOIN m USING (id) WHERE rank <= 4 AND grp IS NOT NULL),
-g0 AS (SELECT query_id, grp, min(rank) AS group_rank FROM b GROUP BY 1, 2), g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY group_rank) AS g FROM g0), g AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM g1 WHERE g <= 2),
-o AS (SELECT m.*, g.query_id, g.group_rank, g.n, row_number() OVER (PARTITION BY g.query_id ORDER BY g.g, m.updated_at DESC, m.id) AS k FROM m JOIN g USING (grp) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = g.query_id AND h.id = m.id)),
-x AS (SELECT o.query_id, o.id, o.group_rank, min(abs(o.ordinal - b.ordinal)) AS distance FROM o JOIN b ON b.query_id = o.query_id AND b.grp = o.grp WHERE o.k <= least(800, greatest(32, 8 * o.n)) GROUP BY 1, 2, 3),
+g AS (SELECT query_id, grp, min(rank) AS group_rank FROM b GROUP BY 1, 2),
+o AS (SELECT m.*, g.query_id, g.group_rank FROM m JOIN g USING (grp) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = g.query_id AND h.id = m.id)),
+x AS (SELECT o.query_id, o.id, o.group_rank, min(abs(o.ordinal - b.ordinal)) AS distance FROM o JOIN b ON b.query_id = o.query_id AND b.grp = o.grp GROUP BY 1, 2, 3),
 e AS (SELECT query_id, id, CASE WHEN rank <= 4 THEN 0 ELSE 2 END AS part, rank AS place FROM h UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY distance, group_rank, id) FROM x),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, place) AS rank FROM e) SELECT query_id, id, rank, CASE part WHEN 0 THEN 'base' WHEN 1 THEN 'context' ELSE 'rest' END AS kind FROM f WHERE rank <= 8""")
 def context_group_expansion(spark: SparkSession, d: str) -> DataFrame:
     m = V.memories(spark, d).select("id", F.col("source").alias("group"), F.col("id").alias("ordinal"), "updated_at")
-    got = C.context_groups(relaxed_hits(spark, d, 10).select("query_id", "id", "rank", "score"), m, 8, 4, 2)
+    got = C.context_groups(relaxed_hits(spark, d, 10).select("query_id", "id", "rank", "score"), m, 8, 4)
     return got.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "kind")
 
 
